@@ -128,8 +128,7 @@ def amount_candidates(text: Column) -> Column:
     symbol_code = F.create_map(*[F.lit(x) for kv in fv.CURRENCY_SYMBOLS.items() for x in kv])
 
     def entry(raw: Column, currency: Column) -> Column:
-        value = parse_money(raw, "decimal(38,6)").cast("double")
-        return F.struct(value.alias("amount"), currency.alias("currency"), raw.alias("raw"))
+        return F.struct(parse_money(raw, "decimal(38,6)").alias("amount"), currency.alias("currency"), raw.alias("raw"))
 
     found = F.concat(
         F.transform(_all(text, SYMBOL_FIRST), lambda r: entry(r, symbol_code[F.left(r, F.lit(1))])),

@@ -13,6 +13,7 @@ from tallyspark.functions import values as val
 from tallyspark.operators import activity, extraction, files, layout, merging, quotas, responses, tables, validation
 from tallyspark.plans import views as w
 from tallyspark.sources import folders
+from tallyspark.streaming import activity as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,7 +307,7 @@ def bbox_center(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ocr_page_summary(spark: SparkSession, sf: str) -> DataFrame:
     summary = layout.page_summary(w.tokens(spark, sf), PAGE)
-    return summary.withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return summary.withColumn("avg_confidence", F.round("avg_confidence", 9))
 
 
 @query
@@ -556,7 +557,7 @@ def aged_files(spark: SparkSession, sf: str) -> DataFrame:
 def page_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
     measures = [F.col("sharpness"), F.col("contrast"), F.col("brightness")]
     return w.page_metrics(spark, sf).select(
-        "page_key", F.round(files.page_quality(*measures), 6).alias("quality"), files.page_suitable(*measures).alias("suitable")
+        "page_key", F.round(files.page_quality(*measures), 9).alias("quality"), files.page_suitable(*measures).alias("suitable")
     )
 
 
@@ -650,3 +651,55 @@ def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def health_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return activity.health_rollup(w.samples(spark, sf))
+
+
+# --- nested and streaming ------------------------------------------------------------------------------------------
+@query
+def validate_nested(spark: SparkSession, sf: str) -> DataFrame:
+    judged = validation.validate_nested(w.line_invoices(w.invoice_lines(spark, sf)), w.AS_OF)
+    return judged.select("invoice_id", "is_valid", "n_errors", F.round("confidence_score", 6).alias("confidence_score"))
+
+
+@query
+def stream_performance_stats(spark: SparkSession, sf: str) -> DataFrame:
+    windows = live.performance_windows(w.log_of(live.stream_table(spark, sf, "events")), "1 hour")
+    rows = live.latest_rows(spark, windows, ["window_start", "window_end", "operation"], "stream-performance")
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("window_start", "window_end")}
+    return _rounded(rows.withColumns(text), "success_rate", "average_duration")
+
+
+@query
+def stream_sliding_stats(spark: SparkSession, sf: str) -> DataFrame:
+    windows = live.performance_windows(w.log_of(live.stream_table(spark, sf, "events")), "24 hours", "6 hours")
+    rows = live.latest_rows(spark, windows, ["window_start", "window_end", "operation"], "stream-sliding")
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("window_start", "window_end")}
+    return _rounded(rows.withColumns(text), "success_rate", "average_duration")
+
+
+@query
+def stream_processing_stats(spark: SparkSession, sf: str) -> DataFrame:
+    totals = live.running_totals(w.log_of(live.stream_table(spark, sf, "events")))
+    rows = live.latest_rows(spark, totals, ["scope"], "stream-totals").drop("scope")
+    return _rounded(rows, "total_processing_time", "avg_processing_time")
+
+
+@query
+def stream_alert_cooldown(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts emitted up to the last watermark, six hours before the newest breach."""
+    samples = w.samples_of(live.stream_table(spark, sf, "events"))
+    breaches = activity.breaches(samples, activity.threshold_table(spark)).select("metric", "ts", "event_id")
+    return live.appended_rows(spark, live.emitted_alerts(breaches, "metric", 3600, "6 hours"), "stream-alerts")
+
+
+@query
+def stream_validate(spark: SparkSession, sf: str) -> DataFrame:
+    invoices = w.line_invoices(w.lines_of(live.stream_table(spark, sf, "lineitem")))
+    folder = folders.work_folder(spark, "stream-validate")
+    live.validate_to_sinks(spark, invoices, w.AS_OF, ["invoice_id"], folder)
+    return spark.read.schema("invoice_id STRING, n_errors LONG, batch LONG, target STRING").parquet(f"{folder}/out").drop("batch")
+
+
+@query
+def stream_files(spark: SparkSession, sf: str) -> DataFrame:
+    arriving = folders.stream_files(spark, sf, "*.parquet").select("filename", "length")
+    return live.appended_rows(spark, arriving, "stream-files")

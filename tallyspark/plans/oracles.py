@@ -218,7 +218,7 @@ _symbol = "CASE {c} " + " ".join(f"WHEN '{s}' THEN '{code}'" for s, code in fv.C
 
 
 def _hits(pattern: str, code: str) -> str:
-    value = f"CAST({money('m', 'DECIMAL(38,6)')} AS DOUBLE)"
+    value = money("m", "DECIMAL(38,6)")
     return f"list_transform(regexp_extract_all(text, '{pattern}'), lambda m: {{'a': {value}, 'c': {code}}})"
 
 
@@ -345,7 +345,7 @@ oracle(
     + " OR ".join(f"regexp_matches(word, '{p}')" for p in fv.TOKEN_AMOUNT_PATTERNS),
 )
 oracle("bbox_center", "SELECT doc_id, elem_id, cx AS poly_x, cy AS poly_y, cx AS box_x, cy AS box_y FROM v_tokens")
-oracle("ocr_page_summary", "SELECT doc_id, page_no, count(*) AS total_elements, round(avg(confidence), 6) AS avg_confidence FROM v_tokens GROUP BY ALL")
+oracle("ocr_page_summary", "SELECT doc_id, page_no, count(*) AS total_elements, round(avg(confidence), 9) AS avg_confidence FROM v_tokens GROUP BY ALL")
 oracle("reading_order", "SELECT doc_id, page_no, elem_id, reading_rank FROM v_ordered")
 oracle(
     "page_text",
@@ -534,7 +534,7 @@ oracle("filter_upload_rules", f"SELECT doc_id, {_reason} IS NULL AS accepted, {_
 oracle("file_hash", "SELECT md5(text) AS hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
 oracle("aged_files", "SELECT doc_id, '/archive/2024-03-01/' || filename AS target FROM v_files WHERE modificationTime < TIMESTAMP '2024-03-01 00:00:00' - INTERVAL 720 HOUR")
 _quality = "(least(sharpness / 1000, 1.0::DOUBLE) + least(contrast / 128, 1.0::DOUBLE) + (1.0::DOUBLE - abs(brightness - 128) / 128)) / 3"
-oracle("page_quality_gate", f"SELECT page_key, round({_quality}, 6) AS quality, sharpness >= 100 AND contrast >= 20 AND {_quality} >= 0.3::DOUBLE AS suitable FROM v_page_metrics")
+oracle("page_quality_gate", f"SELECT page_key, round({_quality}, 9) AS quality, sharpness >= 100 AND contrast >= 20 AND {_quality} >= 0.3::DOUBLE AS suitable FROM v_page_metrics")
 
 # --- activity log --------------------------------------------------------------------------------------------------
 oracle("slow_ops", "SELECT event_id, operation, duration FROM v_log WHERE duration > 5.0::DOUBLE")
@@ -587,6 +587,14 @@ oracle(
     " FROM e JOIN b ON b.metric = e.metric AND b.rn = e.rn + 1) SELECT event_id, metric, emit FROM e",
     recursive=True,
 )
+oracle(
+    "stream_alert_cooldown",
+    f"WITH RECURSIVE b AS MATERIALIZED ({_b}), e AS (SELECT metric, event_id, rn, us, us AS last, true AS emit FROM b WHERE rn = 1 UNION ALL"
+    " SELECT b.metric, b.event_id, b.rn, b.us, CASE WHEN b.us - e.last > 3600000000 THEN b.us ELSE e.last END, b.us - e.last > 3600000000"
+    " FROM e JOIN b ON b.metric = e.metric AND b.rn = e.rn + 1) SELECT event_id, metric, us FROM e"
+    " WHERE emit AND us <= ((SELECT max(us) FROM b) // 1000 - 21600000) * 1000",
+    recursive=True,
+)
 _period = 6 * 3600 * 1000000
 _r = "SELECT client, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM v_requests"
 _live = f"list_filter(q.log, lambda x: r.us - x < {_period})"
@@ -603,3 +611,39 @@ oracle(
     "SELECT host, CASE max(l) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status, count(*) FILTER (l = 1) AS warnings, count(*) AS checks FROM"
     " (SELECT host, metric, CASE WHEN value IS NULL THEN 2 WHEN value >= 90 THEN 1 ELSE 0 END AS l FROM v_samples QUALIFY row_number() OVER (PARTITION BY host, metric ORDER BY ts DESC, event_id DESC) = 1) GROUP BY host",
 )
+
+# --- nested and streaming ------------------------------------------------------------------------------------------
+_line_errors = (
+    "CAST(abs(quantity * unit_price - line_total) > 0.01 AS INT) + CAST(trim(description) = '' AS INT) + CAST(line_id IS NULL AS INT)"
+    " + CAST(length(unit_code) > 10 AS INT) + CAST(vat_category NOT IN ('S','Z','E','AE','O') AS INT)"
+)
+_line_id = "concat('L-', doc_key, '-', line_ref)"
+_line_filled = "(80 + 21 + 7 * CAST(round(line_total * vat_rate, 2) <> 0 AS INT)) / 154.0::DOUBLE"
+oracle(
+    "validate_nested",
+    f"SELECT {_line_id} AS invoice_id, ({_line_errors}) = 0 AS is_valid, CAST({_line_errors} AS BIGINT) AS n_errors,"
+    f" round((1.0::DOUBLE - CASE WHEN abs(quantity * unit_price - line_total) > 0.01 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END + {_line_filled}) / 2, 6) AS confidence_score FROM v_lines",
+)
+oracle(
+    "stream_validate",
+    f"SELECT {_line_id} AS invoice_id, CAST({_line_errors} AS BIGINT) AS n_errors, CASE WHEN ({_line_errors}) = 0 THEN 'valid' ELSE 'quarantine' END AS target FROM v_lines",
+)
+_window_stats = (
+    f"operation, count(*) AS total_operations, {_ok} AS successful_operations, round({_ok} / count(*)::DOUBLE, 4) AS success_rate,"
+    " round(avg(duration), 4) AS average_duration, min(duration) AS min_duration, max(duration) AS max_duration"
+)
+oracle(
+    "stream_performance_stats",
+    "SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS window_end,"
+    f" {_window_stats} FROM (SELECT *, date_trunc('hour', ts) AS s FROM v_log) GROUP BY s, operation",
+)
+oracle(
+    "stream_sliding_stats",
+    "SELECT strftime(s, '%Y-%m-%d %H:%M') AS window_start, strftime(s + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M') AS window_end,"
+    f" {_window_stats} FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * k FOR k IN range(4)]) AS s FROM v_log) GROUP BY s, operation",
+)
+oracle(
+    "stream_processing_stats",
+    f"SELECT count(*) AS processed_count, {_ok} AS success_count, {_failed} AS error_count, round(sum(duration), 4) AS total_processing_time,"
+    " round(avg(duration), 4) AS avg_processing_time FROM v_log",
+)

@@ -69,7 +69,11 @@ LINE_COLUMNS = {
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: one row per lineitem."""
-    raw = table(spark, sf_dir, "lineitem").selectExpr(*[f"{sql} AS {name}" for name, sql in LINE_COLUMNS.items()])
+    return lines_of(table(spark, sf_dir, "lineitem"))
+
+
+def lines_of(lineitem: DataFrame) -> DataFrame:
+    raw = lineitem.selectExpr(*[f"{sql} AS {name}" for name, sql in LINE_COLUMNS.items()])
     return raw.withColumn("line_total", F.col("line_total").cast("decimal(18,4)"))
 
 
@@ -330,8 +334,12 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- activity log --------------------------------------------------------------------------------------------------
 def perf_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6 log: one processing-log entry per event."""
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "event_type AS operation", "value AS duration", "ts", "event_type <> 'error' AS success", "user_id"
+    return log_of(table(spark, sf_dir, "events"))
+
+
+def log_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
+        "event_id", "event_type AS operation", "value AS duration", "CAST(ts AS TIMESTAMP) AS ts", "event_type <> 'error' AS success", "user_id"
     )
 
 
@@ -351,8 +359,12 @@ def metric_sql() -> str:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V10: one metric sample per event, for 40 hosts."""
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id", f"{metric_sql()} AS metric", "concat('host', user_id % 40) AS host", "ts", "value"
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
+        "event_id", f"{metric_sql()} AS metric", "concat('host', user_id % 40) AS host", "CAST(ts AS TIMESTAMP) AS ts", "value"
     )
 
 
@@ -430,3 +442,21 @@ def page_headers(lines: DataFrame) -> DataFrame:
         "CAST(CASE WHEN k % 2 = 0 THEN 3 END AS DECIMAL(18,4)) AS total_vat",
         "CAST(s AS DECIMAL(18,4)) AS total_incl_vat",
     )
+
+
+# --- single-line invoices ------------------------------------------------------------------------------------------
+def line_invoices(lines: DataFrame) -> DataFrame:
+    """One nested invoice per line: narrow, so it also runs on a stream of lines."""
+    vat = "CAST(round(line_total * vat_rate, 2) AS DECIMAL(18,4))"
+    party = "named_struct('name', '{0} A', 'vat_id', CAST(NULL AS STRING), 'address_line', CAST(NULL AS STRING), 'city', CAST(NULL AS STRING), 'postal_code', CAST(NULL AS STRING), 'country_code', 'DE')"
+    return lines.selectExpr(
+        "doc_key", "line_ref", "concat('L-', doc_key, '-', line_ref) AS invoice_id", "'1999-01-15' AS issue_date",
+        "'380' AS invoice_type_code", "'EUR' AS currency_code", "CAST(NULL AS STRING) AS purchase_order_reference",
+        "CAST(NULL AS STRING) AS contract_reference", f"{party.format('Supplier')} AS supplier", f"{party.format('Customer')} AS customer",
+        "array(named_struct('line_id', line_id, 'description', description, 'quantity', quantity, 'unit_code', unit_code,"
+        " 'unit_price', unit_price, 'line_total', line_total, 'vat_category', vat_category, 'vat_rate', vat_rate)) AS invoice_lines",
+        "line_total AS total_excl_vat", f"{vat} AS total_vat", f"CAST(line_total + {vat} AS DECIMAL(18,4)) AS total_incl_vat",
+        f"CAST(line_total + {vat} AS DECIMAL(18,4)) AS payable_amount",
+        f"array(named_struct('taxable_amount', line_total, 'tax_amount', {vat}, 'tax_rate', vat_rate, 'tax_category', 'S')) AS tax_breakdown",
+        "named_struct('payment_due_date', '1999-02-15', 'payment_terms', CAST(NULL AS STRING)) AS payment_terms",
+    )
