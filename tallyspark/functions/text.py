@@ -88,6 +88,14 @@ def _numeric_dates(text: Column, pattern: str, form: str) -> Column:
     return F.transform(_all(text, pattern), lambda hit: F.try_to_timestamp(hit, F.lit(form)).cast("date"))
 
 
+def _when_possible(text: Column, necessary: str, found: Column, kind: str) -> Column:
+    """Runs a costly pattern only on texts that pass a cheap test every match must pass."""
+    return F.when(text.rlike(necessary), found).otherwise(F.array().cast(kind))
+
+
+ANY_MONTH = f"(?:{'|'.join(MONTHS)})"
+
+
 def _named_dates(text: Column, pattern: str, day: int, month: int) -> Column:
     month_number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, f"{i:02d}")])
 
@@ -97,9 +105,9 @@ def _named_dates(text: Column, pattern: str, day: int, month: int) -> Column:
         iso = F.concat(F.regexp_extract(hit, pattern, 3), dash, number, dash, F.regexp_extract(hit, pattern, day))
         return iso.try_cast("date")
 
-    # Cheap test first: most hits of the word pattern name no month.
-    hits = F.filter(_all(text, pattern), lambda hit: F.lower(hit).rlike("|".join(MONTHS)))
-    return F.transform(hits, parsed)
+    named = pattern.replace(f"({WORD}+)", ANY_MONTH)
+    hits = _when_possible(text, f"(?i){named}", _all(text, pattern), "array<string>")
+    return F.transform(F.filter(hits, lambda hit: F.lower(hit).rlike(ANY_MONTH)), parsed)
 
 
 def dates(text: Column) -> Column:
@@ -130,10 +138,12 @@ def amount_candidates(text: Column) -> Column:
     def entry(raw: Column, currency: Column) -> Column:
         return F.struct(parse_money(raw, "decimal(38,6)").alias("amount"), currency.alias("currency"), raw.alias("raw"))
 
+    symbol_last = _when_possible(text, SYMBOLS, _all(text, SYMBOL_LAST), "array<string>")
+    code_last = _when_possible(text, "(?:" + "|".join(fv.AMOUNT_CODES) + ")", _all(text, CODE_LAST), "array<string>")
     found = F.concat(
         F.transform(_all(text, SYMBOL_FIRST), lambda r: entry(r, symbol_code[F.left(r, F.lit(1))])),
-        F.transform(_all(text, SYMBOL_LAST), lambda r: entry(r, symbol_code[F.right(r, F.lit(1))])),
-        F.transform(_all(text, CODE_LAST), lambda r: entry(r, F.right(r, F.lit(3)))),
+        F.transform(symbol_last, lambda r: entry(r, symbol_code[F.right(r, F.lit(1))])),
+        F.transform(code_last, lambda r: entry(r, F.right(r, F.lit(3)))),
         F.transform(_all(text, BARE_AMOUNT), lambda r: entry(r, F.lit("EUR"))),
     )
     return F.sort_array(
@@ -160,16 +170,24 @@ def distinct_amounts(candidates: Column) -> Column:
     )
 
 
-def vat_ids(text: Column) -> Column:
-    """VAT ids in country order, upper-cased, repeats kept: array of struct<vat_id, country>."""
+def long_runs(text: Column) -> Column:
+    """Runs of ten or more ASCII letters and digits that hold seven digits in a row, joined by blanks. Every VAT id
+    lies inside one such run, so the thirteen shapes need not scan the whole text."""
+    return F.array_join(F.filter(_all(text, "[0-9A-Za-z]{10,}+"), lambda run: run.rlike("[0-9]{7}")), " ")
+
+
+def vat_ids(runs: Column) -> Column:
+    """VAT ids in country order, upper-cased, repeats kept: array of struct<vat_id, country>. Takes a text or, cheaper
+    and with the same result, a column of its long_runs."""
 
     def of(country: str, shape: str) -> Column:
-        hits = _all(text, "(?iu)" + shape)
+        hits = _all(runs, "(?i)" + shape)
         return F.transform(hits, lambda h: F.struct(F.upper(h).alias("vat_id"), F.lit(country).alias("country")))
 
     return F.concat(*[of(country, shape) for country, shape in fv.VAT_ID_SHAPES.items()])
 
 
+COMPANY_END = f"{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)}){NOT_IN_WORD_AFTER}"
 COMPANY = (
     rf"[A-ZÀ-ÿ][a-zA-ZÀ-ÿ&\-.\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]{{1,80}}{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?"
     + NOT_IN_WORD_AFTER
@@ -178,7 +196,8 @@ COMPANY = (
 
 def companies(text: Column) -> Column:
     """Names that end in a legal form, cleaned, longer than three characters, distinct, in text order."""
-    names = F.transform(_all(text, COMPANY), collapse_space)
+    hits = _when_possible(text, COMPANY_END, _all(text, COMPANY), "array<string>")
+    names = F.transform(hits, collapse_space)
     return F.array_distinct(F.filter(names, lambda n: F.length(n) > 3))
 
 
@@ -187,6 +206,10 @@ BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
 def _in_words(pattern: str) -> str:
+    """Replaces the word boundaries of a pattern. Where the first character is a digit, the boundary before it means
+    that no word character precedes; the digit is looked at first because that is the cheaper test."""
+    if pattern.startswith(r"\b\d"):
+        pattern = rf"(?=[0-9])(?<!{WORD})" + pattern[2:]
     return pattern.replace(r"\b", BOUNDARY)
 
 
@@ -201,7 +224,8 @@ def address_lines(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(_all(text, EMAIL)))
+    found = F.when(text.contains("@"), _all(text, EMAIL)).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(found))
 
 
 EMAIL = _in_words(fv.EMAIL_PATTERN)
@@ -232,12 +256,13 @@ def earliest_label(scores: list[tuple[str, Column]]) -> Column:
 
 def vote(scores: list[tuple[str, Column]], least: int) -> Column:
     """Winning label when it has at least `least` points, else 'en'."""
-    best = earliest_label(scores)
-    return F.when(best["score"] >= least, best["label"]).otherwise(F.lit("en"))
+    floor = ("en", F.lit(least - 1))  # wins over every label with fewer points, and ties go to it
+    return earliest_label([floor, *scores])["label"]
 
 
-def document_language(text: Column) -> Column:
-    return vote(language_scores(F.lower(F.coalesce(text, F.lit(""))), fv.DOCUMENT_LANGUAGE_WORDS), 2)
+def document_language(lowered: Column) -> Column:
+    """Language of a lower-cased text; null counts as an empty text."""
+    return vote(language_scores(F.coalesce(lowered, F.lit("")), fv.DOCUMENT_LANGUAGE_WORDS), 2)
 
 
 # --- whole-text comparison -----------------------------------------------------------------------------------------

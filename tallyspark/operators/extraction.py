@@ -27,17 +27,31 @@ def top_amounts(df: DataFrame, text_col: str, keys: list[str], k: int) -> DataFr
 def key_data(df: DataFrame, text_col: str) -> DataFrame:
     """All extracted fields of each text in one pass over the table."""
     text = F.col(text_col)
-    return with_amounts(df, text_col).withColumns(
+    # Shared inputs are columns of their own, so that they are computed once per row.
+    shared = {"_candidates": tx.amount_candidates(text), "_lowered": F.lower(text), "_runs": tx.long_runs(text)}
+    found = df.withColumns(shared).withColumns(
         {
             "invoice_number": tx.invoice_number(text),
             "dates": tx.dates(text),
-            "vat_ids": tx.vat_ids(text),
+            "amounts": tx.distinct_amounts(F.col("_candidates")),
+            "vat_ids": tx.vat_ids(F.col("_runs")),
             "companies": tx.companies(text),
-            "language": tx.document_language(text),
+            "language": tx.document_language(F.col("_lowered")),
             "emails": tx.emails(text),
             "phone_numbers": tx.phones(text),
         }
     )
+    return found.drop(*shared)
+
+
+def with_vat_ids(df: DataFrame, text_col: str, out: str = "vat_ids") -> DataFrame:
+    runs = df.withColumn("_runs", tx.long_runs(F.col(text_col)))
+    return runs.withColumn(out, tx.vat_ids(F.col("_runs"))).drop("_runs")
+
+
+def with_language(df: DataFrame, text_col: str, out: str = "language") -> DataFrame:
+    lowered = df.withColumn("_lowered", F.lower(F.col(text_col)))
+    return lowered.withColumn(out, tx.document_language(F.col("_lowered"))).drop("_lowered")
 
 
 def fallback_record(df: DataFrame, text_col: str) -> DataFrame:
@@ -59,9 +73,7 @@ def language_profile(df: DataFrame, text_col: str) -> DataFrame:
     """Documents per detected language and their share. The window runs over one row per language."""
     from pyspark.sql import Window
 
-    counted = (
-        df.select(tx.document_language(F.col(text_col)).alias("language")).groupBy("language").agg(F.count("*").alias("n"))
-    )
+    counted = with_language(df, text_col).groupBy("language").agg(F.count("*").alias("n"))
     everything = F.sum("n").over(Window.partitionBy())
     return counted.withColumn("share", F.round(F.col("n") / everything, 6))
 

@@ -60,16 +60,15 @@ def table_line_items(df: DataFrame, keys: list[str], matrix: str = "data") -> Da
     """Typed line items of the line-item tables; rows shorter than the header or without description are dropped."""
     m = F.col(matrix)
     roles = column_roles(m)
-    rows = (
-        df.where(is_line_item_table(m))
-        .select(
-            *keys,
-            *[c.cast("int").alias(f"_at_{role}") for role, c in roles.items()],
-            F.size(F.get(m, F.lit(0))).alias("_width"),
-            F.posexplode(F.slice(m, F.lit(2), F.size(m) - 1)).alias("line_no", "_row"),
-        )
-        .where(F.size("_row") >= F.col("_width"))
-    )
+    # The table test sits inside the generator: as a filter it would be pushed below the matrix column and would
+    # compute the matrix again.
+    body = F.when(is_line_item_table(m), F.slice(m, F.lit(2), F.size(m) - 1))
+    rows = df.select(
+        *keys,
+        *[c.cast("int").alias(f"_at_{role}") for role, c in roles.items()],
+        F.size(F.get(m, F.lit(0))).alias("_width"),
+        F.posexplode(body).alias("line_no", "_row"),
+    ).where(F.size("_row") >= F.col("_width"))
 
     def cell(role: str) -> Column:
         return strip(F.get("_row", F.col(f"_at_{role}")))

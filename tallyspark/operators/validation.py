@@ -51,6 +51,13 @@ def typed_amounts(df: DataFrame, names: list[str] = AMOUNTS) -> DataFrame:
     return df
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """Typed amounts, and the parsed dates as columns of their own, so that several rules share one parse."""
+    due = F.col("payment_terms.payment_due_date") if "payment_terms" in df.columns else F.lit(None).cast("string")
+    days = {"_issued": parse_date_any(F.col("issue_date")), "_due": parse_date_any(due)}
+    return typed_amounts(df).withColumns(days)
+
+
 # --- lines and tax rows --------------------------------------------------------------------------------------------
 def line_arithmetic_broken(get: Get) -> Column:
     return F.abs(_num(get("quantity")) * _num(get("unit_price")) - _num(get("line_total"))) > _cent()
@@ -166,21 +173,23 @@ def summarise_by_rate(rates: DataFrame, key: str, **more: Column) -> DataFrame:
 def summarise_nested(df: DataFrame) -> DataFrame:
     """The same summary for invoices that carry their lines and tax rows as arrays; no shuffle."""
 
-    def total(array: str, measures: Callable[[Get], dict[str, Column]], name: str, kind: str) -> Column:
-        start = F.lit(0).cast(kind)
-        add = lambda acc, x: (acc + measures(x.getField)[name]).cast(kind)
-        return F.coalesce(F.aggregate(array, start, add), start)
+    def measured(array: str, measures: Callable[[Get], dict[str, Column]]) -> Column:
+        return F.transform(array, lambda x: F.struct(*[c.alias(n) for n, c in measures(x.getField).items()]))
 
-    return df.withColumns(
-        {
-            "n_lines": F.coalesce(F.array_size("invoice_lines"), F.lit(0)).cast("long"),
-            "line_sum": total("invoice_lines", _line_measures, "line_sum", "decimal(28,4)"),
-            "bad_lines": total("invoice_lines", _line_measures, "bad_lines", "long"),
-            "line_errors": total("invoice_lines", _line_measures, "line_errors", "long"),
-            "bad_taxes": total("tax_breakdown", _tax_measures, "bad_taxes", "long"),
-            "tax_errors": total("tax_breakdown", _tax_measures, "tax_errors", "long"),
-        }
-    )
+    def total(array: str, name: str, kind: str) -> Column:
+        start = F.lit(0).cast(kind)
+        return F.coalesce(F.aggregate(F.col(array)[name], start, lambda acc, x: (acc + x).cast(kind)), start)
+
+    rows = df.withColumns({"_l": measured("invoice_lines", _line_measures), "_t": measured("tax_breakdown", _tax_measures)})
+    sums = {
+        "n_lines": F.coalesce(F.array_size("invoice_lines"), F.lit(0)).cast("long"),
+        "line_sum": total("_l", "line_sum", "decimal(28,4)"),
+        "bad_lines": total("_l", "bad_lines", "long"),
+        "line_errors": total("_l", "line_errors", "long"),
+        "bad_taxes": total("_t", "bad_taxes", "long"),
+        "tax_errors": total("_t", "tax_errors", "long"),
+    }
+    return rows.withColumns(sums).drop("_l", "_t")
 
 
 def unnest_lines(df: DataFrame, key: str) -> DataFrame:
@@ -204,11 +213,12 @@ def header_schema_rules(df: DataFrame) -> list[Rule]:
         return (path, "is not an allowed code", _true(~F.col(path).isin(allowed)), F.col(path))
 
     issued = F.col("issue_date")
+    slashed = issued.rlike("^[0-9]{4}/")  # the one date form the schema itself does not take
     rules = [
         required("invoice_id"),
         short("invoice_id", "invoice_id"),
         required("issue_date"),
-        ("issue_date", "is not a date", issued.isNotNull() & parse_date_any(issued, False).isNull(), issued),
+        ("issue_date", "is not a date", issued.isNotNull() & (F.col("_issued").isNull() | slashed), issued),
         code("invoice_type_code", fv.INVOICE_TYPES),
         code("currency_code", fv.INVOICE_CURRENCIES),
         short("purchase_order_reference", "purchase_order_reference"),
@@ -287,7 +297,7 @@ def totals_rules() -> list[Rule]:
 def date_rules(as_of: str) -> list[Rule]:
     """`as_of` is the day that counts as today."""
     issue_text, due_text = F.col("issue_date"), F.col("payment_terms.payment_due_date")
-    issued, due = parse_date_any(issue_text), parse_date_any(due_text)
+    issued, due = F.col("_issued"), F.col("_due")
     today = F.lit(as_of).cast("date")
     due_field = "payment_terms.payment_due_date"
     return [
@@ -303,8 +313,8 @@ def header_rules(df: DataFrame, as_of: str) -> list[Rule]:
     return header_schema_rules(df) + number_and_vat_rules() + totals_rules() + dated
 
 
-def errors(rules: list[Rule], prefix: Column | None = None) -> Column:
-    """Broken rules as an array of struct<field, message, value>, in rule order."""
+def rule_array(rules: list[Rule], prefix: Column | None = None) -> Column:
+    """One struct<field, message, value> per rule, in rule order, null where the rule holds."""
 
     def path(field: str) -> Column:
         return F.lit(field) if prefix is None else F.concat(prefix, F.lit("."), F.lit(field))
@@ -313,12 +323,19 @@ def errors(rules: list[Rule], prefix: Column | None = None) -> Column:
         F.when(broken, F.struct(path(f).alias("field"), F.lit(m).alias("message"), v.cast("string").alias("value")))
         for f, m, broken, v in rules
     ]
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return F.array(*entries)
+
+
+def with_errors(df: DataFrame, rules: list[Rule], out: str = "errors", count: str = "n_header_errors") -> DataFrame:
+    """Adds the broken rules and their number. All rules are evaluated in one generated projection, as a column that
+    the next one reads twice; inside the filter function itself they would be interpreted one by one."""
+    kept = F.filter("_rules", lambda e: e.isNotNull())
+    return df.withColumn("_rules", rule_array(rules)).withColumns({out: kept, count: F.size(kept)}).drop("_rules")
 
 
 def broken_rows(df: DataFrame, keys: list[str], rules: list[Rule], prefix: Column | None = None) -> DataFrame:
     """Broken rules as rows: keys, field, message, value."""
-    found = df.select(*keys, F.explode(errors(rules, prefix)).alias("e"))
+    found = df.select(*keys, F.explode(rule_array(rules, prefix)).alias("e")).where(F.col("e").isNotNull())
     return found.select(*keys, "e.field", "e.message", "e.value")
 
 
@@ -328,6 +345,7 @@ def line_prefix() -> Column:
 
 def all_errors(headers: DataFrame, lines: DataFrame, key: str, as_of: str) -> DataFrame:
     """Every broken header and line rule as one row."""
+    headers = prepared(headers)
     of_headers = broken_rows(headers, [key], header_rules(headers, as_of))
     return of_headers.unionByName(broken_rows(lines, [key], line_rules(F.col), line_prefix()))
 
@@ -340,7 +358,8 @@ def default_currency(country: Column) -> Column:
 
 
 def warnings(with_terms: bool = True) -> Column:
-    """Warning texts of an invoice header, in rule order."""
+    """Warning texts of an invoice header, in rule order. The texts differ, so taking
+    the set difference with [null] only drops the nulls, and stays in generated code."""
     currency, home = F.col("currency_code"), default_currency(F.col("supplier.country_code"))
     gross = _num(F.col("total_incl_vat"))
     due = F.col("payment_terms.payment_due_date").isNull() if with_terms else F.lit(True)
@@ -358,7 +377,7 @@ def warnings(with_terms: bool = True) -> Column:
         (~present(F.col("purchase_order_reference")), F.lit("Purchase order reference is missing")),
         (gross > 100000, F.concat(F.lit("Invoice total "), gross.cast(MONEY).cast("string"), F.lit(" is unusually high"))),
     ]
-    return F.filter(F.array(*[F.when(cond, text) for cond, text in tests]), lambda w: w.isNotNull())
+    return F.array_except(F.array(*[F.when(cond, text) for cond, text in tests]), F.array(F.lit(None).cast("string")))
 
 
 # --- scores --------------------------------------------------------------------------------------------------------
@@ -408,11 +427,10 @@ def confidence(complete: Column, consistent: Column, ocr: Column) -> Column:
 def validate(headers: DataFrame, as_of: str) -> DataFrame:
     """Judges headers that carry their line and tax summary. Adds is_valid, errors (header rules), n_errors (all
     rules), warnings and the three scores."""
-    df = typed_amounts(headers)
-    counted = F.size("errors") + F.coalesce("line_errors", F.lit(0)) + F.coalesce("tax_errors", F.lit(0))
-    judged = df.withColumns(
+    df = prepared(headers)
+    counted = F.col("n_header_errors") + F.coalesce("line_errors", F.lit(0)) + F.coalesce("tax_errors", F.lit(0))
+    judged = with_errors(df, header_rules(df, as_of)).withColumns(
         {
-            "errors": errors(header_rules(df, as_of)),
             "warnings": warnings("payment_terms" in df.columns),
             "completeness_score": completeness(),
             "consistency_score": consistency(),
@@ -420,9 +438,8 @@ def validate(headers: DataFrame, as_of: str) -> DataFrame:
     )
     ocr = F.col("ocr_confidence") if "ocr_confidence" in df.columns else F.lit(None).cast("double")
     scored = confidence(F.col("completeness_score"), F.col("consistency_score"), ocr)
-    return judged.withColumns({"n_errors": counted.cast("long"), "confidence_score": scored}).withColumn(
-        "is_valid", F.col("n_errors") == 0
-    )
+    summed = judged.withColumns({"n_errors": counted.cast("long"), "confidence_score": scored})
+    return summed.withColumn("is_valid", F.col("n_errors") == 0).drop("_issued", "_due", "n_header_errors")
 
 
 def validate_nested(df: DataFrame, as_of: str) -> DataFrame:

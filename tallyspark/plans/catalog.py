@@ -41,7 +41,7 @@ def validate_invoices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _header_rows(spark: SparkSession, sf: str, rules: Callable) -> DataFrame:
-    headers = w.invoice_headers(spark, sf)
+    headers = validation.prepared(w.invoice_headers(spark, sf))
     return validation.broken_rows(headers, ["doc_key"], rules(headers))
 
 
@@ -121,9 +121,9 @@ def quick_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def concat_errors(spark: SparkSession, sf: str) -> DataFrame:
-    headers = w.invoice_headers(spark, sf)
-    listed = validation.errors(validation.header_rules(headers, w.AS_OF))
-    return headers.select("doc_key", joined(F.transform(listed, lambda e: e["field"])).alias("fields"))
+    headers = validation.prepared(w.invoice_headers(spark, sf))
+    listed = validation.with_errors(headers, validation.header_rules(headers, w.AS_OF))
+    return listed.select("doc_key", joined(F.transform("errors", lambda e: e["field"])).alias("fields"))
 
 
 @query
@@ -171,10 +171,20 @@ _text_query("normalize_newlines", tx.normalize_newlines)
 _text_query("clean_ocr_text", tx.clean_ocr_text)
 _text_query("extract_invoice_number", tx.invoice_number)
 _text_query("extract_dates", lambda t: joined(tx.dates(t)))
-_text_query(
-    "extract_vat_ids", lambda t: joined(F.transform(tx.vat_ids(t), lambda x: F.concat_ws(":", x["country"], x["vat_id"])))
-)
-_text_query("detect_language", tx.document_language)
+
+
+@query
+def extract_vat_ids(spark: SparkSession, sf: str) -> DataFrame:
+    found = extraction.with_vat_ids(w.texts(spark, sf), "text")
+    listed = F.transform("vat_ids", lambda x: F.concat_ws(":", x["country"], x["vat_id"]))
+    return found.select("doc_id", joined(listed).alias("result"))
+
+
+@query
+def detect_language(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.with_language(w.texts(spark, sf), "text", "result").select("doc_id", "result")
+
+
 _text_query("extract_companies", lambda t: joined(tx.companies(t)))
 _text_query("extract_addresses", lambda t: joined(tx.address_lines(t)))
 _text_query("extract_emails", lambda t: joined(tx.emails(t)))
@@ -205,9 +215,9 @@ def distinct_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def earliest_label(spark: SparkSession, sf: str) -> DataFrame:
-    scores = tx.language_scores(F.lower("text"), fv.DOCUMENT_LANGUAGE_WORDS)
-    best = tx.earliest_label(scores)
-    return w.texts(spark, sf).select("doc_id", best["label"].alias("label"), best["score"].alias("score"))
+    lowered = w.texts(spark, sf).select("doc_id", F.lower("text").alias("lowered"))
+    best = tx.earliest_label(tx.language_scores(F.col("lowered"), fv.DOCUMENT_LANGUAGE_WORDS))
+    return lowered.select("doc_id", best.alias("best")).select("doc_id", "best.label", "best.score")
 
 
 @query

@@ -27,6 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives a table that lies in fewer files than there are cores one partition per core, for work that is heavy per
+    row. Tables of many files are read as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def pick(values: list[str], index: str) -> str:
     """SQL that picks from a list of texts by a 0-based index; the same text runs on Spark and DuckDB."""
     cases = " ".join(f"WHEN {i} THEN '{value}'" for i, value in enumerate(values))
@@ -202,12 +209,13 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_format(o_orderdate, 'MMMM d, yyyy')",
         "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)",
     )
-    return table(spark, sf_dir, "orders").selectExpr("concat('I', o_orderkey) AS doc_id", f"{text} AS text")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return spread(orders).selectExpr("concat('I', o_orderkey) AS doc_id", f"{text} AS text")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed invoices and all documents."""
-    documents = table(spark, sf_dir, "documents").selectExpr("concat('D', doc_id) AS doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").selectExpr("concat('D', doc_id) AS doc_id", "text"))
     return invoice_texts(spark, sf_dir).unionAll(documents)
 
 
@@ -217,7 +225,7 @@ PAGE_TOKENS = 240
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: the words of every document laid on pages of 30 rows by 8 columns, with jitter in y."""
-    words = table(spark, sf_dir, "documents").select(
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("i", "text")
     )
     placed = words.selectExpr(
@@ -277,7 +285,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         " CASE i % 3 WHEN 0 THEN '19%' WHEN 1 THEN '7.5 %' ELSE 'none' END, '</td>') END, '</tr>')"
     )
     sentences = r"regexp_extract_all(text, '[^.\\n]+', 0)"
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr(
         "doc_id",
         f"concat('<table>', {header_html('(doc_id % 4)')}, array_join(transform({sentences}, (s, i) -> {row}), ''), '</table>') AS html",
     )
@@ -323,7 +331,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = "date_format(o_orderdate, 'yyyy-MM-dd')"
     text = text_sql(day, "date_format(o_orderdate, 'd MMMM yyyy')", "date_format(o_orderdate, 'MMMM d, yyyy')",
                     "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)")
-    return table(spark, sf_dir, "orders").selectExpr(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return spread(orders).selectExpr(
         "o_orderkey AS doc_key",
         "CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'et' ELSE 'fr' END AS lang",
         f"{response_sql(day)} AS response",
