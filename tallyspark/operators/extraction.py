@@ -78,10 +78,14 @@ def language_profile(df: DataFrame, text_col: str) -> DataFrame:
     return counted.withColumn("share", F.round(F.col("n") / everything, 6))
 
 
-def pair_similarity(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Jaccard similarity of the word sets of two text columns."""
-    sets = pairs.withColumns({"_l": tx.word_set(F.col(left)), "_r": tx.word_set(F.col(right))})
-    return sets.withColumn("similarity", tx.jaccard(F.col("_l"), F.col("_r"))).drop("_l", "_r")
+def pair_similarity(texts: DataFrame, pairs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Jaccard similarity of the word sets of given pairs (left, right) of text keys. Each set is built before the
+    join, where the texts still lie spread over their partitions; pairs are joined by key, never formed here."""
+    sets = texts.select(key, tx.word_set(F.col(text_col)).alias("words"))
+    both = pairs.join(sets.select(F.col(key).alias("left"), F.col("words").alias("_l")), "left").join(
+        sets.select(F.col(key).alias("right"), F.col("words").alias("_r")), "right"
+    )
+    return both.withColumn("similarity", tx.jaccard(F.col("_l"), F.col("_r"))).drop("_l", "_r")
 
 
 def page_language(tokens: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

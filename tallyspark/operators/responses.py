@@ -67,7 +67,7 @@ def typed_invoices(df: DataFrame, record: str) -> DataFrame:
     keep = ["invoice_id", "purchase_order_reference", "contract_reference", "supplier", "customer", "payment_terms",
             "detected_language", "ocr_confidence"]
     amounts = ["total_excl_vat", "total_vat", "total_incl_vat", "payable_amount"]
-    day = parse_date_any(r("issue_date"))
+    day = parse_date_any(r("issue_date"), accept_slash_iso=False)
     return df.withColumns(
         {
             **{name: r(name) for name in keep},

@@ -89,20 +89,21 @@ def line_schema_rules(get: Get) -> list[Rule]:
     ]
 
 
-def line_total_rules(get: Get) -> list[Rule]:
+def line_total_rules(get: Get, off: Column | None = None) -> list[Rule]:
+    """`off` may hold the outcome of line_arithmetic_broken."""
     return [
         (
             "line_total",
             "Line total does not match quantity times unit price",
-            line_arithmetic_broken(get),
+            line_arithmetic_broken(get) if off is None else off,
             get("line_total").cast("string"),
         ),
         ("description", "Line item description is required", _blank(get("description")), get("description")),
     ]
 
 
-def line_rules(get: Get) -> list[Rule]:
-    return line_schema_rules(get) + line_total_rules(get)
+def line_rules(get: Get, off: Column | None = None) -> list[Rule]:
+    return line_schema_rules(get) + line_total_rules(get, off)
 
 
 def tax_calculation_broken(get: Get) -> Column:
@@ -132,13 +133,14 @@ def _count_broken(rules: list[Rule]) -> Column:
     return reduce(operator.add, [broken.cast("int") for _, _, broken, _ in rules])
 
 
-def _line_measures(get: Get) -> dict[str, Column]:
+def _line_measures(get: Get, off: Column | None = None) -> dict[str, Column]:
     """Per line: its net amount, whether it breaks its arithmetic for the score, and how many rules it breaks."""
-    q, p, t = (_num(get(n)) for n in ("quantity", "unit_price", "line_total"))
+    off = line_arithmetic_broken(get) if off is None else off
+    positive = _true((get("quantity") > 0) & (get("unit_price") > 0) & (get("line_total") > 0))
     return {
-        "line_sum": t,
-        "bad_lines": ((q > 0) & (p > 0) & (t > 0) & line_arithmetic_broken(get)).cast("int"),
-        "line_errors": _count_broken(line_rules(get)),
+        "line_sum": _num(get("line_total")),
+        "bad_lines": (off & positive).cast("int"),
+        "line_errors": _count_broken(line_rules(get, off)),
     }
 
 
@@ -180,7 +182,15 @@ def summarise_nested(df: DataFrame) -> DataFrame:
         start = F.lit(0).cast(kind)
         return F.coalesce(F.aggregate(F.col(array)[name], start, lambda acc, x: (acc + x).cast(kind)), start)
 
-    rows = df.withColumns({"_l": measured("invoice_lines", _line_measures), "_t": measured("tax_breakdown", _tax_measures)})
+    # Array functions are interpreted and share nothing, so the costly product is taken once per line beforehand.
+    names = df.schema["invoice_lines"].dataType.elementType.names
+    checked = F.transform(
+        "invoice_lines", lambda x: F.struct(*[x[n].alias(n) for n in names], line_arithmetic_broken(x.getField).alias("_off"))
+    )
+    lines = F.transform(
+        checked, lambda x: F.struct(*[c.alias(n) for n, c in _line_measures(x.getField, x["_off"]).items()])
+    )
+    rows = df.withColumns({"_l": lines, "_t": measured("tax_breakdown", _tax_measures)})
     sums = {
         "n_lines": F.coalesce(F.array_size("invoice_lines"), F.lit(0)).cast("long"),
         "line_sum": total("_l", "line_sum", "decimal(28,4)"),

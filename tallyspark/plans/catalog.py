@@ -245,11 +245,10 @@ def language_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def text_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each document against the one with the next id."""
-    documents = w.table(spark, sf, "documents")
-    left = documents.select("doc_id", F.col("text").alias("l"))
-    right = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("r"))
-    compared = extraction.pair_similarity(left.join(right, "doc_id"), "l", "r")
-    return compared.select("doc_id", F.round("similarity", 6).alias("similarity"))
+    documents = w.spread(w.table(spark, sf, "documents").select("doc_id", "text"))
+    pairs = w.table(spark, sf, "documents").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"))
+    compared = extraction.pair_similarity(documents, pairs, "doc_id", "text")
+    return compared.select(F.col("left").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
 
 
 # --- scalars -------------------------------------------------------------------------------------------------------
@@ -572,8 +571,9 @@ def page_quality_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- activity log --------------------------------------------------------------------------------------------------
-def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Rounds floating sums to 4 and means and rates to 9 digits: the order of addition is not fixed."""
+    return df.withColumns({n: F.round(n, 4 if "total" in n or n == "processing_time" else 9) for n in names})
 
 
 @query

@@ -542,12 +542,12 @@ _ok, _failed = "count(*) FILTER (success)", "count(*) FILTER (NOT success)"
 oracle(
     "batch_summary",
     f"SELECT strftime(ts, '%Y-%m-%d') AS batch_id, count(*) AS total_files, {_ok} AS processed_files, {_failed} AS failed_files,"
-    f" round({_ok} / count(*)::DOUBLE, 4) AS success_rate, round(sum(duration), 4) AS processing_time FROM v_log GROUP BY 1",
+    f" round({_ok} / count(*)::DOUBLE, 9) AS success_rate, round(sum(duration), 4) AS processing_time FROM v_log GROUP BY 1",
 )
 oracle(
     "processing_stats",
     f"SELECT count(*) AS processed_count, {_ok} AS success_count, {_failed} AS error_count, round(sum(duration), 4) AS total_processing_time,"
-    " round(avg(duration), 4) AS avg_processing_time FROM v_log",
+    " round(avg(duration), 9) AS avg_processing_time FROM v_log",
 )
 oracle("operation_counts", f"SELECT operation, {_ok} AS success_count, {_failed} AS error_count FROM v_log GROUP BY operation")
 
@@ -560,15 +560,15 @@ _marks = ", ".join(f"list_sort(list(duration))[CAST(floor(count(*) * {q}::DOUBLE
 oracle(
     "performance_stats",
     f"SELECT operation, {24 * 14} AS period_hours, count(*) AS total_operations, {_ok} AS successful_operations, {_failed} AS failed_operations,"
-    f" round({_ok} / count(*)::DOUBLE, 4) AS success_rate, round(avg(duration), 4) AS average_duration, min(duration) AS min_duration, max(duration) AS max_duration,"
-    f" round(count(*) / {24 * 14}.0::DOUBLE, 4) AS operations_per_hour, {_marks}, list_sort(list(duration))[count(*) // 2 + 1] AS median_duration FROM v_log WHERE {_recent(24 * 14)} GROUP BY operation",
+    f" round({_ok} / count(*)::DOUBLE, 9) AS success_rate, round(avg(duration), 9) AS average_duration, min(duration) AS min_duration, max(duration) AS max_duration,"
+    f" round(count(*) / {24 * 14}.0::DOUBLE, 9) AS operations_per_hour, {_marks}, list_sort(list(duration))[count(*) // 2 + 1] AS median_duration FROM v_log WHERE {_recent(24 * 14)} GROUP BY operation",
 )
 oracle(
     "llm_metrics",
     "SELECT operation AS model, CASE WHEN user_id % 2 = 0 THEN 'batched' ELSE 'single' END AS backend, count(*) AS total_requests,"
-    " round(sum(duration), 4) AS total_time, round(avg(duration), 4) AS avg_time_per_request FROM v_log GROUP BY ALL",
+    " round(sum(duration), 4) AS total_time, round(avg(duration), 9) AS avg_time_per_request FROM v_log GROUP BY ALL",
 )
-oracle("error_rate", f"SELECT count(*) AS total_operations, round(1 - {_ok} / count(*)::DOUBLE, 4) AS error_rate FROM v_log WHERE {_recent(48)}")
+oracle("error_rate", f"SELECT count(*) AS total_operations, round(1 - {_ok} / count(*)::DOUBLE, 9) AS error_rate FROM v_log WHERE {_recent(48)}")
 oracle(
     "latest_n",
     f"SELECT metric, CAST(rank AS INT) AS rank, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC, event_id DESC) AS rank FROM v_samples) WHERE rank <= {fv.SAMPLES_KEEP}",
@@ -629,8 +629,8 @@ oracle(
     f"SELECT {_line_id} AS invoice_id, CAST({_line_errors} AS BIGINT) AS n_errors, CASE WHEN ({_line_errors}) = 0 THEN 'valid' ELSE 'quarantine' END AS target FROM v_lines",
 )
 _window_stats = (
-    f"operation, count(*) AS total_operations, {_ok} AS successful_operations, round({_ok} / count(*)::DOUBLE, 4) AS success_rate,"
-    " round(avg(duration), 4) AS average_duration, min(duration) AS min_duration, max(duration) AS max_duration"
+    f"operation, count(*) AS total_operations, {_ok} AS successful_operations, round({_ok} / count(*)::DOUBLE, 9) AS success_rate,"
+    " round(avg(duration), 9) AS average_duration, min(duration) AS min_duration, max(duration) AS max_duration"
 )
 oracle(
     "stream_performance_stats",
@@ -645,5 +645,5 @@ oracle(
 oracle(
     "stream_processing_stats",
     f"SELECT count(*) AS processed_count, {_ok} AS success_count, {_failed} AS error_count, round(sum(duration), 4) AS total_processing_time,"
-    " round(avg(duration), 4) AS avg_processing_time FROM v_log",
+    " round(avg(duration), 9) AS avg_processing_time FROM v_log",
 )
