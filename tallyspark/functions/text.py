@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import fixed_values as fv
-from tallyspark.functions.values import parse_money
+from tallyspark.functions.values import number_characters, plain_number
 
 # Unicode-aware white space and word characters, spelled out so that no regex flag is needed.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -136,7 +136,7 @@ def amount_candidates(text: Column) -> Column:
     symbol_code = F.create_map(*[F.lit(x) for kv in fv.CURRENCY_SYMBOLS.items() for x in kv])
 
     def entry(raw: Column, currency: Column) -> Column:
-        return F.struct(parse_money(raw, "decimal(38,6)").alias("amount"), currency.alias("currency"), raw.alias("raw"))
+        return F.struct(number_characters(raw).alias("kept"), currency.alias("currency"), raw.alias("raw"))
 
     symbol_last = _when_possible(text, SYMBOLS, _all(text, SYMBOL_LAST), "array<string>")
     code_last = _when_possible(text, "(?:" + "|".join(fv.AMOUNT_CODES) + ")", _all(text, CODE_LAST), "array<string>")
@@ -146,9 +146,14 @@ def amount_candidates(text: Column) -> Column:
         F.transform(code_last, lambda r: entry(r, F.right(r, F.lit(3)))),
         F.transform(_all(text, BARE_AMOUNT), lambda r: entry(r, F.lit("EUR"))),
     )
+    # Array functions are interpreted and share nothing: the characters are kept once per hit, then the number is read.
+    valued = F.transform(
+        found,
+        lambda e: F.struct(plain_number(e["kept"]).try_cast("decimal(38,6)").alias("amount"), e["currency"], e["raw"]),
+    )
     return F.sort_array(
         F.transform(
-            F.filter(found, lambda e: e["amount"] > 0),
+            F.filter(valued, lambda e: e["amount"] > 0),
             lambda e, i: F.struct(
                 (-e["amount"]).alias("neg"), e["currency"].alias("currency"), i.alias("i"), e["raw"].alias("raw")
             ),

@@ -9,12 +9,14 @@ MONEY = "decimal(18,4)"
 RATE = "decimal(9,6)"
 
 
-def plain_number(text: Column) -> Column:
-    """Digits of a printed number with '.' as decimal sign; the last separator is the decimal one.
+def number_characters(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^0-9.,\-]", "")
 
-    A lone comma is decimal only when at most two characters follow it.
+
+def plain_number(kept: Column) -> Column:
+    """Digits of a printed number with '.' as decimal sign, from its number_characters; the last separator is the
+    decimal one. A lone comma is decimal only when at most two characters follow it.
     """
-    kept = F.regexp_replace(text, r"[^0-9.,\-]", "")
     comma_decimal = kept.rlike(r"\.[^,]*,[^.]*$|\..*,[^.]*$")
     return (
         F.when(comma_decimal, F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
@@ -25,7 +27,7 @@ def plain_number(text: Column) -> Column:
 
 def parse_money(text: Column, to: str = MONEY) -> Column:
     """Decimal value of a printed amount, null when it is none."""
-    return plain_number(text).try_cast(to)
+    return plain_number(number_characters(text)).try_cast(to)
 
 
 def money_or_zero(text: Column) -> Column:

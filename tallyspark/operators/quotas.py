@@ -51,15 +51,15 @@ def _fold(
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf[group]
-            starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
-            bounds = [*starts.tolist(), len(pdf)]
-            if bounds[0] != 0:
-                bounds = [0, *bounds]
+            ids = [pdf[g].to_numpy() for g in group]
+            changes = np.zeros(len(pdf) - 1, dtype=bool)
+            for values in ids:
+                changes |= values[1:] != values[:-1]
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(pdf)]
             columns: dict[str, list] = {name: [] for name in added}
             micros = pdf["_us"].to_numpy()
             for a, b in zip(bounds, bounds[1:]):
-                identity = tuple(ids.iloc[a])
+                identity = tuple(values[a] for values in ids)
                 if identity != current:
                     current, state = identity, new_state()
                 for name, values in zip(added, step(state, micros[a:b])):
