@@ -6,7 +6,7 @@ before the shuffle; nothing sorts all rows of one operation in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import fixed_values as fv
@@ -134,8 +134,10 @@ def retained(df: DataFrame, now: str, days: int = 7) -> DataFrame:
     return df.where(since("ts", now, days * 24))
 
 
-def threshold_table(spark) -> DataFrame:
-    return spark.createDataFrame(list(fv.ALERT_THRESHOLDS.items()), "metric string, threshold double")
+def threshold_table(spark: SparkSession, thresholds: dict[str, float] = fv.ALERT_THRESHOLDS) -> DataFrame:
+    """Thresholds as literal rows: Spark knows their size and need not shuffle the samples by their few metrics."""
+    rows = ", ".join(f"('{metric}', CAST({limit} AS DOUBLE))" for metric, limit in thresholds.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(metric, threshold)")
 
 
 def breaches(samples: DataFrame, thresholds: DataFrame) -> DataFrame:

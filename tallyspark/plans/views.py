@@ -27,11 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Gives a table that lies in fewer files than there are cores one partition per core, for work that is heavy per
-    row. Tables of many files are read as they are, without a shuffle."""
+    """Gives a table too small to fill the cores by its own splits one partition per core, for work that is heavy per
+    row. Larger tables are read as they are, without a shuffle. Goes by Spark's size estimate of the columns read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def pick(values: list[str], index: str) -> str:

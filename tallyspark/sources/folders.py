@@ -12,9 +12,13 @@ from tallyspark.operators.responses import RAW_INVOICE, typed_invoices
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared one the cluster names in spark.checkpoint.dir; a local one only without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="tallyspark-")
+    """A new folder below the shared one the cluster names in spark.checkpoint.dir. Without that setting a local
+    session gets a folder of its own; a cluster session is refused, since its executors share no local disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        base = tempfile.mkdtemp(prefix="tallyspark-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
