@@ -3,7 +3,7 @@
 Documents with equal shingle sets form a class. A class's shingles are put in several global orders: all orders put rare
 shingles first and differ in how they break ties. Two sets of similarity t or more share a shingle within their prefixes
 under EVERY order, so only pairs that do are verified. Dense groups are settled by comparing with one hub for each shingle
-first; later only pairs that lie in different components are formed.
+first; later only pairs that lie in different components are formed, or compared in tiles where a list is long.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, components, cut, splitmix
+from tallyspark.llm.common import bounded_rows, components, cut, find_roots, splitmix
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 ORDERS = 3
 ALL = (1 << ORDERS) - 1
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
+LIST_PAIRS = 4_096  # a shingle whose list would give more pairs is settled in tiles instead
+TILE = 1_024
+COMMON = 32  # shingles of more rows than that are counted by a matrix product
 COUNTERS = 1 << 16  # counters of the frequency sketch
 GROUP_TOKENS = 2_000_000  # shingles of a counting group
 FLUSH_TOKENS = 1_000_000
@@ -174,7 +177,7 @@ def _dealer(levels: np.ndarray, bits: int):
                 if prefix > len(plain):
                     hot = h[level > 0]
                     masks = _prefix_masks(hot, level[level > 0], prefix - len(plain))
-                    ready.append((fp, n, token_ids(hot[masks > 0], bits), masks[masks > 0]))
+                    ready.append((fp, n, token_ids(hot[masks > 0], bits), masks[masks > 0], prefix - len(plain)))
                 if exchange.held >= FLUSH_TOKENS:
                     yield from exchange.flush()
                 if len(ready) >= 1_000:
@@ -194,8 +197,10 @@ def _ready_rows(ready: list[tuple]) -> pa.RecordBatch:
         if some:
             fps, ns = np.array([r[0] for r in some]), np.array([r[1] for r in some], dtype=np.int32)
             counts = np.array([len(r[2]) for r in some], dtype=np.int32)
+            bases = np.array([r[4] for r in some], dtype=np.int32)
             tokens, masks = (np.concatenate([r[i] for r in some]) for i in (2, 3))
-            rows.append((-1 - part, fps.tobytes(), ns.tobytes(), ns.tobytes(), counts.tobytes(), tokens.tobytes(), masks.tobytes()))
+            columns = (fps, ns, bases, counts, tokens, masks)
+            rows.append((-1 - part, *(c.tobytes() for c in columns)))
     return _exchange_rows(rows)
 
 
@@ -244,22 +249,25 @@ def _shared_table(fp, token, freq, n, base, mask) -> pa.Table:
 
 
 def _prefixes(group: pa.Table) -> pa.Table:
-    """Prefix tokens of the classes of one group. Tokens of one class alone come first in every order; they take their
-    places but need no row, so of the shared ones base + (number of shared ones) are left for the prefix."""
+    """Prefix tokens of the classes of one group, with m, the number of the class's tokens that others have too. Tokens of
+    one class alone come first in every order; they take their places but need no row, so of the shared ones
+    base + (number of shared ones) are left for the prefix."""
     fp, token, freq, n, base, mask = (group.column(c).to_numpy() for c in ("fp", "token", "freq", "n", "base", "mask"))
     order = np.argsort(fp, kind="stable")
-    out = mask.copy()
+    out, m = mask.copy(), np.zeros(len(fp), dtype=np.int32)
     starts = np.flatnonzero(np.r_[True, fp[order][1:] != fp[order][:-1]])
-    for at in np.split(order, starts[1:]):
-        at = at[mask[at] == 0]
+    for own in np.split(order, starts[1:]):
+        at = own[mask[own] == 0]
+        first = own[0]
+        prefix = n[first] - -(-NUMERATOR * n[first] // DENOMINATOR) + 1
+        m[own] = n[first] - (prefix - base[first] - len(at))
         if len(at):
-            take = int(base[at[0]]) + len(at)
+            take = int(base[first]) + len(at)
             if take > 0:
                 out[at] = _prefix_masks(token[at], freq[at], take)
     keep = out > 0
-    return pa.table(
-        [pa.array(token[keep]), pa.array(fp[keep]), pa.array(n[keep]), pa.array(out[keep])], names=["token", "fp", "n", "mask"]
-    )
+    columns = [pa.array(x[keep]) for x in (token, fp, n, m, out)]
+    return pa.table(columns, names=["token", "fp", "n", "m", "mask"])
 
 
 def _similar(batches):
@@ -306,8 +314,76 @@ def _sharing(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.col("mask") == ALL).select("a", "b")
 
 
-def _sizes_fit(x: str, y: str):
-    return F.expr(f"{DENOMINATOR}L * least({x}, {y}) >= {NUMERATOR}L * greatest({x}, {y})")
+def _sizes_fit(n1: str, m1: str, n2: str, m2: str):
+    """Whether the sizes, and the numbers of tokens that are not a class's alone, leave room for the overlap needed."""
+    both, ratio = NUMERATOR + DENOMINATOR, f"{DENOMINATOR}L * least({n1}, {n2}) >= {NUMERATOR}L * greatest({n1}, {n2})"
+    return F.expr(f"{ratio} AND {both}L * least({m1}, {m2}) >= {NUMERATOR}L * ({n1} + {n2})")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets a (rows) with sets b (columns). Rare items add their few pairs one by one, common
+    ones go through a matrix product, some thousand items at a time."""
+    sizes = np.array([len(x) for x in a + b])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    items, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    counts = np.bincount(at, minlength=len(items))
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for item in np.flatnonzero((counts > 1) & (counts <= COMMON)):
+        rows = owner[order[edges[item] : edges[item + 1]]]
+        left, right = rows[rows < len(a)], rows[rows >= len(a)] - len(a)
+        if len(left) and len(right):
+            out[np.ix_(left, right)] += 1
+    common = np.flatnonzero(counts > COMMON)
+    place = np.full(len(items), -1)
+    place[common] = np.arange(len(common))
+    for k in range(0, len(common), 4_096):
+        mine = (place[at] >= k) & (place[at] < k + 4_096)
+        matrix = np.zeros((len(sizes), min(4_096, len(common) - k)), dtype=np.float32)
+        matrix[owner[mine], place[at][mine] - k] = 1
+        out += matrix[: len(a)] @ matrix[len(a) :].T
+    return out
+
+
+def _link_tile(group: pa.Table) -> pa.Table:
+    """A spanning forest of the links between the classes of two tiles that lie in different components so far."""
+    low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
+    tile, fp, comp = (group.column(c).to_numpy() for c in ("tile", "fp", "comp"))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("items").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    sides = [np.flatnonzero(tile == t) for t in (low, high)]
+    edges = [], []
+    for p in range(0, len(sides[0]), TILE):
+        for q in range(0, len(sides[1]), TILE):
+            i, j = sides[0][p : p + TILE], sides[1][q : q + TILE]
+            both = overlaps([sets[k] for k in i], [sets[k] for k in j]).astype(np.int64)
+            linked = DENOMINATOR * both >= NUMERATOR * (sizes[i][:, None] + sizes[j][None, :] - both)
+            x, y = np.nonzero(linked & (comp[i][:, None] != comp[j][None, :]))
+            if len(x):
+                nodes, at = np.unique(np.concatenate([fp[i[x]], fp[j[y]]]), return_inverse=True)
+                root = find_roots(at[: len(x)], at[len(x) :], len(nodes))
+                own = np.flatnonzero(root != np.arange(len(nodes)))
+                edges[0].append(nodes[own])
+                edges[1].append(nodes[root[own]])
+    a, b = (np.concatenate([np.empty(0, dtype=np.int64), *e]) for e in edges)
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _in_tiles(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among classes that long lists of shingles hold together: lists that share classes form a group, whose
+    classes are dealt to tiles of 1024 and compared tile by tile. Rows grow with classes times tiles, not with pairs."""
+    first = lists.groupBy("token").agg(F.min("fp").alias("b"))
+    groups = cut(components(lists.select("token", F.col("fp").alias("a")).join(first, "token").select("a", "b")))
+    members = groups.select(F.col("node").alias("fp"), F.col("component").alias("grp"))
+    rows = members.join(lists.select("fp", "comp").distinct(), "fp").join(sets, "fp")
+    tiles = members.groupBy("grp").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = rows.join(tiles, "grp").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select(
+        "grp", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "fp", "comp", "items"
+    )
+    return rows.groupBy("grp", "low", "high").applyInArrow(_link_tile, "a long, b long")
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -334,7 +410,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     dealt = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_dealer(levels, groups), EXCHANGE)
     shared = dealt.groupBy("grp").applyInArrow(_shared_tokens, SHARED)
     part = F.pmod(F.xxhash64("fp"), F.lit(1 << groups))
-    ranked = shared.groupBy(part.alias("part")).applyInArrow(_prefixes, "token long, fp long, n int, mask int")
+    ranked = shared.groupBy(part.alias("part")).applyInArrow(_prefixes, "token long, fp long, n int, m int, mask int")
     postings = cut(ranked)
     busy = postings.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
     postings = cut(postings.join(busy, "token"))
@@ -349,9 +425,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         else:
             p = p.withColumn("comp", F.col("fp"))
         if turn < HUB_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "n", "mask", "comp")).alias("hub")
+            hub = F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "n", "m", "mask", "comp")).alias("hub")
             heads = p.groupBy("token").agg(hub, F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-            near = p.join(heads, "token").where((F.col("comp") != F.col("hub.comp")) & _sizes_fit("n", "hub.n"))
+            near = p.join(heads, "token").where((F.col("comp") != F.col("hub.comp")) & _sizes_fit("n", "m", "hub.n", "hub.m"))
             near = near.select(
                 F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"), F.expr("mask & hub.mask").alias("mask")
             )
@@ -360,11 +436,21 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             sizes = p.groupBy("token", "comp").agg(F.count("*").alias("rows"))
             most = sizes.groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps"))
             mixed = cut(p.join(most.where("comps > 1").select("token", F.col("top.comp").alias("main")), "token"))
-            few = mixed.where("comp <> main").selectExpr("token", "fp AS a", "n AS n1", "mask AS m1", "comp AS c1")
-            all_of = mixed.selectExpr("token", "fp AS b", "n AS n2", "mask AS m2", "comp AS c2", "comp = main AS in_main")
-            near = few.join(all_of, "token").where((F.expr("c1 <> c2 AND (in_main OR a < b)")) & _sizes_fit("n1", "n2"))
-            near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("m1 & m2").alias("mask"))
-        found = cut(_verified(_sharing(near.where("mask <> 0")), sets))
+            small = F.count(F.when(F.col("comp") != F.col("main"), 1))
+            lists = mixed.groupBy("token").agg(small.alias("few"), F.count("*").alias("rows"))
+            dense = lists.where(F.col("few") * F.col("rows") > LIST_PAIRS).select("token")
+            in_tiles = _in_tiles(mixed.join(dense, "token"), sets)
+            mixed = mixed.join(dense, "token", "left_anti")
+            few = mixed.where("comp <> main").selectExpr("token", "fp AS a", "n AS n1", "m AS m1", "mask AS k1", "comp AS c1")
+            all_of = mixed.selectExpr(
+                "token", "fp AS b", "n AS n2", "m AS m2", "mask AS k2", "comp AS c2", "comp = main AS in_main"
+            )
+            near = few.join(all_of, "token").where(
+                F.expr("c1 <> c2 AND (in_main OR a < b)") & _sizes_fit("n1", "m1", "n2", "m2")
+            )
+            near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("k1 & k2").alias("mask"))
+        found = _verified(_sharing(near.where("mask <> 0")), sets)
+        found = cut(found if turn < HUB_ROUNDS else found.unionByName(in_tiles))
         links = found if links is None else links.unionByName(found)
         labels = cut(components(links).select(F.col("node").alias("fp"), F.col("component").alias("comp")))
 
