@@ -56,6 +56,13 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def slices(batches, rows: int = 512):
+    """Batches cut to few rows, so that a task holds the texts and results of so many rows at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -79,7 +86,7 @@ def compute(
         rows = docs.select(*names)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = work(texts_of(batch.column(at[0] if at else len(names))))
             columns = [*batch.columns[: len(names)], *(pa.array(x, t) for x, t in zip(found, types, strict=True))]
             made = pa.RecordBatch.from_arrays(columns, names=[*names, *fields])

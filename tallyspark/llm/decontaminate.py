@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, compute, texts_of
+from tallyspark.llm.common import bounded_rows, compute, slices, texts_of
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.6  # share of an item's own score that a passage must reach
@@ -212,7 +212,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches, held=held):
-            for batch in batches:
+            for batch in slices(batches):
                 got = []
                 for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                     got += [(doc, *hit) for hit in held.value.hits(text)]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import texts_of
+from tallyspark.llm.common import slices, texts_of
 
 # Frequent words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -188,7 +188,7 @@ def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] =
     page, or one without text, gives an empty text; repeated rows repeat their result."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(page) for page in texts_of(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

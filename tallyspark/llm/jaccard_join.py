@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, components, cut, find_roots, splitmix
+from tallyspark.llm.common import bounded_rows, components, cut, find_roots, slices, splitmix
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -28,7 +28,7 @@ COUNTERS = 1 << 16  # counters of the frequency sketch
 GROUP_TOKENS = 2_000_000  # shingles of a counting group
 FLUSH_TOKENS = 1_000_000
 BITMAP_BITS = 1 << 24
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -68,7 +68,7 @@ def _profile(batches):
     """One row for each document (doc_id, n, fp) and, at the end, the partition's counters (slot, count)."""
     counts = np.zeros(COUNTERS, dtype=np.int64)
     seen: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches):
         sizes, prints = [], []
         for text in batch.column(1).to_pylist():
             h = shingles(text)
@@ -159,7 +159,7 @@ def _dealer(levels: np.ndarray, bits: int):
 
     def deal(batches):
         exchange, seen, ready = _Exchange(bits), set(), []
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 h = shingles(text)
                 if not len(h):
@@ -271,7 +271,7 @@ def _prefixes(group: pa.Table) -> pa.Table:
 
 
 def _similar(batches):
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
             x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
@@ -292,7 +292,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def cut_sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column("at").to_numpy()
             hit = (held.value[at >> 6] >> (at & 63)) & 1 == 1
             some = batch.filter(pa.array(hit))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, compute, cut, texts_of
+from tallyspark.llm.common import bounded_rows, compute, cut, slices, texts_of
 
 PROFILE = 400  # n-grams of a profile, for languages and for documents
 LANGUAGES = 1_000  # more distinct values than that are not languages
@@ -76,7 +76,7 @@ class Profiles:
 
 def _count_grams(batches):
     """(lang, gram, n) of one partition, each gram of a language once for about a million characters."""
-    for batch in batches:
+    for batch in slices(batches):
         texts, langs = texts_of(batch.column(0)), batch.column(1).to_pylist()
         waiting: dict[str, list[str]] = {}
         sizes: dict[str, int] = {}

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import texts_of
+from tallyspark.llm.common import slices, texts_of
 
 # The exact phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -146,7 +146,7 @@ def scan(
 
     def work(batches):
         tool = scanner(*chosen, chars_per_error)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in texts_of(batch.column(1)):
                 n, places, found = tool.scan(text)

@@ -11,102 +11,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, compute, crc_mod, texts_of
+from tallyspark.llm.common import bounded_rows, compute, crc_mod, slices, texts_of
 
 BUCKETS = 8_192  # words share this many vectors by hash
 DIM = 32
-NONZERO = 4  # parts of a random index vector that are +1 or -1
+NONZERO = 4  # parts of a random index vector that are not 0: half of them +1, half -1
 WINDOW = 2  # neighbours on either side that make up a context
 SUM_COLUMNS = [f"s{d}" for d in range(DIM)]
 SAMPLE = 20_000  # labelled rows that the network is fitted on, at most in expectation
 SEED = 7
-WORD = re.compile(r"[^\W\d_]+")
+HALF = BUCKETS // 2  # words and shapes have half the buckets each
+SIGNS = bytes(c for c in range(128) if not chr(c).isalpha())
+SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256))
+SAME = re.compile(rb"([Aa9])\1+")
 PIECE_TOKENS = 1 << 18  # tokens worked on at once
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 
 
 def index_vectors() -> np.ndarray:
-    """Sparse random index vectors: one for each bucket, and a zero vector for the end of a text."""
+    """Sparse random index vectors, one row for each bucket: the parts that are +1 (first half) and -1 (second half)."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS + 1, DIM), dtype=np.float32)
-    for row in out[:BUCKETS]:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return out
+    return np.stack([rng.choice(DIM, NONZERO, replace=False) for _ in range(BUCKETS)])
 
 
 class Buckets(dict):
-    """(word bucket, shape bucket) of each blank-separated token. The shape keeps case, digits and signs but no letter:
-    runs of capitals, of small letters and of digits count as one."""
-
-    def __missing__(self, token: str) -> tuple[int, int]:
-        word = "".join(WORD.findall(token)).lower() or token
-        shape = re.sub(r"a+", "a", re.sub(r"A+", "A", re.sub(r"\d+", "9", WORD.sub(_letters, token))))
-        half = BUCKETS // 2
-        pair = zlib.crc32(word.encode("utf-8", "surrogatepass")) % half, half + zlib.crc32(
-            shape.encode("utf-8", "surrogatepass")
-        ) % half
+    """Word bucket times BUCKETS plus shape bucket of each blank-separated token. The word is its letters in lower case; the
+    shape keeps case, digits and signs but no letter: runs of capitals, of small letters and of digits count as one."""
+
+    def __missing__(self, token: str) -> int:
+        raw = token.encode("utf-8", "surrogatepass")
+        word = token.lower().encode("utf-8", "surrogatepass").translate(None, SIGNS) or raw
+        shape = SAME.sub(rb"\1", raw.translate(SHAPE))
+        pair = zlib.crc32(word) % HALF * BUCKETS + HALF + zlib.crc32(shape) % HALF
         if len(self) < KNOWN_WORDS:
             self[token] = pair
         return pair
 
 
-def _letters(found: re.Match) -> str:
-    return "".join("A" if c.isupper() else "a" for c in found[0])
-
-
 _KNOWN = Buckets()
 
 
-def pieces(texts: list[str]):
-    """Cuts texts into runs of tokens: (number of the text, word buckets, shape buckets). A long text gives several runs."""
+def _blocks(texts: list[str]):
+    """Tokens of the texts in blocks of about PIECE_TOKENS: (text numbers, starts, word buckets, shape buckets). A long text
+    is cut into several runs."""
+    owners, runs, size = [], [], 0
     for i, text in enumerate(texts):
         tokens = text.split()
         for k in range(0, len(tokens), PIECE_TOKENS):
-            pairs = np.array([_KNOWN[t] for t in tokens[k : k + PIECE_TOKENS]], dtype=np.int32)
-            yield i, pairs
-
-
-def _blocks(texts: list[str]):
-    """Runs gathered to blocks of about PIECE_TOKENS: (text numbers, starts, word buckets, shape buckets)."""
-    held, size = [], 0
-    for i, pairs in pieces(texts):
-        held.append((i, pairs))
-        size += len(pairs)
-        if size >= PIECE_TOKENS:
-            yield _block(held)
-            held, size = [], 0
-    if held:
-        yield _block(held)
+            some = tokens[k : k + PIECE_TOKENS]
+            owners.append(i)
+            runs.append(np.fromiter(map(_KNOWN.__getitem__, some), dtype=np.int64, count=len(some)))
+            size += len(some)
+            if size >= PIECE_TOKENS:
+                yield _block(owners, runs)
+                owners, runs, size = [], [], 0
+    if runs:
+        yield _block(owners, runs)
 
 
-def _block(held):
-    starts = np.cumsum([0] + [len(p) for _, p in held[:-1]])
-    both = np.concatenate([p for _, p in held])
-    return np.array([i for i, _ in held]), starts, both[:, 0], both[:, 1]
+def _block(owners: list[int], runs: list[np.ndarray]):
+    starts = np.cumsum([0] + [len(r) for r in runs[:-1]])
+    both = np.concatenate(runs)
+    return np.array(owners), starts, both // BUCKETS, both % BUCKETS
 
 
 def _contexts(batches):
     """Sums of context vectors of one partition, one row for each bucket seen."""
-    index = index_vectors()
-    sums = np.zeros((BUCKETS, DIM))
+    cells = index_vectors()
+    sums = np.zeros(BUCKETS * DIM, dtype=np.int64)
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for _, starts, words, shapes in _blocks(texts_of(batch.column(0))):
+            first = np.zeros(len(words) + WINDOW, dtype=np.int64)
+            first[starts] = 1
+            run = np.cumsum(first)[: len(words)]  # texts don't see each other
             for stream in (words, shapes):
-                gap = np.insert(stream, np.repeat(starts, WINDOW), BUCKETS)  # texts don't see each other
-                vectors = index[np.concatenate([gap, np.full(WINDOW, BUCKETS)])]
-                context = np.zeros((len(gap), DIM), dtype=np.float32)
+                counts += np.bincount(stream, minlength=BUCKETS)
                 for step in range(1, WINDOW + 1):
-                    context += vectors[step : step + len(gap)]
-                    context[step:] += vectors[: len(gap) - step]
-                real = gap != BUCKETS
-                own = gap[real]
-                for d in range(DIM):
-                    sums[:, d] += np.bincount(own, weights=context[real, d], minlength=BUCKETS)
-                counts += np.bincount(own, minlength=BUCKETS)
+                    same = np.flatnonzero(run[step:] == run[:-step])
+                    a, b = stream[same], stream[same + step]
+                    for own, other in ((a, b), (b, a)):
+                        at = own * DIM
+                        for k in range(NONZERO):
+                            found = np.bincount(at + cells[other, k], minlength=BUCKETS * DIM)
+                            if k < NONZERO // 2:
+                                sums += found
+                            else:
+                                sums -= found
     used = np.flatnonzero(counts)
-    columns = [pa.array(used, pa.int32()), pa.array(counts[used])]
-    columns += [pa.array(sums[used, d].astype(np.int64)) for d in range(DIM)]
+    sums = sums.reshape(BUCKETS, DIM)
+    columns = [pa.array(used, pa.int32()), pa.array(counts[used]), *(pa.array(sums[used, d]) for d in range(DIM))]
     yield pa.record_batch(columns, names=["bucket", "n", *SUM_COLUMNS])
 
 
@@ -133,16 +127,18 @@ def pool(texts: list[str], vectors: np.ndarray, weights: np.ndarray) -> np.ndarr
     totals = np.zeros((len(texts), 4))
     heavy = vectors * weights[:, None]
     for owners, starts, words, shapes in _blocks(texts):
-        lengths = np.diff(np.append(starts, len(words)))
-        which = np.repeat(owners.astype(np.int64), lengths)
+        which = np.repeat(owners.astype(np.int64), np.diff(np.append(starts, len(words)))) * BUCKETS
         for k, (stream, table) in enumerate(((words, heavy), (shapes, vectors))):
-            np.add.at(out[:, k * DIM : (k + 1) * DIM], owners, np.add.reduceat(table[stream], starts, axis=0))
-            np.add.at(totals[:, k], owners, lengths)
-            distinct = np.unique(which * BUCKETS + stream)
-            owner, bucket = distinct // BUCKETS, distinct % BUCKETS
+            keys = np.sort(which + stream)
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            times = np.diff(np.append(first, len(keys)))
+            owner, bucket = keys[first] // BUCKETS, keys[first] % BUCKETS
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            at = slice((2 + k) * DIM, (3 + k) * DIM)
-            np.add.at(out[:, at], owner[first], np.add.reduceat(table[bucket], first, axis=0))
+            found = table[bucket]
+            for part, rows in ((2 + k, found), (k, found * times[:, None].astype(np.float32))):
+                at = slice(part * DIM, (part + 1) * DIM)
+                np.add.at(out[:, at], owner[first], np.add.reduceat(rows, first, axis=0))
+            np.add.at(totals[:, k], owner[first], np.add.reduceat(times, first))
             np.add.at(totals[:, 2 + k], owner[first], np.diff(np.append(first, len(owner))))
     for k in range(4):
         out[:, k * DIM : (k + 1) * DIM] /= np.maximum(totals[:, k], 1.0)[:, None]
@@ -223,7 +219,7 @@ def fit(
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
 
     def pooled(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = pool(texts_of(batch.column("text")), vectors, weights)
             yield pa.record_batch(
                 {

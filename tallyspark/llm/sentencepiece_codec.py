@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyspark.llm.common import with_fields
+from tallyspark.llm.common import slices, with_fields
 
 BLANK = "▁"
-KNOWN_RUNS = 500_000  # short runs whose ids a worker remembers; only speed depends on it
+KNOWN_RUNS = 200_000  # short runs whose ids a worker remembers; only speed depends on it
 RUN_CHARS = 512
-CELLS = 1 << 20  # characters searched in step
+CELLS = 1 << 19  # characters searched in step
 TEXTS = 512
 UNKNOWN_PENALTY = 10.0
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, model_path: str, ids_column: str = "ids", text_colum
     docs = docs.drop(ids_column)
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             tool = codec(model_path)
             texts = batch.column(text_column).to_pylist()
             found = iter(tool.encode([t for t in texts if t is not None]))
@@ -309,7 +309,7 @@ def decode(rows: DataFrame, model_path: str, ids_column: str = "ids", text_colum
     rows = rows.drop(text_column)
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             tool, column = codec(model_path), batch.column(ids_column)
             flat, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             absent = column.is_null().to_pylist()

@@ -19,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, cut, texts_of, work_dir
+from tallyspark.llm.common import bounded_rows, cut, slices, texts_of, work_dir
 
 SEQUENCE = 2_048
 SEQUENCES_PER_BATCH = 256
-CACHE_ENTRIES = 400_000  # words whose ids a worker remembers; only speed depends on it
+CACHE_ENTRIES = 250_000  # words whose ids a worker remembers; only speed depends on it
 MANIFEST_FILES = 2_000_000
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -131,7 +131,7 @@ def write_tokens(
         with place.open_output_stream(f"{temp}.tokens") as a, place.open_output_stream(f"{temp}.docs") as b:
             sequences = _Sequences(a, sequence)
             index = pa.ipc.new_file(b, DOCS_SCHEMA)
-            for batch in batches:
+            for batch in slices(batches):
                 firsts, counts, texts = [], [], texts_of(batch.column(1))
                 for i in range(0, len(texts), 256):
                     for ids in encode(texts[i : i + 256]):
@@ -198,7 +198,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     """One row per document of the given (file, tokens before it): doc_id, start, n_tokens, ids_crc32, from the files alone."""
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for file, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 index, sequences = _open(f"{file}.docs.arrow"), SequenceFile(file)
                 for i in range(index.num_record_batches):
