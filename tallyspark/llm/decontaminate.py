@@ -29,7 +29,7 @@ LAST_SENTENCE = re.compile(r"[.!?…]\s+(?=\S[^.!?…]*[.!?…]?\s*$)")
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:

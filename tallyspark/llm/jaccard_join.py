@@ -25,10 +25,10 @@ LIST_PAIRS = 4_096  # a shingle whose list would give more pairs is settled in t
 TILE = 1_024
 COMMON = 32  # shingles of more rows than that are counted by a matrix product
 COUNTERS = 1 << 16  # counters of the frequency sketch
-GROUP_TOKENS = 2_000_000  # shingles of a counting group
-FLUSH_TOKENS = 1_000_000
+GROUP_TOKENS = 1_000_000  # shingles of a counting group
+FLUSH_TOKENS = 500_000
 BITMAP_BITS = 1 << 24
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 
 
 class _WordHashes(dict):

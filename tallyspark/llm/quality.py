@@ -25,7 +25,7 @@ SIGNS = bytes(c for c in range(128) if not chr(c).isalpha())
 SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else c for c in range(256))
 SAME = re.compile(rb"([Aa9])\1+")
 PIECE_TOKENS = 1 << 18  # tokens worked on at once
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 120_000
 
 
 def index_vectors() -> np.ndarray:

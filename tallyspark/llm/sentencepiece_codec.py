@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tallyspark.llm.common import slices, with_fields
 
 BLANK = "▁"
-KNOWN_RUNS = 200_000  # short runs whose ids a worker remembers; only speed depends on it
+KNOWN_RUNS = 150_000  # short runs whose ids a worker remembers; only speed depends on it
 RUN_CHARS = 512
 CELLS = 1 << 19  # characters searched in step
 TEXTS = 512
