@@ -193,15 +193,19 @@ def vat_ids(runs: Column) -> Column:
 
 
 COMPANY_END = f"{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)}){NOT_IN_WORD_AFTER}"
-COMPANY = (
-    rf"[A-ZÀ-ÿ][a-zA-ZÀ-ÿ&\-.\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]{{1,80}}{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?"
-    + NOT_IN_WORD_AFTER
-)
+NAME_CHARS = r"a-zA-ZÀ-ÿ&\-.\s\x0b\x1c-\x1f\x{85}\p{Z}"
+COMPANY = rf"[A-ZÀ-ÿ][{NAME_CHARS}]+{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_AFTER
+# A run of name characters, which may hold A/S, with the character after it; and its part up to the last legal form.
+NAME_RUN = rf"[{NAME_CHARS}]++(?:(?<=A)/S[{NAME_CHARS}]*+)*+(?s:.)?"
+NAMED_PART = rf"(?s)^.*{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_AFTER
 
 
 def companies(text: Column) -> Column:
-    """Names that end in a legal form, cleaned, longer than three characters, distinct, in text order."""
-    hits = _when_possible(text, COMPANY_END, _all(text, COMPANY), "array<string>")
+    """Names that end in a legal form, cleaned, longer than three characters, distinct, in text order. A name may be of any
+    length: the text is cut into runs of name characters, and only runs with a legal form are searched, up to the last."""
+    runs = F.filter(_all(text, NAME_RUN), lambda run: run.rlike(COMPANY_END))
+    found = F.flatten(F.transform(runs, lambda run: _all(F.regexp_extract(run, NAMED_PART, 0), COMPANY)))
+    hits = _when_possible(text, COMPANY_END, found, "array<string>")
     names = F.transform(hits, collapse_space)
     return F.array_distinct(F.filter(names, lambda n: F.length(n) > 3))
 

@@ -121,14 +121,14 @@ def token_cell_join(cells: DataFrame, tokens: DataFrame, page_keys: list[str], c
     """Text of each cell: tokens whose centre lies inside its box (edges included), joined in token order.
 
     Both sides carry the square tile of the page they touch, so the box test compares only near neighbours and a large
-    page is spread over many join keys. A token has one tile; a cell is repeated for each tile it covers.
+    page is spread over many join keys. A token has one tile; a cell is repeated for each tile it covers. A cell without a box keeps its row and has no text.
     """
 
     def tile_of(v: Column) -> Column:
         return F.floor(v / F.lit(tile)).cast("long")
 
-    spread = cells.withColumn("tx", F.explode(F.sequence(tile_of(F.col("x1")), tile_of(F.col("x2"))))).withColumn(
-        "ty", F.explode(F.sequence(tile_of(F.col("y1")), tile_of(F.col("y2"))))
+    spread = cells.withColumn("tx", F.explode_outer(F.sequence(tile_of(F.col("x1")), tile_of(F.col("x2"))))).withColumn(
+        "ty", F.explode_outer(F.sequence(tile_of(F.col("y1")), tile_of(F.col("y2"))))
     )
     placed = tokens.select(
         *page_keys, "elem_id", "text", "cx", "cy", tile_of(F.col("cx")).alias("tx"), tile_of(F.col("cy")).alias("ty")

@@ -58,21 +58,3 @@ def merge_pages(pages: DataFrame, lines: DataFrame, key: str, page: str, fields:
             F.col("total_excl_vat"), F.col("total_vat"), F.col("total_incl_vat"), F.col("line_sum"), F.col("n_lines")
         )
     )
-
-
-def nested_parts(lines: DataFrame, key: str, order: list[str], part_size: int = 5000) -> DataFrame:
-    """Lines nested into arrays of bounded size: one part per document, or several for documents with more lines than
-    part_size. Lines go to parts by the hash of their order columns, so a large document is spread over many rows and
-    tasks, and no line is left out. Rows: key, part_no, n_parts, invoice_lines in `order`."""
-    # Only documents of several parts are joined back: there are at most (number of lines / part_size) of them.
-    sizes = lines.groupBy(key).agg(F.ceil(F.count("*") / part_size).cast("int").alias("n_parts"))
-    large = sizes.where(F.col("n_parts") > 1)
-    fields = [c for c in lines.columns if c != key and c not in order]
-    sized = lines.join(large, key, "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
-    part = F.pmod(F.xxhash64(*order), F.col("n_parts")).cast("int") + 1
-    # Without this the grouping would reuse the join's partitioning by key alone and keep a large document in one task.
-    placed = sized.withColumn("part_no", part).repartition(key, "part_no")
-    nested = placed.groupBy(key, "n_parts", "part_no").agg(
-        F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("line")))).alias("_l")
-    )
-    return nested.select(key, "part_no", "n_parts", F.transform("_l", lambda x: x["line"]).alias("invoice_lines"))

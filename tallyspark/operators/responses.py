@@ -62,7 +62,8 @@ def clean_tax(row: Column) -> Column:
 
 
 def typed_invoices(df: DataFrame, record: str) -> DataFrame:
-    """Columns of the canonical invoice out of a raw record column; dates become ISO, money becomes decimal."""
+    """Columns of the canonical invoice out of a raw record column; dates become ISO, money becomes decimal.
+    The text of each header amount stays beside it as <name>_raw, so that validation can tell unreadable from missing."""
     r = lambda name: F.col(f"{record}.{name}")
     keep = ["invoice_id", "purchase_order_reference", "contract_reference", "supplier", "customer", "payment_terms",
             "detected_language", "ocr_confidence"]
@@ -75,6 +76,7 @@ def typed_invoices(df: DataFrame, record: str) -> DataFrame:
             "invoice_type_code": F.coalesce(r("invoice_type_code"), F.lit("380")),
             "currency_code": F.coalesce(r("currency_code"), F.lit("EUR")),
             **{name: parse_money(r(name)) for name in amounts},
+            **{f"{name}_raw": r(name) for name in amounts},
             "invoice_lines": F.transform(r("invoice_lines"), clean_line),
             "tax_breakdown": F.transform(r("tax_breakdown"), clean_tax),
         }

@@ -118,6 +118,7 @@ def tax_rules(get: Get) -> list[Rule]:
         rules.append((name, "must be at least 0", _true(v < 0), v.cast("string")))
     rate, category = get("tax_rate"), get("tax_category")
     return rules + [
+        ("tax_category", "field is required", category.isNull(), F.lit(None).cast("string")),
         ("tax_rate", "must be at most 1", _true(rate > 1), rate.cast("string")),
         ("tax_category", "is not an allowed code", _true(~category.isin(fv.VAT_CATEGORIES)), category),
         (
@@ -353,11 +354,18 @@ def line_prefix() -> Column:
     return F.concat(F.lit("invoice_lines."), F.col("line_ref"))
 
 
-def all_errors(headers: DataFrame, lines: DataFrame, key: str, as_of: str) -> DataFrame:
-    """Every broken header and line rule as one row."""
+def tax_prefix() -> Column:
+    """A tax row is named by its rate and category."""
+    name = F.concat_ws("-", F.col("tax_rate").cast("string"), "tax_category")
+    return F.concat(F.lit("tax_breakdown."), name)
+
+
+def all_errors(headers: DataFrame, lines: DataFrame, taxes: DataFrame, key: str, as_of: str) -> DataFrame:
+    """Every broken header, line and tax row rule as one row."""
     headers = prepared(headers)
     of_headers = broken_rows(headers, [key], header_rules(headers, as_of))
-    return of_headers.unionByName(broken_rows(lines, [key], line_rules(F.col), line_prefix()))
+    of_lines = broken_rows(lines, [key], line_rules(F.col), line_prefix())
+    return of_headers.unionByName(of_lines).unionByName(broken_rows(taxes, [key], tax_rules(F.col), tax_prefix()))
 
 
 # --- warnings ------------------------------------------------------------------------------------------------------
@@ -458,7 +466,7 @@ def validate_nested(df: DataFrame, as_of: str) -> DataFrame:
 
 
 def scorecard(error_rows: DataFrame) -> DataFrame:
-    """Broken rules per field and message over the whole table; line numbers are dropped from the field first."""
-    field = F.regexp_replace("field", r"^invoice_lines\.[^.]+\.", "invoice_lines.*.")
+    """Broken rules per field and message over the whole table; the names of lines and tax rows are dropped from the field first."""
+    field = F.regexp_replace("field", r"^(invoice_lines|tax_breakdown)\..+\.([^.]+)$", "$1.*.$2")
     return error_rows.groupBy(field.alias("field"), "message").agg(F.count("*").alias("n"))
 

@@ -111,7 +111,8 @@ def score_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _all_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.all_errors(w.invoice_headers(spark, sf), w.invoice_lines(spark, sf), "doc_key", w.AS_OF)
+    lines = w.invoice_lines(spark, sf)
+    return validation.all_errors(w.invoice_headers(spark, sf), lines, w.tax_rows(lines), "doc_key", w.AS_OF)
 
 
 @query
@@ -245,7 +246,7 @@ def language_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def text_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each document against the one with the next id."""
-    documents = w.spread(w.table(spark, sf, "documents").select("doc_id", "text"))
+    documents = w.table(spark, sf, "documents").select("doc_id", "text")
     pairs = w.table(spark, sf, "documents").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"))
     compared = extraction.pair_similarity(documents, pairs, "doc_id", "text")
     return compared.select(F.col("left").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
@@ -482,31 +483,36 @@ def export_xml(spark: SparkSession, sf: str) -> DataFrame:
     return folders.header_xml(w.invoice_headers(spark, sf)).select("doc_key", "xml")
 
 
-def _nested_invoices(spark: SparkSession, sf: str) -> DataFrame:
-    lines = w.invoice_lines(spark, sf).select("doc_key", "line_ref", "description", "quantity", "unit_price", "line_total")
-    return w.invoice_headers(spark, sf).join(merging.nested_parts(lines, "doc_key", ["line_ref"]), "doc_key")
+def _line_records(spark: SparkSession, sf: str) -> DataFrame:
+    return folders.peppol_lines(w.invoice_lines(spark, sf), "doc_key", "l_linenumber")
 
 
 @query
 def export_peppol(spark: SparkSession, sf: str) -> DataFrame:
-    made = folders.peppol_record(_nested_invoices(spark, sf), "invoice_lines")
+    """One header record per invoice, with its totals; the lines are records of their own."""
     r = F.col("record")
-    return made.select(
-        "doc_key", "part_no", r["currency"].alias("currency"), r["supplier"]["name"].alias("supplier_name"),
-        F.size(r["lines"]).alias("n_lines"),
-        joined(F.transform(r["lines"], lambda x: x["line_total"].cast("string"))).alias("line_totals"),
+    return folders.peppol_header(w.invoice_headers(spark, sf)).select(
+        "doc_key", r["currency"].alias("currency"), r["supplier"]["name"].alias("supplier_name"),
         r["totals"]["net"].alias("net"), r["totals"]["vat"].alias("vat"), r["totals"]["gross"].alias("gross"),
     )
 
 
+@query
+def export_peppol_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _line_records(spark, sf)
+
+
 @query
 def sink_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Writes every invoice as one JSON object and reads the folder back."""
-    made = folders.peppol_record(_nested_invoices(spark, sf), "invoice_lines").select("doc_key", "record.*")
+    """Writes header records and line records as JSON to two folders and reads them back."""
+    headers = folders.peppol_header(w.invoice_headers(spark, sf)).select("doc_key", "record.*")
+    lines = _line_records(spark, sf)
     path = folders.work_folder(spark, "sink-json")
-    folders.sink_json(made, path, "currency")
-    back = spark.read.schema(made.schema).json(path)
-    return back.select("doc_key", "currency", F.size("lines").alias("n_lines"), F.col("totals.gross").alias("gross"))
+    folders.sink_json(headers, f"{path}/headers", "currency")
+    folders.sink_json(lines, f"{path}/lines")
+    counts = spark.read.schema(lines.schema).json(f"{path}/lines").groupBy("doc_key").agg(F.count("*").cast("int").alias("n"))
+    back = spark.read.schema(headers.schema).json(f"{path}/headers").join(counts, "doc_key", "left")
+    return back.select("doc_key", "currency", F.coalesce("n", F.lit(0)).alias("n_lines"), F.col("totals.gross").alias("gross"))
 
 
 @query

@@ -101,7 +101,10 @@ VIEWS = {
     " vat_sum AS total_vat,"
     " CAST(line_sum + vat_sum + CASE WHEN o_orderkey % 7 = 0 THEN 5 WHEN o_orderkey % 89 = 0 THEN line_sum ELSE 0 END AS DECIMAL(18,4)) AS total_incl_vat,"
     " CAST(line_sum + vat_sum - CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,4)) AS payable_amount"
-    " FROM v_orders JOIN v_line_sums USING (doc_key) JOIN v_tax_sums USING (doc_key)",
+    " FROM (SELECT o.*, coalesce(n_lines, 0) AS n_lines, coalesce(line_sum, 0)::DECIMAL(18,4) AS line_sum, coalesce(bad_lines, 0) AS bad_lines,"
+    " coalesce(line_errors, 0) AS line_errors, coalesce(supplier_key, 0) AS supplier_key, coalesce(vat_sum, 0)::DECIMAL(18,4) AS vat_sum,"
+    " coalesce(bad_taxes, 0) AS bad_taxes, coalesce(tax_errors, 0) AS tax_errors FROM v_orders AS o"
+    " LEFT JOIN v_line_sums USING (doc_key) LEFT JOIN v_tax_sums USING (doc_key))",
     "v_invoice_texts": f"SELECT concat('I', o_orderkey) AS doc_id, {TEXT} AS text FROM orders",
     "v_texts": "SELECT doc_id, text FROM v_invoice_texts UNION ALL SELECT concat('D', doc_id), text FROM documents",
     "v_words": f"SELECT doc_id, unnest({WORDS}) AS text, unnest(range(len({WORDS}))) AS i FROM documents",

@@ -42,6 +42,7 @@ SCHEMA_RULES = [
     ("supplier.country_code", "is not an allowed code", f"supplier_country_code NOT IN {CODES['country']}", "supplier_country_code"),
     ("customer.name", "field is required", "customer_name IS NULL", "NULL"),
     ("customer.country_code", "field is required", "customer_country_code IS NULL", "NULL"),
+    ("payable_amount", "must be at least 0", "payable_amount < 0", "CAST(payable_amount AS VARCHAR)"),
 ]
 NUMBER_RULES = [("invoice_id", "Invoice number format is invalid", "coalesce(length(invoice_id), 0) < 3", "invoice_id")]
 
@@ -112,9 +113,9 @@ _GAP = f"CAST(abs(total_excl_vat + total_vat - total_incl_vat) AS DOUBLE) / grea
 _LGAP = f"CAST(abs(line_sum - total_excl_vat) AS DOUBLE) / greatest({_D['line_sum']}, {_D['total_excl_vat']})"
 CONSISTENT = (
     "greatest(1.0::DOUBLE - least("
-    f"CASE WHEN total_incl_vat > 0 AND least({_GAP} * 2, 0.3::DOUBLE) > 0.01::DOUBLE THEN least({_GAP} * 2, 0.3::DOUBLE) ELSE 0.0::DOUBLE END"
+    f"CASE WHEN total_incl_vat > 0 AND total_excl_vat + total_vat <> 0 AND least({_GAP} * 2, 0.3::DOUBLE) > 0.01::DOUBLE THEN least({_GAP} * 2, 0.3::DOUBLE) ELSE 0.0::DOUBLE END"
     " + CASE WHEN total_incl_vat > 0 AND payable_amount > 0 AND abs(payable_amount - total_incl_vat) > 0.01 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END"
-    f" + CASE WHEN {_LGAP} > 0.01::DOUBLE THEN least({_LGAP} * 0.5::DOUBLE, 0.2::DOUBLE) ELSE 0.0::DOUBLE END"
+    f" + CASE WHEN n_lines > 0 AND {_LGAP} > 0.01::DOUBLE THEN least({_LGAP} * 0.5::DOUBLE, 0.2::DOUBLE) ELSE 0.0::DOUBLE END"
     " + bad_lines * 0.05::DOUBLE + bad_taxes * 0.1::DOUBLE"
     f" + CASE WHEN {HOME} IS NOT NULL AND currency_code IS DISTINCT FROM {HOME} THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END"
     ", 0.99::DOUBLE), 0.01::DOUBLE)"
@@ -154,10 +155,21 @@ oracle("rule_warnings", " UNION ALL ".join(f"SELECT doc_key, {t} AS warning FROM
 oracle("score_completeness", f"SELECT doc_key, round(c1, 6) AS score FROM ({SCORED})")
 oracle("score_consistency", f"SELECT doc_key, round(c2, 6) AS score FROM ({SCORED})")
 oracle("score_confidence", f"SELECT doc_key, round(c3, 6) AS score FROM ({SCORED})")
-_every = rules_sql(HEADER_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_RULES, "v_lines", LINE_PREFIX)
+TAX_RULES = [
+    ("tax_category", "is not an allowed code", f"tax_category NOT IN {CODES['vat']}", "tax_category"),
+    ("tax_amount", "Tax amount does not match taxable amount times rate", _tax_off, "tax_amount"),
+]
+TAX_PREFIX = "'tax_breakdown.' || CAST(tax_rate AS VARCHAR) || '-' || tax_category || '.' || "
+_every = (
+    rules_sql(HEADER_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_RULES, "v_lines", LINE_PREFIX)
+    + " UNION ALL " + rules_sql(TAX_RULES, "v_taxes", TAX_PREFIX)
+)
 oracle("quick_validate", f"SELECT doc_key, concat(field, ': ', message) AS error FROM ({_every})")
 oracle("concat_errors", f"SELECT doc_key, {listed(HEADER_RULES, 'field')} AS fields FROM v_headers")
-_star = rules_sql(HEADER_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_RULES, "v_lines", "'invoice_lines.*.' || ")
+_star = (
+    rules_sql(HEADER_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_RULES, "v_lines", "'invoice_lines.*.' || ")
+    + " UNION ALL " + rules_sql(TAX_RULES, "v_taxes", "'tax_breakdown.*.' || ")
+)
 oracle("dq_scorecard", f"SELECT field, message, count(*) AS n FROM ({_star}) GROUP BY field, message")
 oracle("nested_field", "SELECT doc_key, nullif(invoice_id, '') AS invoice_id, supplier_name, customer_vat_id FROM v_headers")
 oracle("currency_lookup", f"SELECT doc_key, {HOME} AS default_currency FROM v_headers")
@@ -271,7 +283,7 @@ oracle(
 )
 
 _company = (
-    rf"([A-ZÀ-ÿ][a-zA-ZÀ-ÿ&\-.\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]{{1,80}}{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?)(?:[^\p{{L}}\p{{N}}_]|$)"
+    rf"([A-ZÀ-ÿ][a-zA-ZÀ-ÿ&\-.\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?)(?:[^\p{{L}}\p{{N}}_]|$)"
 )
 
 
@@ -434,14 +446,14 @@ oracle(
 oracle(
     "completeness_confidence",
     "SELECT doc_key, round(least(1.0::DOUBLE, (CAST(nullif(invoice_id, '') IS NOT NULL AS INT) + CAST(issue_date IS NOT NULL AS INT) + CAST(supplier_name IS NOT NULL AS INT)"
-    " + CAST(nullif(total_incl_vat, 0) IS NOT NULL AS INT)) / 4.0::DOUBLE + 0.1::DOUBLE), 2) AS score FROM v_headers",
+    " + CAST(nullif(total_incl_vat, 0) IS NOT NULL AS INT)) / 4.0::DOUBLE + CASE WHEN n_lines > 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 2) AS score FROM v_headers",
 )
 oracle(
     "extraction_quality",
     "SELECT doc_key, round(q, 6) AS required_fields_present, round(c, 6) AS data_completeness,"
     " round(coalesce(ocr_confidence, 0) * 0.3::DOUBLE + q * 0.4::DOUBLE + c * 0.3::DOUBLE, 6) AS overall_quality FROM ("
     "SELECT *, (CAST(nullif(invoice_id, '') IS NOT NULL AS INT) + 1 + 1 + CAST(nullif(total_incl_vat, 0) IS NOT NULL AS INT)) AS k,"
-    " k / 4.0::DOUBLE AS q, (k + CAST(customer_name IS NOT NULL AS INT) + 1) / 6.0::DOUBLE AS c FROM v_headers)",
+    " k / 4.0::DOUBLE AS q, (k + CAST(customer_name IS NOT NULL AS INT) + CAST(n_lines > 0 AS INT)) / 6.0::DOUBLE AS c FROM v_headers)",
 )
 
 
@@ -465,18 +477,18 @@ oracle(
 # --- merging -------------------------------------------------------------------------------------------------------
 oracle(
     "merge_line_sources",
-    "SELECT doc_key, 'table' AS source, description, line_total FROM v_lines WHERE doc_key % 3 <> 0 UNION ALL"
+    "SELECT doc_key, 'table' AS source, description, line_total FROM v_lines UNION ALL"
     " SELECT o_orderkey, 'model', o_orderpriority, CAST(o_totalprice AS DECIMAL(18,4)) FROM orders"
-    " WHERE o_orderkey NOT IN (SELECT doc_key FROM v_lines WHERE doc_key % 3 <> 0)",
+    " WHERE o_orderkey NOT IN (SELECT doc_key FROM v_lines)",
 )
 oracle(
     "merge_line_counts",
-    "SELECT doc_key, count(DISTINCT l_linenumber % 2) AS tables_detected, CAST(count(*) AS BIGINT) AS table_line_items FROM v_lines WHERE doc_key % 3 <> 0 GROUP BY doc_key",
+    "SELECT doc_key, count(DISTINCT l_linenumber % 2) AS tables_detected, CAST(count(*) AS BIGINT) AS table_line_items FROM v_lines GROUP BY doc_key",
 )
 
 
 def repaired(net: str, vat: str, gross: str, lines: str) -> str:
-    test = f"(coalesce({net}, 0) = 0 OR abs({net} - {lines}) > 0.01)"
+    test = f"(n_lines > 0 AND (coalesce({net}, 0) = 0 OR abs({net} - {lines}) > 0.01))"
     new_vat = f"CASE WHEN coalesce({vat}, 0) = 0 THEN CAST({lines} * 0.20 AS DECIMAL(18,4)) ELSE {vat} END"
     return (
         f"CASE WHEN {test} THEN {lines} ELSE {net} END AS total_excl_vat, CASE WHEN {test} THEN {new_vat} ELSE {vat} END AS total_vat,"
@@ -510,11 +522,8 @@ oracle(
     + " || '</Invoice>' AS xml FROM v_headers",
 )
 _money_out = "CAST(total_excl_vat AS DOUBLE) AS net, CAST(total_vat AS DOUBLE) AS vat, CAST(total_incl_vat AS DOUBLE) AS gross"
-oracle(
-    "export_peppol",
-    f"SELECT doc_key, 1 AS part_no, currency_code AS currency, supplier_name, CAST(n_lines AS INT) AS n_lines, line_totals, {_money_out} FROM v_headers JOIN"
-    " (SELECT doc_key, string_agg(CAST(line_total AS VARCHAR), '|' ORDER BY line_ref, description, quantity, unit_price, line_total) AS line_totals FROM v_lines GROUP BY doc_key) USING (doc_key)",
-)
+oracle("export_peppol", f"SELECT doc_key, currency_code AS currency, supplier_name, {_money_out} FROM v_headers")
+oracle("export_peppol_lines", "SELECT doc_key, l_linenumber AS line_no, line_ref, description, quantity, unit_price, line_total FROM v_lines")
 oracle("sink_json", "SELECT doc_key, currency_code AS currency, CAST(n_lines AS INT) AS n_lines, CAST(total_incl_vat AS DOUBLE) AS gross FROM v_headers")
 oracle(
     "scan_json_invoices",

@@ -27,17 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Gives a table too small to fill the cores by its own splits one partition per core, for work that is heavy per
-    row. Larger tables are read as they are, without a shuffle. Goes by Spark's size estimate of the columns read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 def pick(values: list[str], index: str) -> str:
     """SQL that picks from a list of texts by a 0-based index; the same text runs on Spark and DuckDB."""
     cases = " ".join(f"WHEN {i} THEN '{value}'" for i, value in enumerate(values))
@@ -134,7 +123,7 @@ def _party(side: str) -> F.Column:
 
 
 def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: one header per order that has lines, carrying the summary of its lines and tax rows."""
+    """V1: one header per order, carrying the summary of its lines and tax rows; zeros for an order without lines."""
     lines = invoice_lines(spark, sf_dir)
     summary = v.summarise_by_rate(tax_rows(lines, supplier_key=F.min("l_suppkey"), **v.line_sums()), "doc_key",
                                   supplier_key=F.min("supplier_key"), vat_sum=F.sum("tax_amount"))
@@ -146,7 +135,13 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_format(o_orderdate + INTERVAL 30 DAYS, 'yyyy-MM-dd') AS iso_due",
         "date_format(o_orderdate - INTERVAL 1 DAY, 'yyyy-MM-dd') AS iso_before",
     )
-    joined = orders.join(summary, "doc_key")
+    amounts = ("line_sum", "vat_sum")
+    counts = ("n_lines", "bad_lines", "line_errors", "bad_taxes", "tax_errors", "supplier_key")
+    joined = orders.join(summary, "doc_key", "left").withColumns(
+        {
+            **{c: F.coalesce(c, F.lit(0).cast(summary.schema[c].dataType)) for c in (*amounts, *counts)},
+        }
+    )
     flat = joined.selectExpr(
         "doc_key",
         *[f"{sql} AS {name}" for name, sql in HEADER_COLUMNS.items()],
@@ -214,12 +209,12 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)",
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    return spread(orders).selectExpr("concat('I', o_orderkey) AS doc_id", f"{text} AS text")
+    return orders.selectExpr("concat('I', o_orderkey) AS doc_id", f"{text} AS text")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed invoices and all documents."""
-    documents = spread(table(spark, sf_dir, "documents").selectExpr("concat('D', doc_id) AS doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").selectExpr("concat('D', doc_id) AS doc_id", "text")
     return invoice_texts(spark, sf_dir).unionAll(documents)
 
 
@@ -229,7 +224,7 @@ PAGE_TOKENS = 240
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: the words of every document laid on pages of 30 rows by 8 columns, with jitter in y."""
-    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    words = table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("i", "text")
     )
     placed = words.selectExpr(
@@ -289,7 +284,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         " CASE i % 3 WHEN 0 THEN '19%' WHEN 1 THEN '7.5 %' ELSE 'none' END, '</td>') END, '</tr>')"
     )
     sentences = r"regexp_extract_all(text, '[^.\\n]+', 0)"
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).selectExpr(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").selectExpr(
         "doc_id",
         f"concat('<table>', {header_html('(doc_id % 4)')}, array_join(transform({sentences}, (s, i) -> {row}), ''), '</table>') AS html",
     )
@@ -336,7 +331,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_sql(day, "date_format(o_orderdate, 'd MMMM yyyy')", "date_format(o_orderdate, 'MMMM d, yyyy')",
                     "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
-    return spread(orders).selectExpr(
+    return orders.selectExpr(
         "o_orderkey AS doc_key",
         "CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'et' ELSE 'fr' END AS lang",
         f"{response_sql(day)} AS response",
@@ -429,8 +424,8 @@ PROMPT_SCHEMA = '{"invoice_id": "text", "issue_date": "YYYY-MM-DD", "total_incl_
 
 
 def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines read from tables, for two thirds of the orders."""
-    lines = invoice_lines(spark, sf_dir).where("doc_key % 3 <> 0")
+    """Lines read from tables: every line. Orders without lines have those of the model only."""
+    lines = invoice_lines(spark, sf_dir)
     return lines.select("doc_key", (F.col("l_linenumber") % 2).alias("table_id"), "description", "line_total")
 
 

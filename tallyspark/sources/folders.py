@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +11,10 @@ from tallyspark.operators.responses import RAW_INVOICE, typed_invoices
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared one the cluster names in spark.checkpoint.dir. Without that setting a local
-    session gets a folder of its own; a cluster session is refused, since its executors share no local disk."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the shared one that spark.checkpoint.dir or the context's checkpoint folder names."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="tallyspark-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -85,8 +81,9 @@ def header_xml(df: DataFrame) -> DataFrame:
     return df.withColumn("xml", F.to_xml(fields, {"rowTag": "Invoice"}))
 
 
-def peppol_record(df: DataFrame, lines: str) -> DataFrame:
-    """PEPPOL-like record of each invoice as a struct column; `lines` names its array of lines."""
+def peppol_header(df: DataFrame) -> DataFrame:
+    """PEPPOL-like header record of each invoice as a struct column: identifiers, parties and totals. Lines are records of
+    their own (peppol_lines), so an invoice of any length has one header, and its totals stand once."""
     return df.withColumn(
         "record",
         F.struct(
@@ -95,7 +92,6 @@ def peppol_record(df: DataFrame, lines: str) -> DataFrame:
             F.col("currency_code").alias("currency"),
             "supplier",
             "customer",
-            F.col(lines).alias("lines"),
             F.struct(
                 F.col("total_excl_vat").cast("double").alias("net"),
                 F.col("total_vat").cast("double").alias("vat"),
@@ -103,3 +99,8 @@ def peppol_record(df: DataFrame, lines: str) -> DataFrame:
             ).alias("totals"),
         ),
     )
+
+
+def peppol_lines(lines: DataFrame, key: str, line_no: str) -> DataFrame:
+    """Line records: invoice key, line number, and the line's own columns."""
+    return lines.select(key, F.col(line_no).alias("line_no"), "line_ref", "description", "quantity", "unit_price", "line_total")

@@ -24,10 +24,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """A parquet table of a folder as a stream of its files."""
+    """A parquet table of a folder as a stream of its files. The table may be one file or a folder of part files; the
+    pattern matches its exact name only, and lets the source take either. Fails where there is no such table."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 # --- transformations ------------------------------------------------------------------------------------------------

@@ -6,7 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import activity, files, layout, merging, quotas, responses, tables
+from tallyspark.functions import text as tx
+from tallyspark.operators import activity, files, layout, merging, quotas, responses, tables, validation
+from tallyspark.sources import folders
 from tallyspark.streaming import activity as live
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -144,14 +146,50 @@ def test_repaired_totals(spark, given, expected):
     assert tuple(row) == (*[Decimal(x) for x in expected[:3]], expected[3])
 
 
-def test_nested_parts_keep_every_line(spark):
-    rows = [("hot", f"{i:05d}", i) for i in range(1000)] + [("b", "1", 1)]
-    df = spark.createDataFrame(rows, "k string, ref string, v int")
-    parts = merging.nested_parts(df, "k", ["ref"], part_size=100).collect()
-    hot = [p for p in parts if p.k == "hot"]
-    assert len(hot) > 5 and max(len(p.invoice_lines) for p in hot) < 300
-    assert sorted(x.v for p in hot for x in p.invoice_lines) == list(range(1000))
-    assert [p.invoice_lines[0].v for p in parts if p.k == "b"] == [1]
+def test_a_long_invoice_has_one_header_and_all_its_lines(spark):
+    rows = [("a", i, f"r{i}", "x", i, 1, i) for i in range(12_000)] + [("b", 1, "r1", "y", 1, 2, 2)]
+    lines = spark.createDataFrame(rows, "k string, no int, line_ref string, description string, quantity int, unit_price int, line_total int")
+    got = folders.peppol_lines(lines, "k", "no")
+    assert got.count() == 12_001 and got.where("k = 'a'").agg({"line_no": "max"}).first()[0] == 11_999
+
+
+def test_company_names_of_any_length(spark):
+    long = "Universal " * 12 + "Trading GmbH"
+    text = f"1. {long}, Alpha Beta A/S; no name GmbH2 end. Gamma & Co AG\nlast words without any form"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(tx.companies(F.col("t"))).first()[0] == [long, "Alpha Beta A/S", "Gamma & Co AG"]
+
+
+def test_cells_without_a_box_stay(spark):
+    cells = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, 9.0), (1, 2, None, None, None, None)], "d int, c int, x1 double, y1 double, x2 double, y2 double")
+    tokens = spark.createDataFrame([(1, 1, "in", 5.0, 5.0)], "d int, elem_id int, text string, cx double, cy double")
+    got = layout.token_cell_join(cells, tokens, ["d"], ["d", "c"]).collect()
+    assert sorted((r.c, r.cell_text) for r in got) == [(1, "in"), (2, "")]
+
+
+def test_streams_read_files_and_folders_of_parts(spark, tmp_path):
+    rows = spark.range(1000).withColumn("v", F.col("id") * 2)
+    rows.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    rows.write.parquet(str(tmp_path / "events2.parquet"))
+    got = live.appended_rows(spark, live.stream_table(spark, str(tmp_path), "events"), "test-stream")
+    assert got.count() == 1000
+    assert live.appended_rows(spark, live.stream_table(spark, "/root/testdata/sf0.001", "events").select("event_id"), "s").count() > 0
+
+
+def test_unreadable_amounts_are_errors(spark):
+    raw = '{"invoice_id": "I", "issue_date": "2020-01-01", "total_excl_vat": "abc", "total_vat": "1", "total_incl_vat": "2", "payable_amount": "not_a_number"}'
+    parsed = spark.createDataFrame([(raw,)], "response string").withColumn("_r", responses.parsed_record(F.col("response")))
+    typed = responses.typed_invoices(parsed, "_r")
+    headers = validation.prepared(typed)
+    found = validation.broken_rows(headers, [], validation.header_schema_rules(headers)).collect()
+    assert {r.field for r in found if r.message == "is not a number"} == {"total_excl_vat", "payable_amount"}
+
+
+def test_tax_rows_need_a_category(spark):
+    taxes = spark.createDataFrame([("1", "0.2", "0.2", None)], "a string, b string, c string, tax_category string")
+    taxes = taxes.selectExpr("1 AS k", *[f"CAST({x} AS DECIMAL(18,4)) AS {n}" for x, n in (("a", "taxable_amount"), ("b", "tax_amount"), ("c", "tax_rate"))], "tax_category")
+    found = validation.broken_rows(taxes, ["k"], validation.tax_rules(F.col), validation.tax_prefix()).collect()
+    assert [(r.field, r.message) for r in found] == [("tax_breakdown.0.2000.tax_category", "field is required")]
 
 
 def test_merge_sources(spark):
