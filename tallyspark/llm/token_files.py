@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences, with zero-copy random access to sequences and masks.
 
 A folder holds, for each range of documents, two Arrow IPC files: `part-N.tokens.arrow` with record batches of two
-fixed-size-list columns, `ids` (uint32) and `mask` (uint8, 1 for a token, 0 for padding at the end of the file), and
+fixed-size-list columns, `ids` (uint16 where the vocabulary fits, else uint32) and `mask` (uint8, 1 for a token, 0 for padding at the end of the file), and
 `part-N.docs.arrow`, the index: doc_id, first token within the file, number of tokens. Every batch but the last of a file has
 SEQUENCES_PER_BATCH sequences, so sequence i lies in batch i // SEQUENCES_PER_BATCH.
 """
@@ -9,6 +9,7 @@ SEQUENCES_PER_BATCH sequences, so sequence i lies in batch i // SEQUENCES_PER_BA
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -23,15 +24,19 @@ from tallyspark.llm.common import bounded_rows, cut, slices, texts_of, work_dir
 
 SEQUENCE = 2_048
 SEQUENCES_PER_BATCH = 256
-CACHE_ENTRIES = 250_000  # words whose ids a worker remembers; only speed depends on it
+CACHE_ENTRIES = 200_000  # words whose ids a worker remembers; only speed depends on it
 MANIFEST_FILES = 2_000_000
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class WordEncoder:
     """Ids of texts, encoded word by word: the tokenizer drops white space and never joins across it, so that the ids of a
-    text are those of its space-separated parts in turn. Parts seen before come from a bounded memory. Texts that hold
-    the start of a special token's name are encoded whole."""
+    text are those of its space-separated parts in turn. Parts seen before come from a bounded memory; a new part of Latin
+    letters and signs is cut as the tokenizer cuts it (letters, single digits, runs of signs, in lower case), and its pieces
+    are looked up in turn. Texts that hold the start of a special token's name are encoded whole."""
+
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:(?![^\W_])[^\s])+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")  # one code point for each letter, and case that doesn't depend on neighbours
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,23 +44,32 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _learn(self, memory: dict[str, bytes], parts: list[str]) -> None:
+        for i in range(0, len(parts), 4_096):
+            some = parts[i : i + 4_096]
+            memory.update(zip(some, self._ids(some), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {"": b""}
-        known = self.known
-        new = list({w for p in parts if p is not None for w in p if w not in known})
-        for i in range(0, len(new), 4_096):
-            some = new[i : i + 4_096]
-            known.update(zip(some, self._ids(some), strict=True))
-        whole = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join([known[w] for w in p]) for p in parts]
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces = {}
+        known, pieces, whole = self.known, self.pieces, self.PLAIN.fullmatch
+        new = {w for p in parts if p is not None for w in p if w not in known}
+        cut = {w: self.PIECES.findall(w.lower()) for w in new if whole(w)}
+        self._learn(pieces, list({x for found in cut.values() for x in found if x not in pieces}))
+        known.update((w, b"".join([pieces[x] for x in found])) for w, found in cut.items())
+        self._learn(known, [w for w in new if w not in cut])
+        apart = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        return [next(apart) if p is None else b"".join([known[w] for w in p]) for p in parts]
 
 
 @lru_cache(2)
@@ -72,8 +86,10 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 class _Sequences:
     """Collects token bytes and writes full batches of sequences."""
 
-    def __init__(self, sink, length: int):
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, narrow: bool):
+        self.kind = "<u2" if narrow else "<u4"
+        ids = pa.uint16() if narrow else pa.uint32()
+        self.schema = pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.length, self.held, self.parts, self.total = length, 0, [], 0
 
@@ -93,7 +109,7 @@ class _Sequences:
             padding = -len(some) % self.length
             mask = np.ones(len(some) + padding, dtype=np.uint8)
             mask[len(some) :] = 0
-            some = np.concatenate([some, np.zeros(padding, dtype="<u4")])
+            some = np.concatenate([some, np.zeros(padding, dtype="<u4")]).astype(self.kind)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (some, mask)]
             self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
         self.parts, self.held = [ids[upto:].tobytes()], len(ids) - upto
@@ -129,7 +145,8 @@ def write_tokens(
         encode, n_docs = encoder(tokenizer_path).encode, 0
         end = np.array([end_id], dtype="<u4").tobytes()
         with place.open_output_stream(f"{temp}.tokens") as a, place.open_output_stream(f"{temp}.docs") as b:
-            sequences = _Sequences(a, sequence)
+            narrow = max(end_id + 1, encoder(tokenizer_path).tokenizer.get_vocab_size()) <= 1 << 16
+            sequences = _Sequences(a, sequence, narrow)
             index = pa.ipc.new_file(b, DOCS_SCHEMA)
             for batch in slices(batches):
                 firsts, counts, texts = [], [], texts_of(batch.column(1))
@@ -208,7 +225,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
                     for first, count in zip(firsts.tolist(), counts.tolist(), strict=True):
                         crc = 0
                         for piece in sequences.tokens(first, count):
-                            crc = zlib.crc32(piece, crc)
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
                         sums.append(crc)
                     yield pa.record_batch(
                         [docs.column(0), pa.array(firsts + before), docs.column(2), pa.array(sums, pa.int64())],
