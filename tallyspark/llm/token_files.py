@@ -24,7 +24,8 @@ from tallyspark.llm.common import bounded_rows, cut, slices, texts_of, work_dir
 
 SEQUENCE = 2_048
 SEQUENCES_PER_BATCH = 256
-CACHE_ENTRIES = 200_000  # words whose ids a worker remembers; only speed depends on it
+CACHE_ENTRIES = 250_000  # words whose ids a worker remembers; only speed depends on it
+PIECE_ENTRIES = 600_000  # pieces of words, likewise
 MANIFEST_FILES = 2_000_000
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -60,7 +61,7 @@ class WordEncoder:
         parts = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {"": b""}
-        if len(self.pieces) > CACHE_ENTRIES:
+        if len(self.pieces) > PIECE_ENTRIES:
             self.pieces = {}
         known, pieces, whole = self.known, self.pieces, self.PLAIN.fullmatch
         new = {w for p in parts if p is not None for w in p if w not in known}
