@@ -8,6 +8,7 @@ SEQUENCES_PER_BATCH sequences, so sequence i lies in batch i // SEQUENCES_PER_BA
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,46 +32,79 @@ DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_toke
 
 
 class WordEncoder:
-    """Ids of texts, encoded word by word: the tokenizer drops white space and never joins across it, so that the ids of a
-    text are those of its space-separated parts in turn. Parts seen before come from a bounded memory; a new part of Latin
-    letters and signs is cut as the tokenizer cuts it (letters, single digits, runs of signs, in lower case), and its pieces
-    are looked up in turn. Texts that hold the start of a special token's name are encoded whole."""
-
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:(?![^\W_])[^\s])+")
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")  # one code point for each letter, and case that doesn't depend on neighbours
+    """Ids of texts. A tokenizer of the form below lowers case, drops white space and cuts a text into pieces (letters, single
+    digits, runs of signs) that don't depend on each other. So a text of Latin letters and signs is cut alike and its pieces
+    are looked up in a bounded memory, new ones in the tokenizer's model. Other texts go word by word, as nothing is joined
+    across a space. Texts that hold the start of a special token's name, and texts for any other tokenizer, are encoded whole."""
+
+    # The normalizer and the cuts that the piece patterns below repeat.
+    NORMALIZERS = [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ]
+    CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    # One code point for each letter, and case that doesn't depend on neighbours.
+    LATIN = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*")
+    PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        form = json.loads(self.tokenizer.to_str())
+        cuts = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_piece = (
+            (form["normalizer"] or {}).get("normalizers") == self.NORMALIZERS
+            and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": self.CUTS}, "Removed", True)
+            and (cuts[1]["add_prefix_space"], cuts[1]["use_regex"]) == (False, False)
+            and form["post_processor"] is None
+        )
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _learn(self, memory: dict[str, bytes], parts: list[str]) -> None:
-        for i in range(0, len(parts), 4_096):
-            some = parts[i : i + 4_096]
-            memory.update(zip(some, self._ids(some), strict=True))
+    def _piece(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))
+        return np.array([t.id for t in found], dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
+    def _latin(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > PIECE_ENTRIES:
             self.pieces = {}
-        known, pieces, whole = self.known, self.pieces, self.PLAIN.fullmatch
-        new = {w for p in parts if p is not None for w in p if w not in known}
-        cut = {w: self.PIECES.findall(w.lower()) for w in new if whole(w)}
-        self._learn(pieces, list({x for found in cut.values() for x in found if x not in pieces}))
-        known.update((w, b"".join([pieces[x] for x in found])) for w, found in cut.items())
-        self._learn(known, [w for w in new if w not in cut])
-        apart = iter(self._ids([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(apart) if p is None else b"".join([known[w] for w in p]) for p in parts]
+        found = [self.PIECES.findall(t.lower()) for t in texts]
+        self.pieces.update((x, self._piece(x)) for x in set().union(*found).difference(self.pieces))
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = {}
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*parts).difference(self.known)
+        latin = [w for w in new if self.LATIN.fullmatch(w)]
+        self.known.update(zip(latin, self._latin(latin), strict=True))
+        other = list(new.difference(latin))
+        for i in range(0, len(other), 4_096):
+            self.known.update(zip(other[i : i + 4_096], self._ids(other[i : i + 4_096]), strict=True))
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+
+    def _way(self, text: str):
+        if not self.by_piece or "<|" in text:
+            return self._ids
+        return self._latin if self.LATIN.fullmatch(text) else self._by_word
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ways = [self._way(t) for t in texts]
+        found = {way: iter(way([t for t, w in zip(texts, ways, strict=True) if w == way])) for way in set(ways)}
+        return [next(found[way]) for way in ways]
 
 
 @lru_cache(2)

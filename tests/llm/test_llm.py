@@ -229,6 +229,20 @@ def test_token_files_against_the_tokenizer(spark, odd, none):
     assert token_files.round_trip(none, WORDS).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder_on_random_texts(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    rng = random.Random(3)
+    latin = "abAB 'stdm'relv09.,_-!\n\téÉßÿ×÷Ø"
+    wide = latin + "\r\x0b\x0c\x1c\x85\xa0µªº²½İıΣσς\u0301\u0345ﬁŉ漢字あ😀\u200d\u200b…“”<|>"
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(40))) for a in (latin, wide) for _ in range(4_000)]
+    texts += ["", "<|endoftext|> a", "A'LL It'S", "x" * 5_000]
+    encoded = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert token_files.WordEncoder(path).encode(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+
 def test_token_files_random_access(spark, tmp_path):
     docs = spark.createDataFrame([(i, "the quick brown fox " * (i % 40)) for i in range(400)], "doc_id long, text string")
     files = token_files.write_tokens(docs, str(tmp_path / "out"), WORDS, sequence=16).orderBy("file_no").collect()
