@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import ahocorasick
@@ -85,24 +86,34 @@ class Scanner:
                     spans[-1] = (min(low, spans[-1][0]), max(high, spans[-1][1]))
                 else:
                     spans.append((low, high))
-        found = []
+        matches = []
         for n, spans in windows.items():
-            phrase, label, _, pattern = self.notices[n]
             for low, high in spans:
-                for m in pattern.finditer(text, low, min(high, len(text))):
-                    first = text.count(" ", 0, m.start())
-                    errors = sum(m.fuzzy_counts)
-                    found.append(
-                        {
-                            "label": label,
-                            "first_word": first - 1,
-                            "last_word": first - 1 + m[0].strip().count(" "),
-                            "errors": errors,
-                            "similarity": 1.0 - errors / len(phrase),
-                        }
-                    )
+                for m in self.notices[n][3].finditer(text, low, min(high, len(text))):
+                    matches.append((m.start(), n, sum(m.fuzzy_counts), m[0].strip().count(" ")))
+        found, first, before = [], 0, 0
+        for start, n, errors, blanks in sorted(matches):
+            first += text.count(" ", before, start)
+            before = start
+            phrase, label, _, _ = self.notices[n]
+            found.append(
+                {
+                    "label": label,
+                    "first_word": first - 1,
+                    "last_word": first - 1 + blanks,
+                    "errors": errors,
+                    "similarity": 1.0 - errors / len(phrase),
+                }
+            )
         found.sort(key=lambda f: (f["first_word"], f["last_word"], f["label"]))
-        return [f for f in found if not any(g["errors"] < f["errors"] and _overlap(f, g) for g in found)]
+        firsts = [f["first_word"] for f in found]
+        longest = max((f["last_word"] - f["first_word"] for f in found), default=0)
+
+        def beaten(f: dict) -> bool:
+            near = found[bisect_left(firsts, f["first_word"] - longest) : bisect_right(firsts, f["last_word"])]
+            return any(g["errors"] < f["errors"] and _overlap(f, g) for g in near)
+
+        return [f for f in found if not beaten(f)]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, str]], list[dict]]:
         """(number of words, base places, notices) of a whole text."""
