@@ -76,7 +76,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.with_links(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,14 @@
 Documents with equal shingle sets form a class. A class's shingles are put in several global orders: all orders put rare
 shingles first and differ in how they break ties. Two sets of similarity t or more share a shingle within their prefixes
 under EVERY order, so only pairs that do are verified. Dense groups are settled by comparing with one hub for each shingle
-first; later only pairs that lie in different components are formed, or compared in tiles where a list is long.
+first; later only pairs that lie in different components are formed, or compared in tiles where a list is long. That gives the components. All links lie inside
+components, so with_links then compares every two classes of each component and counts.
 """
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement, product
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +26,7 @@ ALL = (1 << ORDERS) - 1
 HUB_ROUNDS = 1
 LIST_PAIRS = 4_096  # a shingle whose list would give more pairs is settled in tiles instead
 TILE = 1_024
+TILE_ITEMS = 2_000_000  # shingles of a tile of a component, and of a bucket of small components, in expectation
 COMMON = 32  # shingles of more rows than that are counted by a matrix product
 COUNTERS = 1 << 16  # counters of the frequency sketch
 GROUP_TOKENS = 1_000_000  # shingles of a counting group
@@ -386,6 +390,78 @@ def _in_tiles(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "low", "high").applyInArrow(_link_tile, "a long, b long")
 
 
+def self_overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets (0 on the diagonal), rare and common items as in overlaps."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    items, at = np.unique(np.concatenate(sets), return_inverse=True)
+    counts = np.bincount(at, minlength=len(items))
+    out = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    order = order[(counts[at[order]] > 1) & (counts[at[order]] <= COMMON)]
+    who, what = owner[order], at[order]
+    for d in range(1, COMMON):  # the d-th next holder of the same item
+        same = what[d:] == what[:-d]
+        if not same.any():
+            break
+        out += np.bincount(who[:-d][same] * n + who[d:][same], minlength=n * n).reshape(n, n)
+    out += out.T
+    common = np.flatnonzero(counts > COMMON)
+    place = np.full(len(items), -1)
+    place[common] = np.arange(len(common))
+    for k in range(0, len(common), 4_096):
+        mine = (place[at] >= k) & (place[at] < k + 4_096)
+        matrix = np.zeros((n, min(4_096, len(common) - k)), dtype=np.float32)
+        matrix[owner[mine], place[at][mine] - k] = 1
+        out += matrix @ matrix.T
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _count_tile(group: pa.Table) -> pa.Table:
+    """For each class (fp), the rows n of the classes it links with, between the two tiles of a component or inside each
+    component of a bucket."""
+    low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
+    tile, fp, comp, members = (group.column(c).to_numpy() for c in ("tile", "fp", "comp", "members"))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("items").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    gained = np.zeros(len(fp), dtype=np.int64)
+    order = np.argsort(comp, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+        parts = [
+            [side[k : k + TILE] for k in range(0, len(side), TILE)] for side in (own[tile[own] == t] for t in (low, high))
+        ]
+        for i, j in combinations_with_replacement(parts[0], 2) if low == high else product(*parts):
+            same = i is j
+            both = self_overlaps([sets[k] for k in i]) if same else overlaps([sets[k] for k in i], [sets[k] for k in j])
+            both = both.astype(np.int64)
+            linked = DENOMINATOR * both >= NUMERATOR * (sizes[i][:, None] + sizes[j][None, :] - both)
+            gained[i] += linked @ members[j]
+            if not same:
+                gained[j] += members[i] @ linked
+    got = np.flatnonzero(gained)
+    return pa.table([pa.array(fp[got]), pa.array(gained[got])], names=["fp", "n"])
+
+
+def _link_counts(classes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, others): the rows of all classes that a class links with. A component above a tile's size is compared tile by tile,
+    the smaller ones go into buckets whole; rows grow with classes times tiles, not with pairs."""
+    nodes = cut(labels.join(classes.select("fp", "n", "members"), "fp"))
+    per = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_ITEMS)).cast("int")
+    large = cut(nodes.groupBy("comp").agg(per.alias("tiles")).where("tiles > 1"))
+    buckets = int((nodes.agg(F.sum("n")).first()[0] or 0) // TILE_ITEMS) + 1
+    rows = nodes.join(large, "comp", "left").join(sets, "fp")
+    rows = rows.withColumn("tile", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("tiles")), F.lit(-1)).cast("int"))
+    others = F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
+    bucket = F.when(F.col("tiles").isNull(), F.pmod(F.xxhash64("comp"), F.lit(buckets))).otherwise(F.col("comp"))
+    rows = rows.withColumns({"other": F.explode(others), "grp": bucket}).select(
+        "grp", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "fp", "comp",
+        "members", "items",
+    )
+    found = rows.groupBy("grp", "low", "high").applyInArrow(_count_tile, "fp long, n long")
+    return found.groupBy("fp").agg(F.sum("n").alias("others"))
+
+
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -393,12 +469,23 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     of 5-word shingles (64-bit hashes). Null or empty texts have no shingles and link with nothing, as do rows with a null
     id; rows of equal id share their class's component. Whole texts are used; an empty table gives no rows.
     """
+    return _joined(docs, id_column, text_column, False)
+
+
+def with_links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of join with n_links, the number of other rows that a row links with. Rows of equal sets link, whatever their
+    ids; a row with a null id has 0 links and counts for no other row."""
+    return _joined(docs, id_column, text_column, True)
+
+
+def _joined(docs: DataFrame, id_column: str, text_column: str, counted: bool) -> DataFrame:
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     schema = "doc_id long, n long, fp long, slot int, count long"
     profile = cut(docs.mapInArrow(_profile, schema))
     rows = profile.where("slot IS NULL").select("doc_id", "n", "fp")
     linkable = rows.where("fp IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(linkable.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    members = F.count("*").alias("members")
+    classes = cut(linkable.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), members))
     counters = np.zeros(COUNTERS, dtype=np.int64)
     sums = profile.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("count"))
     for row in bounded_rows(sums, COUNTERS, "counters"):
@@ -456,9 +543,15 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     named = classes.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_class = cut(named.join(least, "comp").select("fp", "component_id"))
+    of_class, columns = named.join(least, "comp"), []
+    if counted:
+        of_class = of_class.join(_link_counts(classes, labels, sets), "fp", "left")
+        of_class = of_class.withColumn("n_links", F.col("members") - 1 + F.coalesce("others", F.lit(0)))
+        columns = [F.when(F.col("doc_id").isNotNull(), F.col("n_links")).alias("n_links")]
+    of_class = cut(of_class.select("fp", "component_id", *(["n_links"] if counted else [])))
     return rows.join(of_class, "fp", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias("n_links") for c in columns),
     )

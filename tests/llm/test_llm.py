@@ -551,6 +551,38 @@ def test_jaccard_odd_rows(spark, odd, none):
     assert jaccard_join.join(spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")).collect()[0][2] == 1
 
 
+def brute_link_counts(pairs):
+    sets = [(d, set(jaccard_join.shingles(t).tolist())) for d, t in pairs]
+    linked = lambda x, y: x and 100 * len(x & y) >= 75 * len(x | y)
+    return sorted(
+        ((d, 0 if d is None else sum(i != k and e is not None and bool(linked(x, y)) for k, (e, y) in enumerate(sets))) for i, (d, x) in enumerate(sets)),
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("tile", [50, 1024])
+def test_jaccard_counts_all_links(spark, monkeypatch, odd, none, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_ITEMS", 3_000 if tile == 50 else 2_000_000)
+    pairs = planted_copies()
+    pairs += [(None, pairs[0][1]), (None, pairs[1][1]), pairs[2], (5_000, None), (5_001, " ")]
+    table = spark.createDataFrame(pairs, "doc_id long, text string").repartition(6)
+    got = jaccard_join.with_links(table).collect()
+    expected = brute_link_counts(pairs)
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=repr) == expected
+    assert sum(n for _, n in expected) > 10 * len(pairs)  # many more links than connect the components
+    if tile == 1024:
+        assert rows_of(jaccard_join.with_links(odd).select("doc_id", "n_links")) == brute_link_counts([r[:2] for r in ODD])
+        assert jaccard_join.with_links(none).count() == 0
+
+
+def test_overlaps_of_a_list_with_itself():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 3_000, size=rng.integers(1, 900)).astype(np.uint64)) for _ in range(70)]
+    got = jaccard_join.self_overlaps(sets)
+    assert got.tolist() == [[0 if x is y else len(np.intersect1d(x, y)) for y in sets] for x in sets]
+
+
 def test_overlaps_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, size=rng.integers(1, 200)).astype(np.uint64)) for _ in range(90)]
