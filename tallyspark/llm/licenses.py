@@ -75,22 +75,19 @@ class Scanner:
     def fuzzy(self, text: str) -> list[dict]:
         """Places of notices: label, first_word, last_word, errors, similarity. Where notices overlap, one with more errors
         than another goes."""
-        windows: dict[int, list[tuple[int, int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (size, places) in self.seeds.iter(text) if len(self.seeds) else ():
             for n, offset in places:
-                phrase, _, errors, _ = self.notices[n]
-                start = end - size + 1 - offset
-                low, high = max(0, start - errors - 1), start + len(phrase) + errors + 1
-                spans = windows.setdefault(n, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1] = (min(low, spans[-1][0]), max(high, spans[-1][1]))
-                else:
-                    spans.append((low, high))
+                starts.setdefault(n, set()).add(end - size + 1 - offset)
         matches = []
-        for n, spans in windows.items():
-            for low, high in spans:
-                for m in self.notices[n][3].finditer(text, low, min(high, len(text))):
-                    matches.append((m.start(), n, sum(m.fuzzy_counts), m[0].strip().count(" ")))
+        for n, begins in starts.items():
+            phrase, _, errors, pattern = self.notices[n]
+            spans = set()
+            # each seed's window by itself: the best match of a longer stretch would hide other places before it
+            for start in begins:
+                low, high = max(0, start - errors - 1), min(start + len(phrase) + errors + 1, len(text))
+                spans.update((sum(m.fuzzy_counts), *m.span()) for m in pattern.finditer(text, low, high))
+            matches += [(low, n, e, text[low:high].strip().count(" ")) for e, low, high in _apart(spans)]
         found, first, before = [], 0, 0
         for start, n, errors, blanks in sorted(matches):
             first += text.count(" ", before, start)
@@ -122,6 +119,18 @@ class Scanner:
         return len(words), self.exact(folded), self.fuzzy(folded.decode("utf-8", "surrogatepass"))
 
 
+def _apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans (errors, start, end) of one notice those that overlap none with fewer errors, or as many and an earlier start."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for errors, start, end in sorted(spans):
+        at = bisect_left(kept, (start, end))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            kept.insert(at, (start, end))
+            out.append((errors, start, end))
+    return out
+
+
 def _overlap(f: dict, g: dict) -> bool:
     return f["first_word"] <= g["last_word"] and g["first_word"] <= f["last_word"]
 

@@ -467,6 +467,24 @@ def test_license_notices_with_errors():
     assert tool.scan("nothing of the kind stands here at all")[2] == []
 
 
+def test_license_notices_side_by_side():
+    tool = licenses.Scanner(licenses.BASE, licenses.NOTICES)
+    clean, edited = "released under the mit license", "relesed under the mt license"
+    spans = lambda text: [(f["first_word"], f["last_word"], f["errors"], f["label"]) for f in tool.scan(text)[2]]
+    assert spans(f"{edited} and {clean}") == [(0, 4, 2, "mit"), (6, 10, 0, "mit")]
+    assert spans(f"{clean} {edited} {clean}") == [(0, 4, 0, "mit"), (5, 9, 2, "mit"), (10, 14, 0, "mit")]
+    rng = random.Random(9)
+    for phrase in licenses.NOTICES:
+        rows, size = [], len(phrase.split())
+        for _ in range(12):
+            chars = list(phrase)
+            for at in rng.sample([i for i in range(1, len(chars) - 1) if chars[i] != " "], rng.randrange(3)):
+                chars[at] = "q"
+            rows.append("".join(chars))
+        found = licenses.Scanner({}, {phrase: "it"}).scan(" and ".join(rows))[2]
+        assert [f["first_word"] for f in found] == [k * (size + 1) for k in range(len(rows))], (phrase, rows, found)
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Site</a> name</header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use
