@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, texts_of
+from tallyspark.llm.common import bounded_rows, slices, texts_of
 
-# Frequent words of English, French, German and Spanish.
+# Frequent words of English, French, German and Spanish; extract adds those of the pages themselves.
 STOP_WORDS = frozenset(
     """the of and to in a is that for it as was with be by on not at are this have from or an which
     le la les de des du et en un une que est pour dans qui sur pas plus par au avec ce il
     der die das und zu den mit von ist im auf für eine ein als nicht auch es dem sich bei
     el y los se del las por con no su para al lo como más pero""".split()
 )
+TABLE_WORDS = 400  # most frequent words of a table of pages, by the blocks that hold them
+WORD_CHARS = 40  # longer words are not counted for that
+KNOWN_WORDS = 100_000  # words that a task counts before it passes its counts on
+# Scripts that put no blanks between words: each character counts as a word.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 SHORT = 70  # characters below which a block decides nothing by its words
 DENSE = 0.30  # share of stop words from which a block is running text
 SPARSE = 0.10  # share below which it is not
@@ -136,24 +142,36 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def judge(block: Block) -> bool | None:
-    """First pass: True for text, False for clutter, None where the block alone doesn't decide. Inside an article only
-    clutter and menus are turned down; outside, running text needs stop words."""
-    if block.clutter or block.linked > LINKED * len(block.text):
+def words_of(text: str) -> list[str]:
+    if SPACELESS.search(text):
+        text = SPACELESS.sub(r" \g<0> ", text)
+    return [w.strip(".,;:!?…\"'()[]«»„“”").lower() for w in text.split()]
+
+
+def is_menu(block: Block) -> bool:
+    return block.clutter or block.linked > LINKED * len(block.text)
+
+
+def judge(block: Block, stop_words: frozenset[str] = STOP_WORDS) -> bool | None:
+    """First pass: True for text, False for clutter, None where the block alone doesn't decide. Inside an article every block
+    that is long enough and neither clutter nor a menu is text; outside, running text needs stop words."""
+    if is_menu(block):
         return False
     if len(block.text) < SHORT:
         return None
-    words = [w.strip(".,;:!?…\"'()[]«»„“”").lower() for w in block.text.split()]
-    share = sum(w in STOP_WORDS for w in words) / len(words)
+    if block.main:
+        return True
+    words = words_of(block.text)
+    share = sum(w in stop_words for w in words) / len(words)
     if share >= DENSE:
         return True
-    return None if share >= SPARSE or block.main else False
+    return None if share >= SPARSE else False
 
 
-def labelled(found: list[Block]) -> list[bool]:
+def labelled(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> list[bool]:
     """Second pass: an undecided block takes the label of the nearest decided one; of two at the same distance, text wins.
     Articles are taken by themselves, and what bounds one counts as text; outside, the page's ends count as clutter."""
-    first = [judge(b) for b in found]
+    first = [judge(b, stop_words) for b in found]
     labels = [bool(x) for x in first]
     runs: dict[int, list[int]] = {}
     for i, b in enumerate(found):
@@ -178,18 +196,46 @@ def labelled(found: list[Block]) -> list[bool]:
     return labels
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
     found = blocks(page)
-    return "\n".join(b.text for b, good in zip(found, labelled(found), strict=True) if good)
+    return "\n".join(b.text for b, good in zip(found, labelled(found, stop_words), strict=True) if good)
+
+
+def frequent_words(pages: DataFrame, html_column: str = "html") -> frozenset[str]:
+    """The words that stand in most blocks of a table of pages; clutter, menus and short blocks don't count. Tasks count
+    within bounds and Spark sums, so the driver gets TABLE_WORDS rows."""
+
+    def count(batches):
+        counts: Counter[str] = Counter()
+
+        def flush():
+            made = pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counts.clear()
+            return made
+
+        for batch in slices(batches):
+            for page in texts_of(batch.column(0)):
+                for block in blocks(page):
+                    if len(block.text) >= SHORT and not is_menu(block):
+                        counts.update({w for w in words_of(block.text) if len(w) <= WORD_CHARS and any(map(str.isalpha, w))})
+                if len(counts) > KNOWN_WORDS:
+                    yield flush()
+        yield flush()
+
+    found = pages.select(html_column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "word").limit(TABLE_WORDS)
+    return frozenset(r["word"] for r in bounded_rows(top, TABLE_WORDS, "frequent words"))
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """One row for each page: the columns of keep, text and n_chars (code points). The whole page is read. A null or empty
-    page, or one without text, gives an empty text; repeated rows repeat their result."""
+    page, or one without text, gives an empty text; repeated rows repeat their result. Stop words are the fixed ones and the
+    most frequent words of all pages, which are counted first."""
+    stop_words = STOP_WORDS | frequent_words(pages, html_column)
 
     def work(batches):
         for batch in slices(batches):
-            texts = [main_text(page) for page in texts_of(batch.column(len(keep)))]
+            texts = [main_text(page, stop_words) for page in texts_of(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[*keep, "text", "n_chars"],

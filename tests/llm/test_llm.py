@@ -518,6 +518,28 @@ def test_html_on_the_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_html_keeps_long_blocks_of_an_article():
+    parts = "Valve DN40 17.20 EUR 4711-A; Pump P3 220.00 EUR 4712-B; Gasket NBR 0.80 EUR 4713-C; Bolt M8 0.10 EUR"
+    code = "def f(x): return [y ** 2 for y in x if y % 2] # 0x7f 0x80 0x81 0x82 0x83 0x84 0x85 0x86 0x87"
+    link = "<p><a href=/other>Read also: another page about something else</a></p>"
+    page = f"<article><h1>Parts</h1><p>{parts}</p>{link}<pre>{code}</pre>{link}<p>{parts}</p><p>End</p></article>"
+    assert html_text.main_text(page).split("\n") == ["Parts", parts, code, parts, "End"]
+
+
+def test_html_takes_stop_words_from_the_pages(spark):
+    rows = [
+        "Kot siedział na oknie i patrzył na ulicę, a potem zszedł do kuchni, bo tam było ciepło i pachniało chlebem.",
+        "W lesie było cicho i ciemno, a na polanie stał stary dom, do którego nikt już nie chciał wejść w nocy.",
+        "猫は窓に座って通りを見ていました。そして台所に行きました。そこは暖かくてパンの匂いがしていたからです。" * 2,
+    ]
+    menu = "<div><a href='/'>Strona</a> <a href='/o'>O nas</a></div>"
+    table = [(i, None, f"<body>{menu}<div>{t}</div><div>Krótko</div><div>{t}</div>{menu}</body>") for i, t in enumerate(rows * 5)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == {i: f"{t}\nKrótko\n{t}" for i, t in enumerate(rows * 5)}
+    assert html_text.frequent_words(pages.where("false")) == frozenset()
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 def brute_jaccard(pairs):
     sets = []
