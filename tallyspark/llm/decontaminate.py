@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounded_rows, compute, slices, texts_of
+from tallyspark.llm.common import bounded_rows, compute, cut, slices, texts_of
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.6  # share of an item's own score that a passage must reach
@@ -19,7 +21,9 @@ NUMERATOR, DENOMINATOR = 75, 100  # share of shingles that must be found
 SHINGLE = 5
 BLOCK = 4  # items of a block
 INDEX_ITEMS = 20_000  # items of one index; further items get further indexes
-ITEM_CHARS = 1 << 26  # total size of the items of one index
+ITEM_CHARS = 1 << 24  # total size of the items of one index (in expectation)
+ENTRIES = 1 << 20  # block maxima that are summed at once
+CELLS = 1 << 20  # passages times blocks that are held at once
 PIECE_WORDS = 1 << 18
 # A-Z to a-z, digits, a-z and all bytes of non-ASCII characters stay, everything else becomes a blank.
 FOLD = bytes(
@@ -54,8 +58,22 @@ class _Terms(dict):
         return -1
 
 
+class _Lists:
+    """Lists of (number, value) pairs by term, held as three arrays."""
+
+    def __init__(self, terms: np.ndarray, numbers: np.ndarray, values: np.ndarray, size: int):
+        """The pairs come ordered by term and number."""
+        self.edges = np.searchsorted(terms, np.arange(size + 1))
+        self.numbers, self.values = numbers.astype(np.int32), values
+
+    def __getitem__(self, term: int) -> list[tuple[int, float]]:
+        at = slice(self.edges[term], self.edges[term + 1])
+        return list(zip(self.numbers[at].tolist(), self.values[at].tolist(), strict=True))
+
+
 class Index:
     """Inverted index of items: postings by term, ordered by item, in blocks of BLOCK items with the block's largest impact.
+    Postings and block maxima are held only where a term occurs, so the size follows that of the items.
 
     An impact is the BM25 weight of a term in an item over the item's own score (that of a passage with all its words), so
     scores run from 0 to 1 and one threshold serves items of any length. A passage counts each of its words once.
@@ -70,14 +88,12 @@ class Index:
         self.ids = [p[0] for p in parsed]
         self.longest = max((len(p[2]) for p in parsed), default=0)
         mean = sum(len(p[2]) for p in parsed) / max(1, len(parsed))
-        self.parts = []
-        for _, text, words in parsed:
-            question, answer = question_and_answer(text)
-            self.parts.append((shingle_set(words), shingle_set(question), shingle_set(answer)))
+        self.texts = [p[1] for p in parsed]
         self.terms = _Terms((w, k) for k, w in enumerate(sorted(spread)))
         self.blocks = -(-len(parsed) // BLOCK)
-        self.bounds = np.zeros((len(self.terms), self.blocks), dtype=np.float32)
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        size = sum(len(set(p[2])) for p in parsed)
+        terms, items, impacts = np.empty(size, dtype=np.int64), np.empty(size, dtype=np.int64), np.empty(size)
+        at = 0
         for n, (_, _, words) in enumerate(parsed):
             weights = {}
             for w, tf in Counter(words).items():
@@ -85,21 +101,28 @@ class Index:
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
             own = sum(weights.values())
             for w, x in weights.items():
-                term = self.terms[w]
-                self.postings[term].append((n, x / own))
-                self.bounds[term, n // BLOCK] = max(self.bounds[term, n // BLOCK], x / own)
-        self.shingle_items: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
-        for n, (whole, _, _) in enumerate(self.parts):
-            for s in whole:
-                self.shingle_items[s].append(n)
+                terms[at], items[at], impacts[at] = self.terms[w], n, x / own
+                at += 1
+        order = np.lexsort((items, terms))
+        terms, items, impacts = terms[order], items[order], impacts[order]
+        self.postings = _Lists(terms, items, impacts, len(self.terms))
+        blocks = items // BLOCK
+        first = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])][: len(terms)])
+        most = np.maximum.reduceat(impacts, first) if len(first) else impacts
+        self.bounds = _Lists(terms[first], blocks[first], most.astype(np.float32), len(self.terms))
+
+    def parts(self, item: int) -> tuple[set, set, set]:
+        """The shingles of an item, of its question and of its answer."""
+        question, answer = question_and_answer(self.texts[item])
+        return shingle_set(words_of(self.texts[item])), shingle_set(question), shingle_set(answer)
 
     def search(self, terms: list[int], blocks: set[int], threshold: float) -> list[tuple[int, float]]:
         """All items scoring at least threshold, by WAND over the postings of the given terms. At each step the pivot is
         the first item that the remaining terms' bounds allow; its block's bounds decide if it is scored or its block is
         left behind."""
-        lists = [(self.postings[t], self.bounds[t]) for t in terms]
+        lists = [(self.postings[t], dict(self.bounds[t])) for t in terms]
         heads = [0] * len(lists)
-        best = [float(b.max()) for _, b in lists]
+        best = [max(b.values()) for _, b in lists]
         found = []
         while True:
             alive = sorted(
@@ -115,7 +138,7 @@ class Index:
                 return found
             block = pivot // BLOCK
             here = [k for item, k in alive if item <= pivot or item // BLOCK == block]
-            if block not in blocks or sum(float(lists[k][1][block]) for k in here) < threshold - 1e-6:
+            if block not in blocks or sum(lists[k][1].get(block, 0.0) for k in here) < threshold - 1e-6:
                 ahead = (block + 1) * BLOCK  # no item of this block can reach the threshold
             elif alive[0][0] == pivot:
                 score = sum(lists[k][0][heads[k]][1] for item, k in alive if item == pivot)
@@ -145,31 +168,50 @@ class Index:
         keys = np.unique(np.concatenate([own, np.maximum(own - 1, 0)]) * size + np.concatenate([ids[at], ids[at]]))
         passages, terms = keys // size, keys % size
         starts = np.flatnonzero(np.r_[True, passages[1:] != passages[:-1]])
+        edges = np.append(starts, len(keys))
         out = []
-        for k in range(0, len(starts), 4_096):
-            some = starts[k : k + 4_096]
-            upto = starts[k + 4_096] if k + 4_096 < len(starts) else len(keys)
-            reach = np.add.reduceat(self.bounds[terms[some[0] : upto]], some - some[0], axis=0)
+        rows_at_once = max(1, CELLS // self.blocks)
+        for k in range(0, len(starts), rows_at_once):
+            some = edges[k : k + rows_at_once + 1]
+            reach = self._reach(terms[some[0] : some[-1]], np.repeat(np.arange(len(some) - 1), np.diff(some)), len(some) - 1)
             rows, blocks = np.nonzero(reach >= threshold - 1e-4)
             for row in np.unique(rows):
-                last = some[row + 1] if row + 1 < len(some) else upto
-                held = terms[some[row] : last].tolist()
+                held = terms[some[row] : some[row + 1]].tolist()
                 for item, score in self.search(held, set(blocks[rows == row].tolist()), threshold):
                     out.append((item, int(passages[some[row]]), score))
         return out
 
+    def _reach(self, terms: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """For n passages (rows) and every block, the sum of the terms' maxima in the block, some entries at a time."""
+        starts = self.bounds.edges[terms]
+        lengths = self.bounds.edges[terms + 1] - starts
+        upto = np.cumsum(lengths)
+        reach, k = np.zeros(n * self.blocks), 0
+        while k < len(terms):
+            done = upto[k] - lengths[k]
+            end = max(k + 1, int(np.searchsorted(upto, done + ENTRIES, side="right")))
+            size = lengths[k:end]
+            at = np.arange(upto[end - 1] - done) + np.repeat(starts[k:end] - (upto[k:end] - size - done), size)
+            low, high = rows[k] * self.blocks, (rows[end - 1] + 1) * self.blocks
+            cells = np.repeat(rows[k:end] * self.blocks - low, size) + self.bounds.numbers[at]
+            reach[low:high] += np.bincount(cells, self.bounds.values[at], high - low)
+            k = end
+        return reach.reshape(n, self.blocks)
+
     def hits(self, text: str) -> list[tuple[int, float, float, float, float]]:
         """(item id, best BM25 share, question, answer and whole overlap) of the items that a text holds. An item counts
         where a passage holds 75 % of its shingles, or 75 % of its question's and 75 % of its answer's."""
         words = words_of(text)
-        step, best = max(1, self.longest), {}
+        step, best, parts = max(1, self.longest), {}, {}
         for begin in range(0, max(1, len(words)), PIECE_WORDS):
             piece = words[begin : begin + PIECE_WORDS + 2 * step]
             for item, passage, score in self.candidates(piece):
                 first = passage * step
                 got = shingle_set(piece[first : first + 2 * step])
-                whole, question, answer = (_share(part, got, piece[first : first + 2 * step]) for part in self.parts[item])
-                both = min(question, answer if self.parts[item][2] else 1.0)
+                if item not in parts:
+                    parts[item] = self.parts(item)
+                whole, question, answer = (_share(part, got, piece[first : first + 2 * step]) for part in parts[item])
+                both = min(question, answer if parts[item][2] else 1.0)
                 if max(whole, both) * DENOMINATOR >= NUMERATOR:
                     best[item] = max(best.get(item, (0.0,) * 4), (score, question, answer, whole))
         return [(self.ids[i], *best[i]) for i in sorted(best, key=lambda i: self.ids[i])]
@@ -186,29 +228,43 @@ def _share(part: set, got: set, words: list[bytes]) -> float:
     return len(part & got) / len(part)
 
 
-def indexes(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[Index]:
-    """Indexes over all items, of at most INDEX_ITEMS each (in expectation; a longer test set gives more indexes, each with
-    its own counts). Null texts and ids and texts without words are left out."""
+def _build(group: pa.Table) -> pa.Table:
+    rows = sorted(zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True))
+    return pa.table([group.column("part").slice(0, 1), pa.array([pickle.dumps(Index(rows))], pa.binary())], names=["part", "index"])
+
+
+def _each_index(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[Index]:
+    """The indexes over all items one by one, of INDEX_ITEMS items and ITEM_CHARS characters at most in expectation; a longer
+    test set gives more of them, each with its own counts. Tasks build them, and the driver holds one at a time. Rows of the
+    same id and text count once; null texts and ids and texts without words are left out."""
     known = items.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")
     )
+    known = known.dropDuplicates(["i", "t"])
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     parts = max(1, -(-n // INDEX_ITEMS), -(-size // ITEM_CHARS))
-    out = []
+    placed = known.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
+    built = placed.groupBy("part").applyInArrow(_build, "part int, index binary")
+    if parts > 1:
+        built = cut(built)
     for part in range(parts):
-        rows = bounded_rows(known.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part), 2 * INDEX_ITEMS, "items of an index")
-        out.append(Index(sorted((r["i"], r["t"]) for r in rows)))
-    return out
+        for row in bounded_rows(built.where(F.col("part") == part), 1, "indexes of a part"):
+            yield pickle.loads(row["index"])
+
+
+def indexes(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> list[Index]:
+    """All indexes at once, for a test set of few; an empty one where there is no item."""
+    return list(_each_index(items, id_column, text_column)) or [Index([])]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap,
-    overlap. Every passage of every text is a query; null and empty texts give none, repeated documents repeat their rows
-    and repeated items (equal id) theirs. Words are runs of letters and digits without case."""
+    overlap. Every passage of every text is a query; null and empty texts give none, repeated documents repeat their rows.
+    Items of equal id and text count once, those of equal id and other text each give theirs. Words are runs of letters and digits without case."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    out = None
-    for index in indexes(items, text_column="text"):
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in _each_index(items, text_column="text"):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches, held=held):
@@ -223,15 +279,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"],
                 )
 
-        found = rows.mapInArrow(find, schema)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(rows.mapInArrow(find, schema))
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item; columns as given. Null texts stay."""
     out = docs
-    for index in indexes(items):
+    for index in _each_index(items):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(texts, held=held):

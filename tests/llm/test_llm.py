@@ -304,6 +304,28 @@ def test_planted_items_are_found(spark):
     assert {r["doc_id"] for r in decontaminate.clean(table, items).collect()} == set(range(1000, 1000 + len(clean)))
 
 
+def test_indexes_grow_with_the_items(spark, monkeypatch):
+    import pickle
+
+    rng = random.Random(4)
+    listed = [(i, " ".join(["the", "of"] + [f"w{rng.randrange(30_000)}" for _ in range(18)])) for i in range(4_000)]
+    index = decontaminate.Index(listed)
+    assert len(pickle.dumps(index)) < 8_000_000  # terms x blocks alone would be 100 MB
+    assert all(i in [h[0] for h in index.hits("x y " + t + " z")] for i, t in listed[::400])
+    wide = index._reach(np.arange(50), np.arange(50) // 5, 10)
+    monkeypatch.setattr(decontaminate, "ENTRIES", 7)
+    assert np.allclose(wide, index._reach(np.arange(50), np.arange(50) // 5, 10))
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 20)
+    some = listed[:60] + [listed[0]] * 100  # repeated rows fall into one part
+    items = spark.createDataFrame(some, "item_id long, text string")
+    found = decontaminate.indexes(items)
+    assert sorted(i for x in found for i in x.ids) == list(range(60)) and len(found) > 1
+    docs = spark.createDataFrame([(k, "a b " + listed[k][1] + " c") for k in (0, 7, 59)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 0), (7, 7), (59, 59)]
+    assert decontaminate.clean(docs, items).count() == 0
+
+
 def test_overlap_rule_and_odd_rows(spark, odd, none):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta. iota kappa lambda mu nu xi"), (2, None), (3, "!!"), (4, "two")]
     table = spark.createDataFrame(items, "item_id long, text string")
