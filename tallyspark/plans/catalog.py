@@ -127,6 +127,21 @@ def concat_errors(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select("doc_key", joined(F.transform("errors", lambda e: e["field"])).alias("fields"))
 
 
+@query
+def concat_all_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of every broken rule of a document: header rules in rule order, then line and tax row fields in their order."""
+    lines = w.invoice_lines(spark, sf)
+    rows = {
+        "_lines": validation.broken_rows(lines, ["doc_key"], validation.line_rules(F.col), validation.line_prefix()),
+        "_taxes": validation.broken_rows(w.tax_rows(lines), ["doc_key"], validation.tax_rules(F.col), validation.tax_prefix()),
+    }
+    found = concat_errors(spark, sf).withColumn("fields", F.when(F.col("fields") != "", F.col("fields")))
+    for name, broken in rows.items():
+        per_document = broken.groupBy("doc_key").agg(joined(F.array_sort(F.collect_list("field"))).alias(name))
+        found = found.join(per_document, "doc_key", "left")
+    return found.select("doc_key", F.concat_ws("|", "fields", *rows).alias("fields"))
+
+
 @query
 def dq_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return validation.scorecard(_all_errors(spark, sf))
@@ -214,6 +229,14 @@ def distinct_matches(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.explode(F.concat("e", "p")).alias("match"))
 
 
+@query
+def distinct_matches_with_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    kinds = {"e": tx.emails(text), "p": tx.phones(text), "a": tx.address_lines(text)}
+    found = w.texts(spark, sf).select("doc_id", *(c.alias(name) for name, c in kinds.items()))
+    return found.select("doc_id", F.explode(F.concat(*kinds)).alias("match"))
+
+
 @query
 def earliest_label(spark: SparkSession, sf: str) -> DataFrame:
     lowered = w.texts(spark, sf).select("doc_id", F.lower("text").alias("lowered"))

@@ -166,6 +166,14 @@ _every = (
 )
 oracle("quick_validate", f"SELECT doc_key, concat(field, ': ', message) AS error FROM ({_every})")
 oracle("concat_errors", f"SELECT doc_key, {listed(HEADER_RULES, 'field')} AS fields FROM v_headers")
+_per_document = "SELECT doc_key, array_to_string(list_sort(list(field)), '|') AS fields FROM ({}) GROUP BY doc_key"
+oracle(
+    "concat_all_errors",
+    f"SELECT h.doc_key, concat_ws('|', nullif(h.fields, ''), l.fields, t.fields) AS fields"
+    f" FROM (SELECT doc_key, {listed(HEADER_RULES, 'field')} AS fields FROM v_headers) h"
+    f" LEFT JOIN ({_per_document.format(rules_sql(LINE_RULES, 'v_lines', LINE_PREFIX))}) l USING (doc_key)"
+    f" LEFT JOIN ({_per_document.format(rules_sql(TAX_RULES, 'v_taxes', TAX_PREFIX))}) t USING (doc_key)",
+)
 _star = (
     rules_sql(HEADER_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_RULES, "v_lines", "'invoice_lines.*.' || ")
     + " UNION ALL " + rules_sql(TAX_RULES, "v_taxes", "'tax_breakdown.*.' || ")
@@ -306,6 +314,8 @@ _phones = (
 text_oracle("extract_emails", f"array_to_string({_emails}, '|')")
 text_oracle("extract_phones", f"array_to_string({_phones}, '|')")
 oracle("distinct_matches", f"SELECT doc_id, unnest({_emails} || {_phones}) AS match FROM v_texts")
+_addresses = f"list_sort(list_distinct(list_transform({_holding}, lambda x: {collapse('x')})))"
+oracle("distinct_matches_with_addresses", f"SELECT doc_id, unnest({_emails} || {_phones} || {_addresses}) AS match FROM v_texts")
 text_oracle("extract_currency", "CASE " + " ".join(f"WHEN contains(text, '{s}') THEN '{c}'" for s, c in fv.CURRENCY_SYMBOLS.items()) + " ELSE 'EUR' END")
 oracle(
     "extract_key_data",

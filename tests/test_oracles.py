@@ -47,6 +47,16 @@ def test_query_equals_sql(spark, duck, name):
     assert ours and ours == theirs
 
 
+def test_all_matches_and_all_errors_are_listed(spark):
+    matches = {tuple(r) for r in QUERIES["distinct_matches_with_addresses"](spark, SF).collect()}
+    lines = [(r["doc_id"], a) for r in QUERIES["extract_addresses"](spark, SF).collect() for a in r["result"].split("|") if a]
+    assert lines and set(lines) <= matches
+    listed = QUERIES["concat_all_errors"](spark, SF).collect()
+    fields = sum(len(r["fields"].split("|")) for r in listed if r["fields"])
+    assert fields == QUERIES["quick_validate"](spark, SF).count()
+    assert any("invoice_lines." in r["fields"] or "tax_breakdown." in r["fields"] for r in listed)
+
+
 @pytest.mark.parametrize("name", sorted(FILE_LISTINGS))
 def test_file_listings(spark, name):
     rows = {r.filename: r.length for r in QUERIES[name](spark, SF).collect()}
