@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, jaccard_join, langid, quality, sentencepiece_codec
 from tallyspark.llm.catalog import ACCEPT, MIN_LANGUAGE_SCORE, PIECES
@@ -25,10 +26,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard_join.join(docs)
-    gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked rows exactly one stays: the one with the smallest id, null ids last. Rows are told apart by a
+    key of their own, so repeated, null and shared ids count as other rows; rows without words stay."""
+    keyed = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = jaccard_join.join(keyed, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"))
+    found = cut(found)
+    shared = found.where("_row <> _comp").select("_comp").distinct()
+    ids = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row").alias("_rank"))
+    grouped = cut(found.join(shared, "_comp").join(ids, "_row"))
+    stays = grouped.groupBy("_comp").agg(F.min("_rank").alias("_stays"))
+    gone = cut(grouped.join(stays, "_comp").where("_row <> _stays._row").select("_row"))
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -728,5 +728,13 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert "ids" in docs.columns and (n == 0 or docs.count() == 0)
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    copy, clean = "this text of eight words stands here often", "quite another text that nobody has copied so far"
+    rows = [(7, copy), (7, copy), (3, copy), (3, clean), (None, copy), (None, "a b c d e f"), (None, "a b c d e f"), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    got = rows_of(corpus_pipeline.near_duplicate_stage(spark, docs, SF).select("doc_id", "text"))
+    assert got == sorted([(3, copy), (3, clean), (None, "a b c d e f"), (9, ""), (9, "")], key=repr)
+
+
 def test_no_oracle_is_left_out():
     assert json.dumps(sorted(catalog.ORACLES)) == "[]" and corpus_pipeline.ORACLE_SQL is None
