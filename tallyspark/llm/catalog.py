@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
+    conversations,
     decontaminate,
     embed_dedup,
+    exact_dedup,
     html_text,
     jaccard_join,
     langid,
@@ -17,6 +19,7 @@ from tallyspark.llm import (
     sentencepiece_codec,
     sharding,
     token_files,
+    whitening,
 )
 from tallyspark.llm.common import crc_mod, table
 
@@ -86,6 +89,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    found, rows = conversations.repair(conversations.damaged(given))
+    both = conversations.joined(found, conversations.digests(rows), ["conv_id"], "left")
+    result = conversations.joined(given.select("conv_id").distinct(), both, ["conv_id"], "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return result.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors, 4))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,7 +125,20 @@ QUERIES = {
         op8_html_text,
         op9_jaccard_join,
         op10_language_id,
+        op11_conversation_repair,
+        op12_whitening,
+        op13_exact_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_exact_dedup": r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST)
+""",
+}
