@@ -49,7 +49,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     of_size = measured.select("size", "prefix").join(repeated(measured, "size"), "size", "left_semi")
     open_groups = repeated(of_size, "size", "prefix").withColumn("open", F.lit(True))
     joined = measured.join(open_groups, ["size", "prefix"], "left").withColumn("open", F.col("open").isNotNull())
-    digest = F.col("body") if digests else F.when("open", F.sha2("body", 256))
+    digest = F.col("body") if digests else F.when(F.col("open"), F.sha2("body", 256))
     hashed = cut(joined.select("_row", "doc_id", "points", "open", digest.alias("text_sha256")))
 
     rank = F.struct((-F.col("points")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")

@@ -289,10 +289,10 @@ def test_repaired_rows(spark):
     table = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, copies int")
     found, repaired = cv.repair(table)
     audits = {r["conv_id"]: (r["cost"], r["audit"]) for r in found.collect()}
-    assert audits == {1: (4, "KRDD"), 2: (2, "D"), 3: (0, "KKK"), 4: (3, "DKR")}
+    assert audits == {1: (4, "KDDK"), 2: (2, "D"), 3: (0, "KKK"), 4: (3, "DKR")}
     got = [tuple(r) for r in repaired.orderBy("conv_id", "step").collect()]
     assert got == [
-        (1, 0, "K", "user", "Hi."), (1, 1, "R", "assistant", "Yes."),
+        (1, 0, "K", "user", "Hi."), (1, 3, "K", "assistant", "Bye."),
         (3, 0, "K", "system", "S."), (3, 1, "K", "user", "A."), (3, 2, "K", "assistant", "B."),
         (4, 1, "K", "user", "B."), (4, 2, "R", "assistant", "C."),
     ]
