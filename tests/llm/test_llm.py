@@ -728,6 +728,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert "ids" in docs.columns and (n == 0 or docs.count() == 0)
 
 
+def test_pipeline_keeps_every_column_of_the_input(spark):
+    names = ["score", "lang_pred", "_row", "_score", "_clean", "_comp", "_rank", "_stays", "row", "packed", "c0", "component_id"]
+    docs = common.table(spark, SF, "documents").select(*(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in names), "*")
+    for name, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, common.cut(stage(spark, docs, SF))
+        assert docs.columns == columns + (["ids"] if name == "SentencePiece encoding" else [])
+        assert all(r[c] == f"{c} {r['doc_id']}" for r in docs.collect() for c in names)
+    given = {r["doc_id"]: r for r in common.table(spark, SF, "documents").collect()}
+    assert all(r[c] == given[r["doc_id"]][c] for r in docs.collect() for c in ("text", "lang", "source", "n_chars"))
+
+
 def test_near_duplicates_keep_one_row_of_each_group(spark):
     copy, clean = "this text of eight words stands here often", "quite another text that nobody has copied so far"
     rows = [(7, copy), (7, copy), (3, copy), (3, clean), (None, copy), (None, "a b c d e f"), (None, "a b c d e f"), (9, ""), (9, "")]
