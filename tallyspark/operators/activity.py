@@ -23,27 +23,49 @@ def counts(key: list[str]) -> list[Column]:
     return [F.count("*").alias("total_operations"), good, F.count_if(~F.col("success")).alias("failed_operations")]
 
 
-def index_percentiles(log: DataFrame, key: str, value: str, quantiles: dict[str, float], band: float = 0.1) -> DataFrame:
-    """Exact value at 0-based position floor(n * q) of each key's sorted values.
+STEP_BITS = 16  # bits of the order code that one count settles
 
-    Values are first counted, so repeats collapse before the shuffle. Bands of width `band` then carry the running
-    count from band to band; only the bands that hold a wanted position are ordered value by value, each on its own.
+
+def order_code(value: Column) -> Column:
+    """A 64-bit integer that orders like the double: its bits, turned over below zero. NaN comes last, -0.0 equals 0.0."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def value_of(code: Column) -> Column:
+    bits = F.when(code >= 0, code).otherwise(code.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def index_percentiles(log: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact value at 0-based position floor(n * q) of each key's sorted values; nulls don't count.
+
+    Selection by radix on an order-preserving 64-bit code, 16 bits a step: each step counts the next digit among the rows
+    that share the digits found so far, by partial aggregation, and running counts over the digits tell where each position
+    lies. Four steps give the code. At most 65,536 counts a key and prefix are shuffled, however the values lie.
     """
-    counted = log.groupBy(key, value).agg(F.count("*").alias("n")).withColumn("band", F.floor(F.col(value) / band))
-    of_key = Window.partitionBy(key).orderBy("band")
-    before = F.sum("n").over(of_key.rowsBetween(Window.unboundedPreceding, -1))
-    bands = counted.groupBy(key, "band").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(key))
-    placed = bands.select(key, "band", "n", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
-    wanted = F.array(*[F.struct(F.lit(q).alias("name"), F.floor(F.col("total") * F.lit(p)).alias("at")) for q, p in quantiles.items()])
-    inside = F.filter(wanted, lambda x: (x["at"] >= F.col("before")) & (x["at"] < F.col("before") + F.col("n")))
-    hit_bands = placed.select(key, "band", "before", inside.alias("wanted")).where(F.size("wanted") > 0)
-    in_band = Window.partitionBy(key, "band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(hit_bands, [key, "band"]).withColumn("upto", F.col("before") + F.sum("n").over(in_band))
-    picks = ranked.select(key, value, "upto", "n", F.explode("wanted").alias("x")).where(
-        (F.col("x.at") < F.col("upto")) & (F.col("x.at") >= F.col("upto") - F.col("n"))
-    )
-    return picks.groupBy(key).agg(*[F.max(F.when(F.col("x.name") == q, F.col(value))).alias(q) for q in quantiles])
+    key_type = log.schema[key].dataType
+    coded = log.where(F.col(value).isNotNull()).select(F.struct(key).alias("_key"), order_code(F.col(value)).alias("_code"))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.col("_total") * F.lit(q)).cast("long").alias("at")) for n, q in quantiles.items()])
+    found = None
+    for left in range(64 - STEP_BITS, -1, -STEP_BITS):
+        group = ["_key"] if found is None else ["_key", "_prefix", "_wanted"]
+        rows = coded.withColumn("_digits", F.shiftright("_code", left))
+        if found is not None:
+            rows = rows.withColumn("_prefix", F.shiftright("_digits", STEP_BITS)).join(found, ["_key", "_prefix"])
+        counted = rows.groupBy(*group, "_digits").agg(F.count("*").alias("_n"))
+        of_group = Window.partitionBy(*group)
+        upto = F.sum("_n").over(of_group.orderBy("_digits").rowsBetween(Window.unboundedPreceding, 0))
+        counted = counted.withColumn("_upto", upto)
+        if found is None:
+            counted = counted.withColumn("_total", F.sum("_n").over(of_group)).withColumn("_wanted", wanted)
+        before = F.col("_upto") - F.col("_n")
+        inside = F.filter("_wanted", lambda x: (x["at"] >= before) & (x["at"] < F.col("_upto")))  # noqa: B023
+        rest = F.transform(inside, lambda x: F.struct(x["name"].alias("name"), (x["at"] - before).alias("at")))  # noqa: B023
+        found = counted.select("_key", F.col("_digits").alias("_prefix"), rest.alias("_wanted")).where(F.size("_wanted") > 0)
+    picks = found.select("_key", value_of(F.col("_prefix")).alias("_value"), F.explode("_wanted.name").alias("_name"))
+    marks = picks.groupBy("_key").agg(*[F.max(F.when(F.col("_name") == q, F.col("_value"))).alias(q) for q in quantiles])
+    return marks.select(F.col(f"_key.{key}").cast(key_type).alias(key), *quantiles)
 
 
 def performance_stats(log: DataFrame, now: str, hours: int = 24) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.chains import chain, group_key
+from tallyspark.sources.folders import written
+
 NEW_TEXT_LINE = 10.0
 NEW_SEGMENT = 15.0
 ROW_TOLERANCE = 10.0
@@ -92,53 +95,63 @@ def line_segments(tokens: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cell_grid(cells: DataFrame, table_keys: list[str]) -> DataFrame:
-    """Row and column number of each table cell (x1, y1, cell_id).
+def row_starts(cells: DataFrame, table_keys: list[str]) -> DataFrame:
+    """(_key, _at, row_no) for each level y1 of a table, in millionths. A level opens a row when it is more than 10 below
+    the level that opened the row before.
 
-    A cell opens a new row when its y1 is more than 10 from that of the row's first cell. Only distinct y1 values
-    decide this, so the fold runs over one short sorted list of them per table.
+    Only the distinct levels decide. They are cut into islands at gaps over the tolerance, where a row opens in any case;
+    within islands, pointers from each level to the next start are doubled. No array or task holds a whole table for that.
     """
-    tops = cells.groupBy(*table_keys).agg(F.sort_array(F.collect_set("y1")).alias("ys"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("row"), F.expr("array()").cast("array<struct<y1:double,row:int>>").alias("out"))
-
-    def step(acc: Column, y: Column) -> Column:
-        opens = acc["anchor"].isNull() | (y - acc["anchor"] > ROW_TOLERANCE)
-        row = acc["row"] + opens.cast("int")
-        return F.struct(
-            F.when(opens, y).otherwise(acc["anchor"]).alias("anchor"),
-            row.alias("row"),
-            F.array_append(acc["out"], F.struct(y.alias("y1"), row.alias("row"))).alias("out"),
-        )
-
-    rows = tops.select(*table_keys, F.explode(F.aggregate("ys", start, step, lambda a: a["out"])).alias("r")).select(
-        *table_keys, F.col("r.y1").alias("y1"), F.col("r.row").alias("row_no")
-    )
+    levels = cells.where("y1 is not null").select(group_key(table_keys).alias("_key"), millionths("y1").alias("_at")).distinct()
+    levels = written(levels, "levels")
+    starts = chain(levels, round(ROW_TOLERANCE * 1e6)).withColumn("_opens", F.lit(1))
+    upto = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    marked = levels.join(starts, ["_key", "_at"], "left")
+    return marked.select("_key", "_at", F.sum(F.coalesce("_opens", F.lit(0))).over(upto).cast("int").alias("row_no"))
+
+
+def millionths(place: str) -> Column:
+    return F.round(F.col(place) * F.lit(1e6)).cast("long")
+
+
+def cell_grid(cells: DataFrame, table_keys: list[str]) -> DataFrame:
+    """Row and column number of each table cell (x1, y1, cell_id). Levels are told apart to a millionth; a cell without y1
+    has no row and is left out."""
+    placed = cells.withColumns({"_key": group_key(table_keys), "_at": millionths("y1")})
     in_row = Window.partitionBy(*table_keys, "row_no").orderBy("x1", "y1", "cell_id")
-    return cells.join(rows, [*table_keys, "y1"]).withColumn("col_no", F.row_number().over(in_row))
+    rows = placed.join(row_starts(cells, table_keys), ["_key", "_at"]).select(*cells.columns, "row_no")
+    return rows.withColumn("col_no", F.row_number().over(in_row))
 
 
-def token_cell_join(cells: DataFrame, tokens: DataFrame, page_keys: list[str], cell_keys: list[str], tile: int = 128) -> DataFrame:
+def token_cell_join(
+    cells: DataFrame, tokens: DataFrame, page_keys: list[str], cell_keys: list[str], tile: float = 1 / 1024
+) -> DataFrame:
     """Text of each cell: tokens whose centre lies inside its box (edges included), joined in token order.
 
-    Both sides carry the square tile of the page they touch, so the box test compares only near neighbours and a large
-    page is spread over many join keys. A token has one tile; a cell is repeated for each tile it covers. A cell without a box keeps its row and has no text.
+    The page is tiled on several levels; tiles of level n have edges of `tile` * 2^n. A cell enters on the level whose
+    tiles are just longer than its own longer edge, so it touches four tiles at most, whatever the scale of the coordinates.
+    A token enters once on each level that a cell of its page occupies. A cell without a finite box has no text.
     """
-
-    def tile_of(v: Column) -> Column:
-        return F.floor(v / F.lit(tile)).cast("long")
-
-    spread = cells.withColumn("tx", F.explode_outer(F.sequence(tile_of(F.col("x1")), tile_of(F.col("x2"))))).withColumn(
-        "ty", F.explode_outer(F.sequence(tile_of(F.col("y1")), tile_of(F.col("y2"))))
-    )
-    placed = tokens.select(
-        *page_keys, "elem_id", "text", "cx", "cy", tile_of(F.col("cx")).alias("tx"), tile_of(F.col("cy")).alias("ty")
-    )
+    box = ["x1", "y1", "x2", "y2"]
+    finite = F.lit(True)
+    for c in box:
+        finite = finite & F.col(c).isNotNull() & (F.abs(c) < F.lit(float("inf")))
+    edge = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    level = F.when(edge < tile, 0).otherwise(F.floor(F.log2(edge / F.lit(tile))) + 1).cast("int")
+    sized = cells.withColumn("_level", F.when(finite, level))
+
+    def tile_of(v: str) -> Column:
+        return F.floor(F.col(v) / (F.lit(tile) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+
+    spread = sized.withColumn("_tx", F.explode_outer(F.sequence(tile_of("x1"), tile_of("x2"))))
+    spread = spread.withColumn("_ty", F.explode_outer(F.sequence(tile_of("y1"), tile_of("y2"))))
+    occupied = sized.where("_level is not null").select(*page_keys, "_level").distinct()
+    placed = tokens.select(*page_keys, "elem_id", "text", "cx", "cy").join(occupied, page_keys)
+    placed = placed.withColumns({"_tx": tile_of("cx"), "_ty": tile_of("cy")})
     c, t = spread.alias("c"), placed.alias("t")
-    inside = F.col("t.cx").between(F.col("c.x1"), F.col("c.x2")) & F.col("t.cy").between(F.col("c.y1"), F.col("c.y2"))
-    same = [F.col(f"c.{k}") == F.col(f"t.{k}") for k in [*page_keys, "tx", "ty"]]
-    on = inside
-    for equal in same:
-        on = on & equal
+    on = F.col("t.cx").between(F.col("c.x1"), F.col("c.x2")) & F.col("t.cy").between(F.col("c.y1"), F.col("c.y2"))
+    for k in [*page_keys, "_level", "_tx", "_ty"]:
+        on = on & (F.col(f"c.{k}") == F.col(f"t.{k}"))
     hit = F.when(F.col("t.elem_id").isNotNull(), F.struct(F.col("t.elem_id").alias("e"), F.col("t.text").alias("t")))
     return (
         c.join(t, on, "left")

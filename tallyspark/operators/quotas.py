@@ -1,7 +1,7 @@
 """Decisions that depend on earlier decisions of the same key: alert cool-down and sliding-window quotas.
 
-Neither gathers a key. The cool-down follows successor pointers, which doubling turns into the chain of emitted rows by
-joins alone. The quota runs stretches of time in parallel from a guessed state and repeats those whose guess was wrong.
+Neither gathers a key. The cool-down follows successor pointers, which doubling turns into the chain of emitted rows
+by joins alone (see chains). The quota runs stretches of time in parallel from a guessed state and repeats those whose guess was wrong.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.operators.chains import bucket_of, chain, group_key
 from tallyspark.sources.folders import written
 
 # Executors receive the folds themselves and need no copy of this package on their path.
@@ -27,90 +28,19 @@ STRETCH_ROWS = 100_000  # rows of a stretch of time, unless a single period hold
 GUESSES = 6  # rounds of guessing, after which the open rest of a key is folded in order
 
 
-def _key(keys: list[str]) -> Column:
-    """The keys as one column that is never null, so that rows without a key meet in joins as they do in groups."""
-    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-
-
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 # --- cool-down -----------------------------------------------------------------------------------------------------
-def _filled_buckets(levels: DataFrame, wait: int) -> DataFrame:
-    """For each filled bucket of a key, as long as the wait: its first level, the first level two buckets on or later, and
-    whether it opens an island, i.e. follows an empty bucket."""
-    of_key = Window.partitionBy("_key").orderBy("_bucket")
-    near, far = ((F.lead("_bucket", n).over(of_key), F.lead("_first", n).over(of_key)) for n in (1, 2))
-    buckets = levels.groupBy("_key", "_bucket").agg(F.min("_us").alias("_first"))
-    behind = F.lag("_bucket").over(of_key)
-    return buckets.select(
-        "_key",
-        "_bucket",
-        "_first",
-        F.when(near[0] > F.col("_bucket") + 1, near[1]).otherwise(far[1]).alias("_beyond"),
-        (behind.isNull() | (F.col("_bucket") > behind + 1)).alias("_opens"),
-    )
-
-
-def successors(levels: DataFrame, wait: int) -> DataFrame:
-    """(_key, _us, _next, _start) for distinct times of a key: the first time more than `wait` later, and whether the time
-    is emitted whatever came before. Times are dealt out by key and bucket, so a key is spread over its buckets.
-
-    The successor of a time lies in the next bucket or beyond. Within the next bucket, times and probes (time plus wait) are
-    read downwards, and a probe takes the last time seen above it; where there is none, the bucket table knows what follows.
-    """
-    placed = levels.withColumn("_bucket", F.floor(F.col("_us") / F.lit(wait)))
-    with_bucket = placed.join(_filled_buckets(placed, wait), ["_key", "_bucket"])
-    probes = with_bucket.select(
-        "_key",
-        (F.col("_bucket") + 1).alias("_bucket"),
-        (F.col("_us") + F.lit(wait)).alias("_at"),
-        F.struct("_us", "_beyond", (F.col("_opens") & (F.col("_us") == F.col("_first"))).alias("_start")).alias("_probe"),
-    )
-    none = F.lit(None).cast(probes.schema["_probe"].dataType)
-    both = probes.unionByName(placed.select("_key", "_bucket", F.col("_us").alias("_at"), none.alias("_probe")))
-    downwards = Window.partitionBy("_key", "_bucket").orderBy(F.col("_at").desc(), F.col("_probe").isNull())
-    level = F.when(F.col("_probe").isNull(), F.col("_at"))
-    above = F.last(level, ignorenulls=True).over(downwards.rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("_above", above).where(F.col("_probe").isNotNull())
-    return found.select(
-        "_key", F.col("_probe._us").alias("_us"), F.coalesce("_above", F.col("_probe._beyond")).alias("_next"), F.col("_probe._start").alias("_start")
-    )
-
-
-def emitted_times(levels: DataFrame, wait: int) -> DataFrame:
-    """(_key, _us) of the times that a cool-down lets through: from the first of each island along the successors.
-
-    Pointer doubling: after round r the first 2^r emitted times of every island are known, and pointers lead 2^r emissions
-    on, so the rounds are the logarithm of the longest island's emissions. Each round is two joins by key and time, written
-    to the shared folder.
-    """
-    pointers = written(successors(levels, wait), "pointers")
-    starts = pointers.where("_start").select("_key", "_us")
-    inner = pointers.select("_key", F.col("_us").alias("_from"), F.col("_next").alias("_us")).where("_us is not null")
-    jumps = written(inner.join(starts, ["_key", "_us"], "left_anti").select("_key", F.col("_from").alias("_us"), F.col("_us").alias("_next")), "jumps")
-    known, newest = [written(starts, "emitted")], starts
-    while True:
-        reached = known[0]
-        for more in known[1:]:
-            reached = reached.unionByName(more)
-        newest = written(reached.join(jumps, ["_key", "_us"]).select("_key", F.col("_next").alias("_us")), "emitted")
-        if newest.isEmpty():
-            return reached
-        known.append(newest)
-        onward = jumps.select("_key", F.col("_us").alias("_next"), F.col("_next").alias("_then"))
-        jumps = written(jumps.join(onward, ["_key", "_next"]).select("_key", "_us", F.col("_then").alias("_next")), "jumps")
-
-
 def alert_cooldown(breaches: DataFrame, keys: list[str], seconds: int = 300, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Adds `emit`: true when more than `seconds` passed since the key's last emitted row. Of rows at one time the one with
     the smallest tie counts, of equal rows one; rows without a time are never emitted."""
     wait = max(1, seconds * MICROS)
-    rows = breaches.withColumns({"_key": _key(keys), "_us": _micros(ts)})
+    rows = breaches.withColumns({"_key": group_key(keys), "_us": _micros(ts)})
     levels = rows.where("_us is not null").groupBy("_key", "_us").agg(F.min(tie).alias("_tie"))
     levels = written(levels, "levels")
-    through = emitted_times(levels.select("_key", "_us"), wait).join(levels, ["_key", "_us"])
+    through = chain(levels.select("_key", F.col("_us").alias("_at")), wait).withColumnRenamed("_at", "_us").join(levels, ["_key", "_us"])
     through = through.select("_key", "_us", F.col("_tie").alias("_first_tie"), F.lit(True).alias("_emitted"))
     tied = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_us", tie).orderBy(F.lit(0))))
     first = tied["_nth"] == 1
@@ -301,24 +231,30 @@ def rate_limit(
     """
     runs = [] if runs is None else runs
     period = max(1, seconds * MICROS)
-    rows = requests.withColumns({"_key": _key(keys), "_us": _micros(ts)})
-    timed = rows.where("_us is not null").withColumn("_bucket", F.floor(F.col("_us") / F.lit(period)))
-    cells = written(stretches(timed, stretch_rows), "stretches")
+    rows = requests.withColumns({"_key": group_key(keys), "_us": _micros(ts)})
+    timed = rows.where("_us is not null").withColumn("_bucket", bucket_of("_us", period))
+    cells = stretches(timed, stretch_rows)
+    if cells.where("_stretch > 0").isEmpty():  # every key is one stretch
+        none = timed.select(F.lit("").alias("_id"), F.array(F.lit(0).cast("long")).alias("_log")).where("false")
+        return _with_untimed(_decide(timed.select(F.to_json("_key").alias("_id"), "_us", *requests.columns), none, calls, seconds, keep_edge, ["_us", tie], False), rows)
+    cells = written(cells, "stretches")
     of_key = Window.partitionBy("_key").orderBy("_stretch")
     parts = cells.groupBy("_key", "_stretch").agg(F.min("_first").alias("_from"))
     parts = parts.withColumn("_previous", _identity(F.lag("_stretch").over(of_key))).withColumn("_id", _identity("_stretch"))
     parts = written(parts, "parts")
-    entries = parts.select("_id", F.expr("CAST(array() AS array<long>)").alias("_log")).where("false")
     several = parts.where("_previous is not null").select("_key").distinct()
-    if not several.isEmpty():
-        long_keys = parts.join(several, "_key", "left_semi")
-        times = timed.select("_key", "_bucket", "_us").join(cells, ["_key", "_bucket"]).join(several, "_key", "left_semi")
-        times = written(times.select(_identity("_stretch").alias("_id"), "_us"), "times")
-        settled, entries = _settled(times, long_keys, calls, seconds, keep_edge, guesses, runs)
-        parts = settled.unionByName(parts.join(several, "_key", "left_anti"))
+    long_keys = parts.join(several, "_key", "left_semi")
+    times = timed.select("_key", "_bucket", "_us").join(cells, ["_key", "_bucket"]).join(several, "_key", "left_semi")
+    times = written(times.select(_identity("_stretch").alias("_id"), "_us"), "times")
+    settled, entries = _settled(times, long_keys, calls, seconds, keep_edge, guesses, runs)
+    parts = settled.unionByName(parts.join(several, "_key", "left_anti"))
     placed = timed.join(cells.drop("_first"), ["_key", "_bucket"]).join(parts.select("_key", "_stretch", "_id"), ["_key", "_stretch"])
     sent = placed.select("_id", "_us", *requests.columns)
-    decided = _decide(sent, entries, calls, seconds, keep_edge, ["_us", tie], ends_only=False).drop("_us")
-    untimed = rows.where("_us is null").select(*requests.columns)
+    return _with_untimed(_decide(sent, entries, calls, seconds, keep_edge, ["_us", tie], ends_only=False), rows)
+
+
+def _with_untimed(decided: DataFrame, rows: DataFrame) -> DataFrame:
+    """The decisions, and the rows without a time, which are never admitted."""
+    untimed = rows.where("_us is null").drop("_key", "_us")
     never = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((False, 0, 0), DECIDED.fields)]
-    return decided.unionByName(untimed.select("*", *never))
+    return decided.drop("_us").unionByName(untimed.select("*", *never))
