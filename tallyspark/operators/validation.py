@@ -368,6 +368,72 @@ def all_errors(headers: DataFrame, lines: DataFrame, taxes: DataFrame, key: str,
     return of_headers.unionByName(of_lines).unionByName(broken_rows(taxes, [key], tax_rules(F.col), tax_prefix()))
 
 
+# --- error lists of whole invoices ---------------------------------------------------------------------------------
+ENTRY = "array<struct<rule:int,field:string,message:string,n:bigint,first:string>>"
+
+
+def _numbered(rules: list[Rule], start: int, table: str) -> list[tuple[int, str, str, Column]]:
+    return [(start + i, f"{table}.*.{field}", message, broken) for i, (field, message, broken, _) in enumerate(rules)]
+
+
+def _row_rules(line: Get, tax: Get) -> tuple[list, list]:
+    of_lines = _numbered(line_rules(line), 0, "invoice_lines")
+    return of_lines, _numbered(tax_rules(tax), len(of_lines), "tax_breakdown")
+
+
+def rule_summary(lines: DataFrame, taxes: DataFrame, key: str) -> DataFrame:
+    """(key, row_errors): for each broken line and tax row rule of an invoice its number, field, message, how many rows break
+    it, and the smallest name of such a row. Broken rows are counted by invoice and rule, by partial aggregation; what is
+    gathered for an invoice are its broken rules, which are no more than there are rules, however many lines it has."""
+
+    def broken(rows: DataFrame, name: Column, rules: list) -> DataFrame:
+        tests = F.array(*[F.when(test, F.lit(number)) for number, _, _, test in rules])
+        found = rows.select(key, name.alias("first"), F.explode(F.array_compact(tests)).alias("rule"))
+        return found.groupBy(key, "rule").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+
+    of_lines, of_taxes = _row_rules(F.col, F.col)
+    tax_name = F.concat_ws("-", F.col("tax_rate").cast("string"), "tax_category")
+    counted = broken(lines, F.col("line_ref"), of_lines).unionByName(broken(taxes, tax_name, of_taxes))
+    known = {number: (field, message) for number, field, message, _ in of_lines + of_taxes}
+    text = [F.create_map(*[F.lit(x) for number, t in known.items() for x in (number, t[i])])[F.col("rule")] for i in (0, 1)]
+    entry = F.struct("rule", text[0].alias("field"), text[1].alias("message"), "n", "first")
+    return counted.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("row_errors"))
+
+
+def nested_rule_summary(df: DataFrame) -> DataFrame:
+    """Adds the same to invoices that carry their lines and tax rows; the first row is named by its position. The rules are
+    tested once per row, into a column of flags that the counts of all rules read."""
+    rules = dict(zip(("invoice_lines", "tax_breakdown"), _row_rules(lambda name: F.lit(None), lambda name: F.lit(None))))
+
+    def flags(array: str, of_table: int) -> Column:
+        return F.transform(array, lambda x: F.array(*[test for _, _, _, test in _row_rules(x.getField, x.getField)[of_table]]))
+
+    def entry(array: str, at: int, number: int, field: str, message: str) -> Column:
+        hits = F.filter(F.transform(f"_of_{array}", lambda f, k: F.when(f[at], k)), lambda k: k.isNotNull())
+        named = [F.lit(number).alias("rule"), F.lit(field).alias("field"), F.lit(message).alias("message")]
+        return F.when(F.size(hits) > 0, F.struct(*named, F.size(hits).cast("bigint").alias("n"), hits[0].cast("string").alias("first")))
+
+    entries = [entry(t, at, *rule[:3]) for t, of in rules.items() for at, rule in enumerate(of)]
+    tested = df.withColumns({f"_of_{t}": flags(t, i) for i, t in enumerate(rules)})
+    return tested.withColumn("row_errors", F.array_compact(F.array(*entries)).cast(ENTRY)).drop(*(f"_of_{t}" for t in rules))
+
+
+def validate_whole(headers: DataFrame, lines: DataFrame, taxes: DataFrame, key: str, as_of: str) -> DataFrame:
+    """validate, with every broken rule of the header, the lines and the tax rows in `all_errors`: field, message, n (rows
+    that break it) and first (the smallest name of one; null for the header), in rule order. The n of an invoice add up to its n_errors."""
+    judged = validate(headers, as_of).join(rule_summary(lines, taxes, key), key, "left")
+    return judged.withColumn("all_errors", _all_listed(F.col("row_errors"))).drop("row_errors")
+
+
+def _all_listed(row_errors: Column) -> Column:
+    def entry(e: Column, n: Column, first: Column) -> Column:
+        return F.struct(e["field"].alias("field"), e["message"].alias("message"), n.cast("bigint").alias("n"), first.cast("string").alias("first"))
+
+    of_header = F.transform("errors", lambda e: entry(e, F.lit(1), F.lit(None)))
+    of_rows = F.transform(F.coalesce(row_errors, F.array().cast(ENTRY)), lambda e: entry(e, e["n"], e["first"]))
+    return F.concat(of_header, of_rows)
+
+
 # --- warnings ------------------------------------------------------------------------------------------------------
 def default_currency(country: Column) -> Column:
     """Currency of a country, whatever its case; unknown countries give null."""
@@ -460,9 +526,15 @@ def validate(headers: DataFrame, as_of: str) -> DataFrame:
     return summed.withColumn("is_valid", F.col("n_errors") == 0).drop("_issued", "_due", "n_header_errors")
 
 
-def validate_nested(df: DataFrame, as_of: str) -> DataFrame:
-    """Validation of invoices that carry lines and tax rows as arrays: narrow, no shuffle."""
-    return validate(summarise_nested(df), as_of)
+def validate_nested(df: DataFrame, as_of: str, listed: bool = False) -> DataFrame:
+    """Validation of invoices that carry lines and tax rows as arrays: narrow, no shuffle. With listed, `all_errors` has the
+    broken rules of header, lines and tax rows as validate_whole gives them."""
+    judged = validate(summarise_nested(df), as_of)
+    if not listed:
+        return judged
+    arrays = {c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c in ("invoice_lines", "tax_breakdown")}
+    rows = nested_rule_summary(judged.withColumns(arrays))
+    return rows.withColumn("all_errors", _all_listed(F.col("row_errors"))).drop("row_errors")
 
 
 def scorecard(error_rows: DataFrame) -> DataFrame:

@@ -40,6 +40,22 @@ def validate_invoices(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _listed_errors() -> Column:
+    def text(e: Column) -> Column:
+        rows = F.when(e["first"].isNull(), "").otherwise(F.concat(F.lit(" x"), e["n"].cast("string"), F.lit(" from "), e["first"]))
+        return F.concat(e["field"], F.lit(": "), e["message"], rows)
+
+    return joined(F.transform("all_errors", text))
+
+
+@query
+def validate_whole_invoices(spark: SparkSession, sf: str) -> DataFrame:
+    """Every broken rule of an invoice's header, lines and tax rows in one list."""
+    lines = w.invoice_lines(spark, sf)
+    judged = validation.validate_whole(w.invoice_headers(spark, sf), lines, w.tax_rows(lines), "doc_key", w.AS_OF)
+    return judged.select("doc_key", "is_valid", "n_errors", _listed_errors().alias("errors"))
+
+
 def _header_rows(spark: SparkSession, sf: str, rules: Callable) -> DataFrame:
     headers = validation.prepared(w.invoice_headers(spark, sf))
     return validation.broken_rows(headers, ["doc_key"], rules(headers))
@@ -500,12 +516,42 @@ def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
     return judged.groupBy(target.alias("target")).agg(F.count("*").alias("n"), F.sum("n_errors").alias("n_errors"))
 
 
+@query
+def quarantine_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid and quarantined invoices, written to two folders in one pass and read back from each."""
+    judged = validation.validate(w.invoice_headers(spark, sf), w.AS_OF).select("doc_key", "is_valid", "n_errors")
+    folder = folders.work_folder(spark, "quarantine")
+    folders.split_to_sinks(judged, folder)
+    both = [spark.read.schema(judged.schema).parquet(f"{folder}/target={t}").withColumn("target", F.lit(t)) for t in ("valid", "quarantine")]
+    return both[0].unionByName(both[1])
+
+
 # --- exports and sinks ---------------------------------------------------------------------------------------------
 @query
 def export_xml(spark: SparkSession, sf: str) -> DataFrame:
     return folders.header_xml(w.invoice_headers(spark, sf)).select("doc_key", "xml")
 
 
+def _through_xml(rows: DataFrame, row_tag: str, root_tag: str) -> DataFrame:
+    folder = folders.work_folder(rows.sparkSession, "xml")
+    folders.sink_xml(rows, folder, row_tag, root_tag)
+    return folders.scan_xml(rows.sparkSession, folder, rows.schema, row_tag)
+
+
+@query
+def sink_xml_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoice headers, written as XML files and read back."""
+    names = ["invoice_id", "issue_date", "currency_code", "supplier_name", "customer_name", "customer_country_code", "due_date", "total_incl_vat"]
+    return _through_xml(w.invoice_headers(spark, sf).select("doc_key", *names), "Invoice", "Invoices")
+
+
+@query
+def sink_xml_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoice lines, written as XML files and read back."""
+    names = ["line_ref", "line_id", "description", "quantity", "unit_price", "line_total", "vat_category"]
+    return _through_xml(w.invoice_lines(spark, sf).select("doc_key", *names), "InvoiceLine", "InvoiceLines")
+
+
 def _line_records(spark: SparkSession, sf: str) -> DataFrame:
     return folders.peppol_lines(w.invoice_lines(spark, sf), "doc_key", "l_linenumber")
 
@@ -699,6 +745,15 @@ def validate_nested(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("invoice_id", "is_valid", "n_errors", F.round("confidence_score", 6).alias("confidence_score"))
 
 
+@query
+def validate_nested_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole orders as nested invoices, with 0 to 7 lines each; how many rows break each rule."""
+    judged = validation.validate_nested(w.nested_invoices(spark, sf), w.AS_OF, listed=True)
+    counts = F.transform("all_errors", lambda e: F.concat(e["field"], F.lit(": "), e["message"], F.lit(" x"), e["n"].cast("string")))
+    scores = [F.round(c, 6).alias(c) for c in ("completeness_score", "consistency_score", "confidence_score")]
+    return judged.select("doc_key", "is_valid", "n_errors", joined(counts).alias("errors"), *scores)
+
+
 @query
 def stream_performance_stats(spark: SparkSession, sf: str) -> DataFrame:
     windows = live.performance_windows(w.log_of(live.stream_table(spark, sf, "events")), "1 hour")

@@ -174,6 +174,38 @@ oracle(
     f" LEFT JOIN ({_per_document.format(rules_sql(LINE_RULES, 'v_lines', LINE_PREFIX))}) l USING (doc_key)"
     f" LEFT JOIN ({_per_document.format(rules_sql(TAX_RULES, 'v_taxes', TAX_PREFIX))}) t USING (doc_key)",
 )
+
+
+def _summed(first: str) -> str:
+    """Broken row rules of each document in rule order: `field: message xN`, and the first row's name where asked."""
+    tax_name = "CAST(tax_rate AS VARCHAR) || '-' || tax_category"
+    tables = [(LINE_RULES, "v_lines", "invoice_lines", "line_ref", 0), (TAX_RULES, "v_taxes", "tax_breakdown", tax_name, 100)]
+    rows = " UNION ALL ".join(
+        f"SELECT doc_key, {base + i} AS k, '{name}.*.{f}: {m} x' AS t, {ref} AS ref FROM {source} WHERE {broken}"
+        for rules, source, name, ref, base in tables
+        for i, (f, m, broken, _) in enumerate(rules)
+    )
+    counted = f"SELECT doc_key, k, t, count(*) AS n, min(ref) AS ref FROM ({rows}) GROUP BY doc_key, k, t"
+    return f"SELECT doc_key, string_agg(t || n{first}, '|' ORDER BY k) AS row_errors FROM ({counted}) GROUP BY doc_key"
+
+
+def _with_header_errors(source: str) -> str:
+    return f"(SELECT *, CAST({_n_header} + line_errors + tax_errors AS BIGINT) AS n_errors, {listed(HEADER_RULES, 'both')} AS header_errors FROM {source})"
+
+
+_named_first = _summed(" || ' from ' || ref")
+oracle(
+    "validate_whole_invoices",
+    "SELECT doc_key, n_errors = 0 AS is_valid, n_errors, concat_ws('|', nullif(header_errors, ''), row_errors) AS errors FROM"
+    f" {_with_header_errors('v_headers')} LEFT JOIN ({_named_first}) USING (doc_key)",
+)
+_once = "list_transform(string_split(nullif(header_errors, ''), '|'), lambda x: x || ' x1')"
+oracle(
+    "validate_nested_orders",
+    f"SELECT doc_key, n_errors = 0 AS is_valid, n_errors, concat_ws('|', array_to_string({_once}, '|'), row_errors) AS errors,"
+    " round(c1, 6) AS completeness_score, round(c2, 6) AS consistency_score, round(c3, 6) AS confidence_score FROM"
+    f" {_with_header_errors(f'({SCORED})')} LEFT JOIN ({_summed('')}) USING (doc_key)",
+)
 _star = (
     rules_sql(HEADER_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_RULES, "v_lines", "'invoice_lines.*.' || ")
     + " UNION ALL " + rules_sql(TAX_RULES, "v_taxes", "'tax_breakdown.*.' || ")
@@ -521,6 +553,12 @@ oracle(
     f" (SELECT {_n_header} + line_errors + tax_errors AS n FROM v_headers) GROUP BY 1",
 )
 
+oracle(
+    "quarantine_outputs",
+    "SELECT doc_key, n = 0 AS is_valid, CAST(n AS BIGINT) AS n_errors, CASE WHEN n = 0 THEN 'valid' ELSE 'quarantine' END AS target FROM"
+    f" (SELECT doc_key, {_n_header} + line_errors + tax_errors AS n FROM v_headers)",
+)
+
 # --- exports and sinks ---------------------------------------------------------------------------------------------
 _tags = [("ID", "invoice_id"), ("IssueDate", "issue_date"), ("InvoiceTypeCode", "invoice_type_code"), ("DocumentCurrencyCode", "currency_code")]
 oracle(
@@ -534,6 +572,11 @@ oracle(
 _money_out = "CAST(total_excl_vat AS DOUBLE) AS net, CAST(total_vat AS DOUBLE) AS vat, CAST(total_incl_vat AS DOUBLE) AS gross"
 oracle("export_peppol", f"SELECT doc_key, currency_code AS currency, supplier_name, {_money_out} FROM v_headers")
 oracle("export_peppol_lines", "SELECT doc_key, l_linenumber AS line_no, line_ref, description, quantity, unit_price, line_total FROM v_lines")
+oracle(
+    "sink_xml_headers",
+    "SELECT doc_key, invoice_id, issue_date, currency_code, supplier_name, customer_name, customer_country_code, due_date, total_incl_vat FROM v_headers",
+)
+oracle("sink_xml_lines", "SELECT doc_key, line_ref, line_id, description, quantity, unit_price, line_total, vat_category FROM v_lines")
 oracle("sink_json", "SELECT doc_key, currency_code AS currency, CAST(n_lines AS INT) AS n_lines, CAST(total_incl_vat AS DOUBLE) AS gross FROM v_headers")
 oracle(
     "scan_json_invoices",

@@ -33,6 +33,12 @@ def pick(values: list[str], index: str) -> str:
     return f"CASE {index} {cases} END"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by their key before costly work on each: a file of one row group is one task however long its rows
+    take. Only the columns that the work needs should be selected before."""
+    return df.repartition(key)
+
+
 def country(key: str) -> str:
     return pick(COUNTRIES, f"({key} % 13)")
 
@@ -127,7 +133,7 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = invoice_lines(spark, sf_dir)
     summary = v.summarise_by_rate(tax_rows(lines, supplier_key=F.min("l_suppkey"), **v.line_sums()), "doc_key",
                                   supplier_key=F.min("supplier_key"), vat_sum=F.sum("tax_amount"))
-    orders = table(spark, sf_dir, "orders").selectExpr(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").selectExpr(
         "o_orderkey AS doc_key",
         "o_orderkey",
         "o_custkey",
@@ -208,13 +214,13 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_format(o_orderdate, 'MMMM d, yyyy')",
         "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)",
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), "o_orderkey")
     return orders.selectExpr("concat('I', o_orderkey) AS doc_id", f"{text} AS text")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed invoices and all documents."""
-    documents = table(spark, sf_dir, "documents").selectExpr("concat('D', doc_id) AS doc_id", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr("concat('D', doc_id) AS doc_id", "text")
     return invoice_texts(spark, sf_dir).unionAll(documents)
 
 
@@ -284,7 +290,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         " CASE i % 3 WHEN 0 THEN '19%' WHEN 1 THEN '7.5 %' ELSE 'none' END, '</td>') END, '</tr>')"
     )
     sentences = r"regexp_extract_all(text, '[^.\\n]+', 0)"
-    return table(spark, sf_dir, "documents").select("doc_id", "text").selectExpr(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
         "doc_id",
         f"concat('<table>', {header_html('(doc_id % 4)')}, array_join(transform({sentences}, (s, i) -> {row}), ''), '</table>') AS html",
     )
@@ -330,7 +336,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = "date_format(o_orderdate, 'yyyy-MM-dd')"
     text = text_sql(day, "date_format(o_orderdate, 'd MMMM yyyy')", "date_format(o_orderdate, 'MMMM d, yyyy')",
                     "format_number(CAST(o_totalprice AS DECIMAL(18,2)), 2)")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    given = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    orders = spread(given, "o_orderkey")
     return orders.selectExpr(
         "o_orderkey AS doc_key",
         "CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'et' ELSE 'fr' END AS lang",
@@ -452,6 +459,23 @@ def page_headers(lines: DataFrame) -> DataFrame:
     )
 
 
+# --- nested invoices -----------------------------------------------------------------------------------------------
+LINE_FIELDS = ["line_id", "description", "quantity", "unit_code", "unit_price", "line_total", "vat_category", "vat_rate"]
+
+
+def nested_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested invoices with all their lines (0 to 7) and tax rows as arrays, the lines in the order of line_ref.
+    For records that come nested, as from JSON; tables of lines are judged as they are (invoice_headers)."""
+    lines = invoice_lines(spark, sf_dir)
+    taxes = tax_rows(lines)
+    of_lines = lines.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("line_ref", *LINE_FIELDS))).alias("invoice_lines"))
+    of_taxes = taxes.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct(*v.TAX_FIELDS))).alias("tax_breakdown"))
+    headers = invoice_headers(spark, sf_dir).drop("n_lines", "line_sum", "bad_lines", "line_errors", "bad_taxes", "tax_errors")
+    both = headers.join(of_lines, "doc_key", "left").join(of_taxes, "doc_key", "left")
+    arrays = ("invoice_lines", "tax_breakdown")
+    return both.withColumns({c: F.coalesce(c, F.array().cast(both.schema[c].dataType)) for c in arrays})
+
+
 # --- single-line invoices ------------------------------------------------------------------------------------------
 def line_invoices(lines: DataFrame) -> DataFrame:
     """One nested invoice per line: narrow, so it also runs on a stream of lines."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyspark.operators.responses import RAW_INVOICE, typed_invoices
 
@@ -61,6 +62,11 @@ def scan_json_invoices(spark: SparkSession, path: str) -> DataFrame:
     return typed_invoices(raw.select("_corrupt", record.alias("_r")), "_r").drop("_r")
 
 
+def scan_xml(spark: SparkSession, path: str, schema: str | StructType, row_tag: str = "Invoice") -> DataFrame:
+    """Rows of an XML folder as typed columns; blanks at the edges of a text are kept."""
+    return spark.read.schema(schema).option("rowTag", row_tag).option("ignoreSurroundingSpaces", False).format("xml").load(path)
+
+
 # --- sinks ---------------------------------------------------------------------------------------------------------
 def sink_json(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").partitionBy(*partitions).json(path)
@@ -72,8 +78,26 @@ def sink_csv(df: DataFrame, path: str) -> None:
     plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def sink_xml(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("rowTag", "Invoice").option("rootTag", "Invoices").format("xml").save(path)
+def sink_xml(df: DataFrame, path: str, row_tag: str = "Invoice", root_tag: str = "Invoices") -> None:
+    """One XML document per part file. Nulls are left out and empty texts kept, so scan_xml tells them apart."""
+    df.write.mode("overwrite").option("rowTag", row_tag).option("rootTag", root_tag).format("xml").save(path)
+
+
+def split_to_sinks(judged: DataFrame, folder: str) -> dict[str, int]:
+    """Writes judged invoices below target=valid and target=quarantine in one pass, and returns how many rows and errors
+    went where, counted while they were written."""
+    ok, n = F.col("is_valid"), F.col("n_errors")
+    counts = {
+        "valid": F.count_if(ok),
+        "quarantine": F.count_if(~ok),
+        "valid_errors": F.coalesce(F.sum(F.when(ok, n)), F.lit(0)),
+        "quarantine_errors": F.coalesce(F.sum(F.when(~ok, n)), F.lit(0)),
+    }
+    seen = Observation()
+    rows = judged.observe(seen, *[c.cast("long").alias(name) for name, c in counts.items()])
+    target = F.when(ok, "valid").otherwise("quarantine")
+    rows.withColumn("target", target).write.mode("overwrite").partitionBy("target").parquet(folder)
+    return seen.get
 
 
 # --- exports -------------------------------------------------------------------------------------------------------

@@ -192,6 +192,23 @@ def test_tax_rows_need_a_category(spark):
     assert [(r.field, r.message) for r in found] == [("tax_breakdown.0.2000.tax_category", "field is required")]
 
 
+def test_xml_files_keep_every_text(spark, tmp_path):
+    rows = [(1, "a & b <c> \"d\" 'e'", None), (2, "", ""), (3, " ", " x "), (4, "\n\té ]]> &amp;", "null"), (5, None, "<!-- y -->")]
+    df = spark.createDataFrame(rows, "k long, a string, b string").repartition(3)
+    folders.sink_xml(df, str(tmp_path / "x"), "Row", "Rows")
+    got = folders.scan_xml(spark, str(tmp_path / "x"), df.schema, "Row")
+    assert sorted(tuple(r) for r in got.collect()) == rows
+
+
+def test_split_counts_what_it_writes(spark, tmp_path):
+    judged = spark.range(100).selectExpr("id", "id % 3 = 0 AS is_valid", "IF(id % 3 = 0, 0L, id) AS n_errors").repartition(4)
+    counts = folders.split_to_sinks(judged, str(tmp_path / "out"))
+    for target in ("valid", "quarantine"):
+        back = spark.read.parquet(str(tmp_path / "out" / f"target={target}"))
+        assert (back.count(), back.agg({"n_errors": "sum"}).first()[0]) == (counts[target], counts[f"{target}_errors"])
+    assert counts["valid"] == 34 and folders.split_to_sinks(judged.where("false"), str(tmp_path / "none"))["valid"] == 0
+
+
 def test_merge_sources(spark):
     t = spark.createDataFrame([("a", "t1"), ("a", "t2")], "k string, d string")
     m = spark.createDataFrame([("a", "m"), ("b", "m")], "k string, d string")

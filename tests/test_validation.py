@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import validation as v
+from tallyspark.plans import catalog, views
 from tallyspark.sources import folders
 
 AS_OF = "2024-12-31"
@@ -148,3 +149,36 @@ def test_nested_and_long_summaries_agree(spark, tmp_path):
 def test_scorecard_counts_over_lines(spark):
     rows = spark.createDataFrame([("invoice_lines.0.x", "m"), ("invoice_lines.17.x", "m"), ("y", "m")], "field string, message string")
     assert {(r.field, r.n) for r in v.scorecard(rows).collect()} == {("invoice_lines.*.x", 2), ("y", 1)}
+
+
+def test_all_errors_of_nested_invoices_are_listed(spark, tmp_path):
+    lines = [VALID["invoice_lines"][0] | x for x in ({"quantity": "two"}, {"line_total": "7"}, {"line_total": "8", "unit_code": "LONG-UNIT-CODE"}, {})]
+    path = tmp_path / "in.json"
+    path.write_text("\n".join(json.dumps(r) for r in (changed(invoice_lines=lines), changed(invoice_lines=[]), VALID, changed(invoice_id=""))))
+    many, none, valid, unnamed = v.validate_nested(folders.scan_json_invoices(spark, str(path)), AS_OF, listed=True).collect()
+    for row in (many, none, valid, unnamed):
+        assert sum(e.n for e in row.all_errors) == row.n_errors
+    assert {(e.field, e.n, e.first) for e in many.all_errors if e.field.startswith("invoice_lines")} == {
+        ("invoice_lines.*.quantity", 1, "0"), ("invoice_lines.*.line_total", 3, "0"), ("invoice_lines.*.unit_code", 1, "2"),
+    }
+    assert valid.all_errors == [] and [(e.field, e.n, e.first) for e in unnamed.all_errors] == [("invoice_id", 1, None)]
+
+
+def test_the_summary_counts_what_quick_validate_lists(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = views.invoice_lines(spark, sf)
+    whole = v.validate_whole(views.invoice_headers(spark, sf), lines, views.tax_rows(lines), "doc_key", views.AS_OF).collect()
+    counts = {r.doc_key: sum(e.n for e in r.all_errors) for r in whole}
+    assert counts == {r.doc_key: r.n_errors for r in whole}
+    rows = {r["doc_key"]: r["count"] for r in catalog.quick_validate(spark, sf).groupBy("doc_key").count().collect()}
+    assert rows == {k: n for k, n in counts.items() if n}
+
+
+def test_an_invoice_with_very_many_broken_lines_has_a_short_summary(spark):
+    lines = spark.range(100_000).selectExpr(
+        "1 AS k", "CAST(id AS STRING) AS line_ref", "CAST(id AS STRING) AS line_id", "' ' AS description", "'X' AS vat_category", "'C62' AS unit_code",
+        *[f"CAST(1 AS DECIMAL(18,4)) AS {c}" for c in ("quantity", "unit_price", "line_total")], "CAST(0.2 AS DECIMAL(9,6)) AS vat_rate",
+    )
+    taxes = spark.createDataFrame([], "k int, taxable_amount decimal(18,4), tax_amount decimal(18,4), tax_rate decimal(9,6), tax_category string")
+    (row,) = v.rule_summary(lines, taxes, "k").collect()
+    assert [(e.field, e.n, e.first) for e in row.row_errors] == [("invoice_lines.*.vat_category", 100_000, "0"), ("invoice_lines.*.description", 100_000, "0")]
