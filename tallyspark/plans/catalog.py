@@ -541,8 +541,10 @@ def _through_xml(rows: DataFrame, row_tag: str, root_tag: str) -> DataFrame:
 @query
 def sink_xml_headers(spark: SparkSession, sf: str) -> DataFrame:
     """Invoice headers, written as XML files and read back."""
-    names = ["invoice_id", "issue_date", "currency_code", "supplier_name", "customer_name", "customer_country_code", "due_date", "total_incl_vat"]
-    return _through_xml(w.invoice_headers(spark, sf).select("doc_key", *names), "Invoice", "Invoices")
+    names = ["doc_key", "invoice_id", "issue_date", "currency_code", "total_incl_vat"]
+    inner = {"supplier_name": "supplier.name", "customer_name": "customer.name", "customer_country_code": "customer.country_code", "due_date": "payment_terms.payment_due_date"}
+    rows = w.invoice_headers(spark, sf).select(*names, *[F.col(path).alias(name) for name, path in inner.items()])
+    return _through_xml(rows, "Invoice", "Invoices")
 
 
 @query
@@ -785,6 +787,14 @@ def stream_alert_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     return live.appended_rows(spark, live.emitted_alerts(breaches, "metric", 3600, "6 hours"), "stream-alerts")
 
 
+@query
+def stream_alerts_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """All alerts that pass the cool-down: at the end of the stream the waiting breaches are decided too."""
+    samples = w.samples_of(live.stream_table(spark, sf, "events"))
+    breaches = activity.breaches(samples, activity.threshold_table(spark)).select("metric", "ts", "event_id")
+    return live.all_emitted_alerts(spark, breaches, "metric", 3600, "6 hours")
+
+
 @query
 def stream_validate(spark: SparkSession, sf: str) -> DataFrame:
     invoices = w.line_invoices(w.lines_of(live.stream_table(spark, sf, "lineitem")))

@@ -657,6 +657,13 @@ oracle(
     " WHERE emit AND us <= ((SELECT max(us) FROM b) // 1000 - 21600000) * 1000",
     recursive=True,
 )
+oracle(
+    "stream_alerts_complete",
+    f"WITH RECURSIVE b AS MATERIALIZED ({_b}), e AS (SELECT metric, event_id, rn, us, us AS last, true AS emit FROM b WHERE rn = 1 UNION ALL"
+    " SELECT b.metric, b.event_id, b.rn, b.us, CASE WHEN b.us - e.last > 3600000000 THEN b.us ELSE e.last END, b.us - e.last > 3600000000"
+    " FROM e JOIN b ON b.metric = e.metric AND b.rn = e.rn + 1) SELECT event_id, metric, us FROM e WHERE emit",
+    recursive=True,
+)
 _period = 6 * 3600 * 1000000
 _r = "SELECT client, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS rn FROM v_requests"
 _live = f"list_filter(q.log, lambda x: r.us - x < {_period})"

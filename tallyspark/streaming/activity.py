@@ -31,6 +31,10 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
+END_OF_STREAM = "2262-01-01 00:00:00"  # the last year that nanoseconds in 64 bits hold
+CLOSING_ID = -(1 << 63)
+
+
 # --- transformations ------------------------------------------------------------------------------------------------
 def performance_windows(log: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts, success rate and durations per operation and event-time window, tumbling or sliding."""
@@ -130,6 +134,30 @@ def appended_rows(spark: SparkSession, stream: DataFrame, purpose: str) -> DataF
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
+def all_emitted_alerts(spark: SparkSession, breaches: DataFrame, key: str, seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
+    """The emitted alerts of a stream that has ended, none undecided.
+
+    The stream is read beside a second source, which is empty at first. When all is read, one closing row with a time behind
+    all others arrives there; the same query, going on from its checkpoint, moves its watermark past every waiting breach.
+    A breach later than the watermark, which Spark drops, stays undecided as in emitted_alerts.
+    """
+    folder = work_folder(spark, "alerts")
+    rows = breaches.select(key, "ts", "event_id")
+    closing = spark.range(1).select(
+        F.lit(None).cast(rows.schema[key].dataType).alias(key),
+        F.lit(END_OF_STREAM).cast(rows.schema["ts"].dataType).alias("ts"),
+        F.lit(CLOSING_ID).cast("long").alias("event_id"),
+    )
+    closing.where("false").write.parquet(f"{folder}/closing")
+    both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(f"{folder}/closing"))
+    emitted = emitted_alerts(both, key, seconds, delay)
+    run_to_end(emitted, "append", folder, batch_writer(folder))
+    closing.write.mode("append").parquet(f"{folder}/closing")
+    run_to_end(emitted, "append", folder, batch_writer(folder))
+    written = spark.read.schema(emitted.schema).parquet(f"{folder}/out").select(*emitted.columns)
+    return written.where(F.col("event_id") != CLOSING_ID)
+
+
 def validate_to_sinks(spark: SparkSession, invoices: DataFrame, as_of: str, keep: list[str | Column], folder: str) -> None:
     """Judges arriving nested invoices and writes them below target=valid and target=quarantine."""
     judged = validate_nested(invoices, as_of)

@@ -287,6 +287,16 @@ def test_cooldown_stream_equals_batch(spark, tmp_path):
     assert sorted(r.event_id for r in got if r.metric == "m") == [0, 3, 5]
 
 
+def test_cooldown_stream_decides_all_at_its_end(spark, tmp_path):
+    schema = "event_id long, metric string, ts timestamp"
+    rows = [(i, "m", at(t)) for i, t in enumerate(BREACHES)] + [(50, None, at(1500)), (51, None, at(1600))]
+    for part in (rows[1::2], rows[0::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = live.all_emitted_alerts(spark, stream, "metric", 300, "10 minutes").collect()
+    assert sorted((r.metric or "", r.event_id) for r in got) == [("", 50), ("m", 0), ("m", 3), ("m", 5)]
+
+
 def test_window_stream_drops_late_rows(spark, tmp_path):
     schema = "operation string, duration double, success boolean, ts timestamp"
     first = [("a", 1.0, True, at(0)), ("a", 3.0, False, at(60)), ("a", 5.0, True, at(4 * 3600))]
