@@ -14,6 +14,7 @@ from tallyspark.operators import activity, extraction, files, layout, merging, q
 from tallyspark.plans import views as w
 from tallyspark.sources import folders
 from tallyspark.streaming import activity as live
+from tallyspark.streaming import invoices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -803,6 +804,24 @@ def stream_validate(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("invoice_id STRING, n_errors LONG, batch LONG, target STRING").parquet(f"{folder}/out").drop("batch")
 
 
+@query
+def stream_validate_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and lineitems as two streams, put together to whole invoices of 0 to 7 lines, judged and split as they come."""
+    given = w.invoice_headers(spark, sf)
+    counts = given.select(F.col("doc_key").alias("o_orderkey"), "n_lines")
+    orders = live.stream_table(spark, sf, "orders").join(counts, "o_orderkey")
+    heads = orders.select(F.col("o_orderkey").alias("doc_key"), F.col("o_orderdate").cast("timestamp").alias("ts"), "n_lines")
+    items = live.stream_table(spark, sf, "lineitem")
+    lines = w.lines_of(items.withColumn("ts", F.col("l_shipdate").cast("timestamp")), "ts").select("doc_key", "ts", "line_ref", *w.LINE_FIELDS)
+    whole = invoices.assembled(heads, lines, "doc_key", "200 days").where("outcome = 'whole'")
+    parsed = whole.select(F.col("key").cast("long").alias("doc_key"), invoices.parsed_lines("lines", w.LINE_STRUCT).alias("invoice_lines"))
+    nested = parsed.withColumn("tax_breakdown", invoices.tax_breakdown("invoice_lines"))
+    summary = ("n_lines", "line_sum", "bad_lines", "line_errors", "bad_taxes", "tax_errors")
+    folder = folders.work_folder(spark, "stream-orders")
+    live.validate_to_sinks(spark, nested.join(given.drop(*summary), "doc_key"), w.AS_OF, ["doc_key"], folder)
+    return spark.read.schema("doc_key LONG, n_errors LONG, batch LONG, target STRING").parquet(f"{folder}/out").drop("batch")
+
+
 @query
 def stream_files(spark: SparkSession, sf: str) -> DataFrame:
     arriving = folders.stream_files(spark, sf, "*.parquet").select("filename", "length")

@@ -697,6 +697,11 @@ oracle(
     "stream_validate",
     f"SELECT {_line_id} AS invoice_id, CAST({_line_errors} AS BIGINT) AS n_errors, CASE WHEN ({_line_errors}) = 0 THEN 'valid' ELSE 'quarantine' END AS target FROM v_lines",
 )
+oracle(
+    "stream_validate_orders",
+    "SELECT doc_key, CAST(n AS BIGINT) AS n_errors, CASE WHEN n = 0 THEN 'valid' ELSE 'quarantine' END AS target FROM"
+    f" (SELECT doc_key, {_n_header} + line_errors + tax_errors AS n FROM v_headers)",
+)
 _window_stats = (
     f"operation, count(*) AS total_operations, {_ok} AS successful_operations, round({_ok} / count(*)::DOUBLE, 9) AS success_rate,"
     " round(avg(duration), 9) AS average_duration, min(duration) AS min_duration, max(duration) AS max_duration"

@@ -78,8 +78,8 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of(table(spark, sf_dir, "lineitem"))
 
 
-def lines_of(lineitem: DataFrame) -> DataFrame:
-    raw = lineitem.selectExpr(*[f"{sql} AS {name}" for name, sql in LINE_COLUMNS.items()])
+def lines_of(lineitem: DataFrame, *more: str) -> DataFrame:
+    raw = lineitem.selectExpr(*[f"{sql} AS {name}" for name, sql in LINE_COLUMNS.items()], *more)
     return raw.withColumn("line_total", F.col("line_total").cast("decimal(18,4)"))
 
 
@@ -463,6 +463,12 @@ def page_headers(lines: DataFrame) -> DataFrame:
 LINE_FIELDS = ["line_id", "description", "quantity", "unit_code", "unit_price", "line_total", "vat_category", "vat_rate"]
 
 
+LINE_STRUCT = (
+    "struct<line_ref:string,line_id:string,description:string,quantity:decimal(18,4),unit_code:string,"
+    "unit_price:decimal(18,4),line_total:decimal(18,4),vat_category:string,vat_rate:decimal(9,6)>"
+)
+
+
 def nested_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested invoices with all their lines (0 to 7) and tax rows as arrays, the lines in the order of line_ref.
     For records that come nested, as from JSON; tables of lines are judged as they are (invoice_headers)."""

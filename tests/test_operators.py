@@ -10,6 +10,7 @@ from tallyspark.functions import text as tx
 from tallyspark.operators import activity, files, layout, merging, quotas, responses, tables, validation
 from tallyspark.sources import folders
 from tallyspark.streaming import activity as live
+from tallyspark.streaming import invoices
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -297,6 +298,41 @@ def test_cooldown_stream_decides_all_at_its_end(spark, tmp_path):
     assert sorted((r.metric or "", r.event_id) for r in got) == [("", 50), ("m", 0), ("m", 3), ("m", 5)]
 
 
+def test_invoices_are_assembled_from_a_stream(spark, tmp_path):
+    """Four files: lines before and after their header, an invoice without lines, one that stays open, and a late line."""
+    heads, lines = "k long, ts timestamp, n_lines long", "k long, ts timestamp, d string"
+    steps = [
+        ([(1, at(0), 2), (2, at(0), 0), (3, at(0), 3)], [(1, at(1), "a"), (3, at(1), "x")]),
+        ([], [(1, at(2), "b"), (4, at(30), "early"), (4, at(31), "er")]),
+        ([(9, at(20_000), 0)], [(1, at(40), "late")]),
+        ([(4, at(15_000), 2), (8, at(90_000), 0)], []),
+    ]
+    paths = [str(tmp_path / p) for p in ("heads", "lines")]
+    found, folder = [], str(tmp_path / "work")
+    for step in steps:
+        for rows, schema, path in zip(step, (heads, lines), paths, strict=True):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        streams = [spark.readStream.schema(schema).parquet(path) for schema, path in zip((heads, lines), paths)]
+        out = invoices.assembled(*streams, "k", "2 hours", 3600)
+        live.run_to_end(out, "append", folder, live.batch_writer(folder))
+        found.append({(r.key, r.outcome, r.expected, "".join(r.lines)) for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()})
+    line = '{{"d":"{}"}}'.format
+    assert found[0] == {("2", "whole", 0, "")}
+    assert found[1] == found[0] | {("1", "whole", 2, line("a") + line("b"))}
+    partial = {("3", "partial", 3, line("x")), ("4", "partial", None, line("early") + line("er"))}
+    assert found[2] == found[1] | partial | {("9", "whole", 0, ""), ("1", "late", 2, line("late"))}
+    assert found[3] == found[2] | {("8", "whole", 0, "")}
+
+
+def test_tax_rows_of_nested_lines(spark):
+    rows = [("1.005", "0.2", "S"), ("2", "0.2", "S"), ("3", "0.1", "S"), ("4", None, "Z"), (None, "0.1", "S")]
+    lines = [f"named_struct('line_total', CAST({a or 'NULL'} AS DECIMAL(18,4)), 'vat_rate', CAST({r or 'NULL'} AS DECIMAL(9,6)), 'vat_category', '{c}')" for a, r, c in rows]
+    got = spark.range(1).selectExpr(f"array({', '.join(lines)}) AS l").select(invoices.tax_breakdown("l").alias("t")).first().t
+    assert [(float(t.taxable_amount), float(t.tax_amount), t.tax_rate and float(t.tax_rate), t.tax_category) for t in got] == [
+        (3.005, 0.6, 0.2, "S"), (3.0, 0.3, 0.1, "S"), (4.0, 0.0, None, "Z"),
+    ]
+
+
 def test_window_stream_drops_late_rows(spark, tmp_path):
     schema = "operation string, duration double, success boolean, ts timestamp"
     first = [("a", 1.0, True, at(0)), ("a", 3.0, False, at(60)), ("a", 5.0, True, at(4 * 3600))]
