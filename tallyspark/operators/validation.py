@@ -110,7 +110,7 @@ def tax_calculation_broken(get: Get) -> Column:
     return _true(F.abs(get("taxable_amount") * get("tax_rate") - get("tax_amount")) > _cent())
 
 
-def tax_rules(get: Get) -> list[Rule]:
+def tax_schema_rules(get: Get) -> list[Rule]:
     rules: list[Rule] = []
     for name in TAX_FIELDS[:3]:
         v = get(name)
@@ -121,6 +121,11 @@ def tax_rules(get: Get) -> list[Rule]:
         ("tax_category", "field is required", category.isNull(), F.lit(None).cast("string")),
         ("tax_rate", "must be at most 1", _true(rate > 1), rate.cast("string")),
         ("tax_category", "is not an allowed code", _true(~category.isin(fv.VAT_CATEGORIES)), category),
+    ]
+
+
+def tax_rules(get: Get) -> list[Rule]:
+    return tax_schema_rules(get) + [
         (
             "tax_amount",
             "Tax amount does not match taxable amount times rate",

@@ -41,12 +41,12 @@ def validate_invoices(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _listed_errors() -> Column:
+def _error_texts() -> Column:
     def text(e: Column) -> Column:
         rows = F.when(e["first"].isNull(), "").otherwise(F.concat(F.lit(" x"), e["n"].cast("string"), F.lit(" from "), e["first"]))
         return F.concat(e["field"], F.lit(": "), e["message"], rows)
 
-    return joined(F.transform("all_errors", text))
+    return F.transform("all_errors", text)
 
 
 @query
@@ -54,7 +54,7 @@ def validate_whole_invoices(spark: SparkSession, sf: str) -> DataFrame:
     """Every broken rule of an invoice's header, lines and tax rows in one list."""
     lines = w.invoice_lines(spark, sf)
     judged = validation.validate_whole(w.invoice_headers(spark, sf), lines, w.tax_rows(lines), "doc_key", w.AS_OF)
-    return judged.select("doc_key", "is_valid", "n_errors", _listed_errors().alias("errors"))
+    return judged.select("doc_key", "is_valid", "n_errors", joined(_error_texts()).alias("errors"))
 
 
 def _header_rows(spark: SparkSession, sf: str, rules: Callable) -> DataFrame:
@@ -70,6 +70,13 @@ def rule_schema(spark: SparkSession, sf: str) -> DataFrame:
     return of_headers.unionByName(of_lines)
 
 
+@query
+def rule_schema_tax_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The schema rules of tax rows; their arithmetic is rule_tax_calc."""
+    taxes = w.tax_rows(w.invoice_lines(spark, sf))
+    return validation.broken_rows(taxes, ["doc_key"], validation.tax_schema_rules(F.col), validation.tax_prefix())
+
+
 @query
 def rule_invoice_number(spark: SparkSession, sf: str) -> DataFrame:
     return _header_rows(spark, sf, lambda df: validation.number_and_vat_rules()[:1])
@@ -479,6 +486,29 @@ def render_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return w.responses(spark, sf).select("doc_key", prompt.alias("prompt"))
 
 
+@query
+def render_prompts_line_items(spark: SparkSession, sf: str) -> DataFrame:
+    template = responses.prompt_template("line_items", F.col("lang"))
+    return w.responses(spark, sf).select("doc_key", responses.render(template, invoice_text=F.col("text")).alias("prompt"))
+
+
+@query
+def render_prompts_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    template = responses.prompt_template("confidence", F.col("lang"))
+    return w.responses(spark, sf).select("doc_key", responses.render(template, extracted_data=F.col("response")).alias("prompt"))
+
+
+@query
+def render_prompts_correction(spark: SparkSession, sf: str) -> DataFrame:
+    """For each invoice that breaks a rule: all its errors, those of lines and tax rows too, and the answer to correct."""
+    lines = w.invoice_lines(spark, sf)
+    judged = validation.validate_whole(w.invoice_headers(spark, sf), lines, w.tax_rows(lines), "doc_key", w.AS_OF)
+    broken = judged.where(~F.col("is_valid")).select("doc_key", responses.bullet_list(_error_texts()).alias("errors"))
+    template = responses.prompt_template("correction", F.col("lang"))
+    prompt = responses.render(template, errors=F.col("errors"), extracted_data=F.col("response"))
+    return w.responses(spark, sf).join(broken, "doc_key").select("doc_key", prompt.alias("prompt"))
+
+
 # --- merging -------------------------------------------------------------------------------------------------------
 @query
 def merge_line_sources(spark: SparkSession, sf: str) -> DataFrame:

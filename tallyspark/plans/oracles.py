@@ -143,6 +143,11 @@ oracle(
     f" array_to_string(list_filter([{_warning_list}], lambda x: x IS NOT NULL), '|') AS warnings FROM ({SCORED}))",
 )
 oracle("rule_schema", rules_sql(SCHEMA_RULES, "v_headers") + " UNION ALL " + rules_sql(LINE_SCHEMA_RULES, "v_lines", LINE_PREFIX))
+oracle(
+    "rule_schema_tax_rows",
+    "SELECT doc_key, 'tax_breakdown.' || CAST(tax_rate AS VARCHAR) || '-' || tax_category || '.tax_category' AS field,"
+    f" 'is not an allowed code' AS message, tax_category AS value FROM v_taxes WHERE tax_category NOT IN {CODES['vat']}",
+)
 oracle("rule_invoice_number", rules_sql(NUMBER_RULES, "v_headers"))
 oracle("rule_vat_id", rules_sql(VAT_RULES, "v_headers"))
 oracle("rule_line_total", rules_sql(LINE_TOTAL_RULES, "v_lines", LINE_PREFIX))
@@ -516,6 +521,24 @@ oracle(
     f"SELECT doc_key, replace(replace(CASE lang {_shot} ELSE {_shot_en} END, '{{schema}}', {_quoted(w.PROMPT_SCHEMA)}), '{{invoice_text}}', text) AS prompt FROM v_responses",
 )
 
+
+
+def _prompt(kind: str, placeholder: str, value: str, template: str = "") -> str:
+    texts = {p[1]: _quoted(p[2]) for p in responses.PROMPTS if p[0] == kind}
+    chosen = "CASE lang " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in texts.items()) + f" ELSE {texts['en']} END"
+    return f"replace({template or chosen}, '{{{placeholder}}}', {value})"
+
+
+oracle("render_prompts_line_items", f"SELECT doc_key, {_prompt('line_items', 'invoice_text', 'text')} AS prompt FROM v_responses")
+oracle("render_prompts_confidence", f"SELECT doc_key, {_prompt('confidence', 'extracted_data', 'response')} AS prompt FROM v_responses")
+_bullets = "'- ' || replace(concat_ws('|', nullif(header_errors, ''), row_errors), '|', chr(10) || '- ')"
+_correction = _prompt("correction", "extracted_data", "response", _prompt("correction", "errors", _bullets))
+oracle(
+    "render_prompts_correction",
+    f"SELECT doc_key, {_correction} AS prompt FROM v_responses JOIN {_with_header_errors('v_headers')} USING (doc_key)"
+    f" LEFT JOIN ({_named_first}) USING (doc_key) WHERE n_errors > 0",
+)
+
 # --- merging -------------------------------------------------------------------------------------------------------
 oracle(
     "merge_line_sources",
