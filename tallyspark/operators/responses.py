@@ -114,6 +114,42 @@ def structured(df: DataFrame, response: str, text: str) -> DataFrame:
     ).drop("_record")
 
 
+RECORD_KINDS = {  # field: (required, kinds of JSON value it may have)
+    "invoice_id": (True, ("STRING",)),
+    "issue_date": (True, ("STRING",)),
+    "supplier": (True, ("OBJECT",)),
+    "total_incl_vat": (True, ("STRING", "BIGINT", "DECIMAL", "DOUBLE")),
+    "customer": (False, ("OBJECT",)),
+    "invoice_lines": (False, ("ARRAY",)),
+    "tax_breakdown": (False, ("ARRAY",)),
+}
+
+
+def schema_reasons(record: Column) -> Column:
+    """Why a parsed answer (VARIANT) is no invoice record: missing required fields and values of a wrong kind."""
+
+    def reason(name: str, required: bool, kinds: tuple[str, ...]) -> Column:
+        kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant")), "^[A-Z]+", 0)
+        missing = F.coalesce(kind == "VOID", F.lit(True))
+        wrong = F.when(~missing & ~kind.isin(*kinds), f"{name}: has the wrong type")
+        return F.when(missing, f"{name}: field is required").otherwise(wrong) if required else wrong
+
+    kind = F.regexp_extract(F.schema_of_variant(record), "^[A-Z]+", 0)
+    whole = F.when(kind != "OBJECT", "answer: is not an object")
+    tests = [reason(name, *rule) for name, rule in RECORD_KINDS.items()]
+    return F.array_compact(F.array(whole, *[F.when(kind == "OBJECT", t) for t in tests]))
+
+
+def judged_responses(df: DataFrame, response: str) -> DataFrame:
+    """Adds outcome, reasons, record and raw, from one parse of each answer: `model` where the record fits the schema,
+    `raw` where the JSON is kept as it came because it does not (reasons tell why), `fallback` where there is no JSON."""
+    parsed = df.withColumn("record", F.try_parse_json(json_text(F.col(response))))
+    none = F.array().cast("array<string>")
+    tested = parsed.withColumn("reasons", F.when(F.col("record").isNotNull(), schema_reasons(F.col("record"))).otherwise(none))
+    outcome = F.when(F.col("record").isNull(), "fallback").when(F.size("reasons") > 0, "raw").otherwise("model")
+    return tested.withColumns({"outcome": outcome, "raw": F.when(outcome == "raw", F.to_json("record"))})
+
+
 def quality(ocr: Column, flags: dict[str, Column]) -> dict[str, Column]:
     """Required and complete shares of the record and the overall 0.3 / 0.4 / 0.3 mix. `flags` tell which of
     invoice_id, issue_date, supplier, customer, invoice_lines and total_incl_vat are filled."""

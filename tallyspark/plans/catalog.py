@@ -443,6 +443,14 @@ def clean_line_values(spark: SparkSession, sf: str) -> DataFrame:
     return typed.select("doc_key", "pos", "l.description", "l.quantity", "l.unit_price", "l.line_total", "l.vat_rate")
 
 
+@query
+def response_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Which answers are invoice records, which are kept raw and why, and which need the fallback."""
+    made = responses.judged_responses(w.responses(spark, sf), "response")
+    invoice_id = F.try_variant_get("record", "$.invoice_id", "string").alias("invoice_id")
+    return made.select("doc_key", "outcome", joined("reasons").alias("reasons"), invoice_id, F.col("raw").isNotNull().alias("kept_raw"))
+
+
 @query
 def structured_from_responses(spark: SparkSession, sf: str) -> DataFrame:
     made = responses.structured(w.responses(spark, sf), "response", "text")

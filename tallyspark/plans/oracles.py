@@ -490,6 +490,13 @@ oracle(
     f" + CASE WHEN {_n_lines} > 0 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END), 2) END AS confidence_score"
     f" FROM (SELECT p.*, {{{', '.join(f"'{n}': {e}" for e, n in [part.rsplit(' AS ', 1) for part in FALLBACK_PARTS])}}} AS f FROM ({_parsed}) p)",
 )
+_no_total = "coalesce(json_type(j, '$.total_incl_vat'), 'NULL') = 'NULL'"
+oracle(
+    "response_outcomes",
+    f"SELECT doc_key, CASE WHEN j IS NULL THEN 'fallback' WHEN {_no_total} THEN 'raw' ELSE 'model' END AS outcome,"
+    f" CASE WHEN j IS NOT NULL AND {_no_total} THEN 'total_incl_vat: field is required' ELSE '' END AS reasons,"
+    f" j->>'$.invoice_id' AS invoice_id, j IS NOT NULL AND {_no_total} AS kept_raw FROM ({_parsed})",
+)
 oracle(
     "completeness_confidence",
     "SELECT doc_key, round(least(1.0::DOUBLE, (CAST(nullif(invoice_id, '') IS NOT NULL AS INT) + CAST(issue_date IS NOT NULL AS INT) + CAST(supplier_name IS NOT NULL AS INT)"

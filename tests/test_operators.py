@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
@@ -123,6 +124,24 @@ def test_responses(spark):
         assert (got[i].extraction_method, got[i].confidence_score) == ("fallback", 0.3)
 
 
+def test_outcomes_of_responses(spark):
+    good = {"invoice_id": "A", "issue_date": "2024-01-01", "supplier": {"name": "S"}, "total_incl_vat": 1.5}
+    cases = {
+        json.dumps(good): ("model", []),
+        "So: " + json.dumps(good | {"invoice_lines": [], "total_incl_vat": "1,50"}) + " end": ("model", []),
+        json.dumps(good | {"supplier": "S", "total_incl_vat": None}): ("raw", ["supplier: has the wrong type", "total_incl_vat: field is required"]),
+        json.dumps(good | {"invoice_id": 7, "invoice_lines": {}}): ("raw", ["invoice_id: has the wrong type", "invoice_lines: has the wrong type"]),
+        "{}": ("raw", [f"{n}: field is required" for n in ("invoice_id", "issue_date", "supplier", "total_incl_vat")]),
+        "none": ("fallback", []),
+        '{"invoice_id": ': ("fallback", []),
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "response string")
+    got = {r.response: r for r in responses.judged_responses(df, "response").drop("record").collect()}
+    assert {k: (got[k].outcome, got[k].reasons) for k in cases} == cases and got[None].outcome == "fallback"
+    assert all((r.raw is not None) == (r.outcome == "raw") for r in got.values())
+    assert json.loads(got['{}'].raw) == {}
+
+
 def test_quality(spark):
     flags = {n: F.lit(True) for n in ("invoice_id", "issue_date", "supplier", "customer", "invoice_lines", "total_incl_vat")}
     row = spark.range(1).select(*[c.alias(n) for n, c in responses.quality(F.lit(0.9), flags).items()]).first()
