@@ -110,9 +110,15 @@ def _named_dates(text: Column, pattern: str, day: int, month: int) -> Column:
     return F.transform(F.filter(hits, lambda hit: F.lower(hit).rlike(ANY_MONTH)), parsed)
 
 
-def dates(text: Column) -> Column:
-    """All valid dates in the six printed forms, distinct and ascending, as 'yyyy-MM-dd' strings."""
-    found = [_numeric_dates(text, pattern, form) for pattern, form in NUMERIC_DATES]
+def digit_groups(text: Column) -> Column:
+    """Runs of ten or more digits and date separators, joined by blanks; every numeric date lies inside one."""
+    return F.array_join(_all(text, "[0-9./-]{10,}+"), " ")
+
+
+def dates(text: Column, groups: Column | None = None) -> Column:
+    """All valid dates in the six printed forms, distinct and ascending, as 'yyyy-MM-dd' strings. `groups`, a column of the
+    text's digit_groups, spares the numeric forms the whole text."""
+    found = [_numeric_dates(text if groups is None else groups, pattern, form) for pattern, form in NUMERIC_DATES]
     found += [_named_dates(text, DAY_MONTH_YEAR, 1, 2), _named_dates(text, MONTH_DAY_YEAR, 2, 1)]
     valid = F.filter(F.concat(*found), lambda d: d.isNotNull() & (d >= F.lit("0001-01-01").cast("date")))
     return F.transform(F.array_sort(F.array_distinct(valid)), lambda d: F.date_format(d, "yyyy-MM-dd"))
@@ -128,8 +134,20 @@ CODE_LAST = f"{RUN_START}{RUN}++(?:{'|'.join(fv.AMOUNT_CODES)})"
 BARE_AMOUNT = r"[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}"
 
 
+# The longest stretches of digits, separators and symbols that hold a digit, with the code after them.
+CHAIN = RUN[:-1] + SYMBOLS[1:]
+NUMBER_CHAIN = f"(?<!{CHAIN}){CHAIN[:-1]}&&[^0-9]]*+[0-9]{CHAIN}*+(?:{'|'.join(fv.AMOUNT_CODES)})?"
+
+
+def number_chains(text: Column) -> Column:
+    """Every stretch of a text in which an amount can stand, joined by bars. No amount reaches over the end of a stretch, so
+    the four shapes need not scan the whole text."""
+    return F.array_join(_all(text, NUMBER_CHAIN), "|")
+
+
 def amount_candidates(text: Column) -> Column:
-    """Every positive printed amount: symbol before, symbol after, code after, then bare numbers (EUR).
+    """Every positive printed amount: symbol before, symbol after, code after, then bare numbers (EUR). Takes a text or,
+    cheaper and with the same result, a column of its number_chains.
 
     Sorted array of struct<neg, currency, i, raw>: largest amount first, equal ones in the order they were found.
     """

@@ -12,8 +12,14 @@ from tallyspark.functions import text as tx
 def with_amounts(df: DataFrame, text_col: str, out: str = "amounts") -> DataFrame:
     """Distinct (amount, currency) of each text, largest first. Two projections: the second one looks back
     into the sorted candidates, so they are computed once and named."""
-    named = df.withColumn("_candidates", tx.amount_candidates(F.col(text_col)))
-    return named.withColumn(out, tx.distinct_amounts(F.col("_candidates"))).drop("_candidates")
+    chains = df.withColumn("_chains", tx.number_chains(F.col(text_col)))
+    named = chains.withColumn("_candidates", tx.amount_candidates(F.col("_chains")))
+    return named.withColumn(out, tx.distinct_amounts(F.col("_candidates"))).drop("_chains", "_candidates")
+
+
+def with_dates(df: DataFrame, text_col: str, out: str = "dates") -> DataFrame:
+    groups = df.withColumn("_groups", tx.digit_groups(F.col(text_col)))
+    return groups.withColumn(out, tx.dates(F.col(text_col), F.col("_groups"))).drop("_groups")
 
 
 def top_amounts(df: DataFrame, text_col: str, keys: list[str], k: int) -> DataFrame:
@@ -28,11 +34,17 @@ def key_data(df: DataFrame, text_col: str) -> DataFrame:
     """All extracted fields of each text in one pass over the table."""
     text = F.col(text_col)
     # Shared inputs are columns of their own, so that they are computed once per row.
-    shared = {"_candidates": tx.amount_candidates(text), "_lowered": F.lower(text), "_runs": tx.long_runs(text)}
-    found = df.withColumns(shared).withColumns(
+    shared = {
+        "_chains": tx.number_chains(text),
+        "_groups": tx.digit_groups(text),
+        "_lowered": F.lower(text),
+        "_runs": tx.long_runs(text),
+    }
+    candidates = tx.amount_candidates(F.col("_chains"))
+    found = df.withColumns(shared).withColumn("_candidates", candidates).withColumns(
         {
             "invoice_number": tx.invoice_number(text),
-            "dates": tx.dates(text),
+            "dates": tx.dates(text, F.col("_groups")),
             "amounts": tx.distinct_amounts(F.col("_candidates")),
             "vat_ids": tx.vat_ids(F.col("_runs")),
             "companies": tx.companies(text),
@@ -41,7 +53,7 @@ def key_data(df: DataFrame, text_col: str) -> DataFrame:
             "phone_numbers": tx.phones(text),
         }
     )
-    return found.drop(*shared)
+    return found.drop(*shared, "_candidates")
 
 
 def with_vat_ids(df: DataFrame, text_col: str, out: str = "vat_ids") -> DataFrame:

@@ -35,8 +35,9 @@ def pick(values: list[str], index: str) -> str:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt out by their key before costly work on each: a file of one row group is one task however long its rows
-    take. Only the columns that the work needs should be selected before."""
-    return df.repartition(key)
+    take. Only the columns that the work needs should be selected before. The number of partitions is named, the session's
+    own: without it adaptive execution merges partitions by their bytes, and narrow rows with costly work end in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def country(key: str) -> str:

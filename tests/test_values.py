@@ -146,3 +146,14 @@ def test_similarity(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "left int, right int")
     got = {(r.left, r.right): r.similarity for r in extraction.pair_similarity(texts, pairs, "id", "t").collect()}
     assert got == {(1, 2): 0.5, (1, 3): 0.0}
+
+
+def test_amounts_and_dates_need_only_the_stretches_that_hold_digits(spark):
+    odd = ["12 \u20ac 13 \u20ac14", "\u20ac\u20ac 5.00$6,50 EUR7", "   \n 1.234,56\u00a0EUR 9 USDEUR 3", "EUR", "\u20ac", "", None, ".,. 1", "$ . , 4 GBP5|6 NOK",
+           "2024-01-02.2024-03-04 5.6.2024 01/02/2024-03-04-2024", "x 9" + " " * 20000 + "8.50 \u00a3", "1-2,50 PLN\u20b9 7 7", "12.12.2024 12 May 2024 2024-1-1"]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    text = F.col("text")
+    whole = df.select(tx.amount_candidates(text).alias("c"), tx.dates(text).alias("d"))
+    cut = df.withColumns({"n": tx.number_chains(text), "g": tx.digit_groups(text)})
+    short = cut.select(tx.amount_candidates(F.col("n")).alias("c"), tx.dates(text, F.col("g")).alias("d"))
+    assert whole.collect() == short.collect()
