@@ -61,9 +61,21 @@ def clean_tax(row: Column) -> Column:
     )
 
 
+LINE_NUMBERS = ("quantity", "unit_price", "line_total", "vat_rate")
+TAX_NUMBERS = ("taxable_amount", "tax_amount", "tax_rate")
+
+
+def with_texts(row: Column, raw: Column, names: tuple[str, ...]) -> Column:
+    """A typed row with the text of each number as <name>_raw."""
+    for name in names:
+        row = row.withField(f"{name}_raw", raw[name])
+    return row
+
+
 def typed_invoices(df: DataFrame, record: str) -> DataFrame:
     """Columns of the canonical invoice out of a raw record column; dates become ISO, money becomes decimal.
-    The text of each header amount stays beside it as <name>_raw, so that validation can tell unreadable from missing."""
+    The text of each number, in header, lines and tax rows, stays beside it as <name>_raw, so that validation can tell
+    unreadable from missing."""
     r = lambda name: F.col(f"{record}.{name}")
     keep = ["invoice_id", "purchase_order_reference", "contract_reference", "supplier", "customer", "payment_terms",
             "detected_language", "ocr_confidence"]
@@ -77,8 +89,8 @@ def typed_invoices(df: DataFrame, record: str) -> DataFrame:
             "currency_code": F.coalesce(r("currency_code"), F.lit("EUR")),
             **{name: parse_money(r(name)) for name in amounts},
             **{f"{name}_raw": r(name) for name in amounts},
-            "invoice_lines": F.transform(r("invoice_lines"), clean_line),
-            "tax_breakdown": F.transform(r("tax_breakdown"), clean_tax),
+            "invoice_lines": F.transform(r("invoice_lines"), lambda x: with_texts(clean_line(x), x, LINE_NUMBERS)),
+            "tax_breakdown": F.transform(r("tax_breakdown"), lambda x: with_texts(clean_tax(x), x, TAX_NUMBERS)),
         }
     )
 

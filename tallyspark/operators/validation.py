@@ -63,13 +63,25 @@ def line_arithmetic_broken(get: Get) -> Column:
     return F.abs(_num(get("quantity")) * _num(get("unit_price")) - _num(get("line_total"))) > _cent()
 
 
-def line_schema_rules(get: Get) -> list[Rule]:
+def _needed(get: Get, name: str, texts: bool) -> list[Rule]:
+    """A number that must be there. With texts, <name>_raw tells one that can't be read from one that is missing; a row breaks
+    at most one of the two rules."""
+    v, none = get(name), F.lit(None).cast("string")
+    if not texts:
+        return [(name, "field is required", v.isNull(), none)]
+    raw = get(f"{name}_raw")
+    return [
+        (name, "field is required", v.isNull() & raw.isNull(), none),
+        (name, "is not a number", v.isNull() & raw.isNotNull(), raw),
+    ]
+
+
+def line_schema_rules(get: Get, texts: bool = False) -> list[Rule]:
+    """`texts` tells that the texts of the numbers stand beside them as <name>_raw."""
+
     def number(name: str, top: Column | None = None) -> list[Rule]:
         v = get(name)
-        rules = [
-            (name, "field is required", v.isNull(), F.lit(None).cast("string")),
-            (name, "must be at least 0", _true(v < 0), v.cast("string")),
-        ]
+        rules = [*_needed(get, name, texts), (name, "must be at least 0", _true(v < 0), v.cast("string"))]
         if top is not None:
             rules.append((name, "must be at most 1", _true(v > top), v.cast("string")))
         return rules
@@ -102,19 +114,19 @@ def line_total_rules(get: Get, off: Column | None = None) -> list[Rule]:
     ]
 
 
-def line_rules(get: Get, off: Column | None = None) -> list[Rule]:
-    return line_schema_rules(get) + line_total_rules(get, off)
+def line_rules(get: Get, off: Column | None = None, texts: bool = False) -> list[Rule]:
+    return line_schema_rules(get, texts) + line_total_rules(get, off)
 
 
 def tax_calculation_broken(get: Get) -> Column:
     return _true(F.abs(get("taxable_amount") * get("tax_rate") - get("tax_amount")) > _cent())
 
 
-def tax_schema_rules(get: Get) -> list[Rule]:
+def tax_schema_rules(get: Get, texts: bool = False) -> list[Rule]:
     rules: list[Rule] = []
     for name in TAX_FIELDS[:3]:
         v = get(name)
-        rules.append((name, "field is required", v.isNull(), F.lit(None).cast("string")))
+        rules += _needed(get, name, texts)
         rules.append((name, "must be at least 0", _true(v < 0), v.cast("string")))
     rate, category = get("tax_rate"), get("tax_category")
     return rules + [
@@ -124,8 +136,8 @@ def tax_schema_rules(get: Get) -> list[Rule]:
     ]
 
 
-def tax_rules(get: Get) -> list[Rule]:
-    return tax_schema_rules(get) + [
+def tax_rules(get: Get, texts: bool = False) -> list[Rule]:
+    return tax_schema_rules(get, texts) + [
         (
             "tax_amount",
             "Tax amount does not match taxable amount times rate",
@@ -381,9 +393,13 @@ def _numbered(rules: list[Rule], start: int, table: str) -> list[tuple[int, str,
     return [(start + i, f"{table}.*.{field}", message, broken) for i, (field, message, broken, _) in enumerate(rules)]
 
 
-def _row_rules(line: Get, tax: Get) -> tuple[list, list]:
-    of_lines = _numbered(line_rules(line), 0, "invoice_lines")
-    return of_lines, _numbered(tax_rules(tax), len(of_lines), "tax_breakdown")
+def _row_rules(line: Get, tax: Get, texts: tuple[bool, bool] = (False, False)) -> tuple[list, list]:
+    of_lines = _numbered(line_rules(line, texts=texts[0]), 0, "invoice_lines")
+    return of_lines, _numbered(tax_rules(tax, texts[1]), len(of_lines), "tax_breakdown")
+
+
+def _keeps_texts(df: DataFrame, array: str, name: str) -> bool:
+    return f"{name}_raw" in df.schema[array].dataType.elementType.names
 
 
 def rule_summary(lines: DataFrame, taxes: DataFrame, key: str) -> DataFrame:
@@ -408,10 +424,12 @@ def rule_summary(lines: DataFrame, taxes: DataFrame, key: str) -> DataFrame:
 def nested_rule_summary(df: DataFrame) -> DataFrame:
     """Adds the same to invoices that carry their lines and tax rows; the first row is named by its position. The rules are
     tested once per row, into a column of flags that the counts of all rules read."""
-    rules = dict(zip(("invoice_lines", "tax_breakdown"), _row_rules(lambda name: F.lit(None), lambda name: F.lit(None))))
+    texts = _keeps_texts(df, "invoice_lines", "quantity"), _keeps_texts(df, "tax_breakdown", "tax_rate")
+    nothing: Get = lambda name: F.lit(None)
+    rules = dict(zip(("invoice_lines", "tax_breakdown"), _row_rules(nothing, nothing, texts)))
 
     def flags(array: str, of_table: int) -> Column:
-        return F.transform(array, lambda x: F.array(*[test for _, _, _, test in _row_rules(x.getField, x.getField)[of_table]]))
+        return F.transform(array, lambda x: F.array(*[test for _, _, _, test in _row_rules(x.getField, x.getField, texts)[of_table]]))
 
     def entry(array: str, at: int, number: int, field: str, message: str) -> Column:
         hits = F.filter(F.transform(f"_of_{array}", lambda f, k: F.when(f[at], k)), lambda k: k.isNotNull())

@@ -210,7 +210,11 @@ _text_query("clean_text", tx.clean_text)
 _text_query("normalize_newlines", tx.normalize_newlines)
 _text_query("clean_ocr_text", tx.clean_ocr_text)
 _text_query("extract_invoice_number", tx.invoice_number)
-_text_query("extract_dates", lambda t: joined(tx.dates(t)))
+
+
+@query
+def extract_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.with_dates(w.texts(spark, sf), "text").select("doc_id", joined(F.col("dates")).alias("result"))
 
 
 @query
@@ -646,9 +650,25 @@ def sink_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- files ---------------------------------------------------------------------------------------------------------
+def _document_files(spark: SparkSession, sf: str, purpose: str) -> str:
+    """All documents as files of JSON lines, in a folder for each language; a bounded number of records makes a file."""
+    path = folders.work_folder(spark, purpose)
+    rows = w.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rows.write.option("maxRecordsPerFile", 1000).partitionBy("lang").json(path)
+    return path
+
+
+def _documents_in(found: DataFrame) -> DataFrame:
+    """The documents inside scanned files, with the folder that each lay in and a digest of its text."""
+    lines = found.select("path", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    record = lines.select("path", F.from_json("line", "doc_id LONG, text STRING").alias("r"))
+    folder = F.regexp_extract("path", "/lang=([^/]*)/[^/]*$", 1)
+    return record.select("r.doc_id", folder.alias("folder"), F.md5(F.col("r.text").cast("binary")).alias("text_md5"))
+
+
 @query
 def scan_files(spark: SparkSession, sf: str) -> DataFrame:
-    return folders.scan_files(spark, sf, "*.parquet").select("filename", "length")
+    return _documents_in(folders.scan_files(spark, _document_files(spark, sf, "scan-files"), "*.json"))
 
 
 @query
@@ -862,5 +882,5 @@ def stream_validate_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_files(spark: SparkSession, sf: str) -> DataFrame:
-    arriving = folders.stream_files(spark, sf, "*.parquet").select("filename", "length")
-    return live.appended_rows(spark, arriving, "stream-files")
+    arriving = folders.stream_files(spark, _document_files(spark, sf, "stream-files-in"), "*.json")
+    return live.appended_rows(spark, _documents_in(arriving), "stream-files")

@@ -615,6 +615,9 @@ oracle(
 oracle("sink_csv_lines", "SELECT doc_key, line_ref, description, quantity, line_total FROM v_lines")
 
 # --- files ---------------------------------------------------------------------------------------------------------
+_document_files = "SELECT doc_id, coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS folder, md5(text) AS text_md5 FROM documents"
+oracle("scan_files", _document_files)
+oracle("stream_files", _document_files)
 _ext = "lower(regexp_extract(filename, '[^/.]([.][^./]+)$', 1))"
 oracle("file_inventory", f"SELECT {_ext} AS extension, count(*) AS n_files, CAST(sum(length) AS BIGINT) AS bytes, round(CAST(sum(length) AS DOUBLE) / 1048576, 2) AS size_mb FROM v_files GROUP BY 1")
 oracle("list_by_extension", "SELECT filename FROM v_files WHERE filename LIKE '%.pdf' OR filename LIKE '%.png'")

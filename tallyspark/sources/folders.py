@@ -38,12 +38,15 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     )
 
 
-def stream_files(spark: SparkSession, folder: str, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
+def stream_files(
+    spark: SparkSession, folder: str, pattern: str = "*", files_per_batch: int = 1000, recursive: bool = True
+) -> DataFrame:
     """The same for files that arrive while the job runs."""
     stream = (
         spark.readStream.format("binaryFile")
         .schema("path STRING, modificationTime TIMESTAMP, length LONG, content BINARY")
         .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", str(recursive).lower())
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
     )

@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyspark.sources import folders
+from tallyspark.streaming import activity as live
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-FILE_LISTINGS = {"scan_files", "stream_files"}
 
 
 @pytest.fixture(scope="module")
@@ -28,9 +29,9 @@ def plain(value):
     return str(value)
 
 
-def test_only_file_listings_have_no_oracle():
+def test_every_query_has_an_oracle():
     numbered = {name for name in QUERIES if re.match(r"op\d+_|pipeline$", name)}  # tested with their subpackage
-    assert set(QUERIES) - set(ORACLES) - numbered == FILE_LISTINGS
+    assert set(QUERIES) - set(ORACLES) <= numbered
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -57,10 +58,12 @@ def test_all_matches_and_all_errors_are_listed(spark):
     assert any("invoice_lines." in r["fields"] or "tax_breakdown." in r["fields"] for r in listed)
 
 
-@pytest.mark.parametrize("name", sorted(FILE_LISTINGS))
-def test_file_listings(spark, name):
-    rows = {r.filename: r.length for r in QUERIES[name](spark, SF).collect()}
-    assert rows == {p.name: p.stat().st_size for p in Path(SF).glob("*.parquet")}
+def test_folders_are_scanned_and_streamed(spark):
+    wanted = {p.name: p.stat().st_size for p in Path(SF).glob("*.parquet")}
+    scanned = folders.scan_files(spark, SF, "*.parquet").select("filename", "length")
+    arriving = folders.stream_files(spark, SF, "*.parquet").select("filename", "length")
+    for found in (scanned, live.appended_rows(spark, arriving, "stream-listing")):
+        assert {r.filename: r.length for r in found.collect()} == wanted
 
 
 def test_entry(spark):

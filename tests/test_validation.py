@@ -182,3 +182,23 @@ def test_an_invoice_with_very_many_broken_lines_has_a_short_summary(spark):
     taxes = spark.createDataFrame([], "k int, taxable_amount decimal(18,4), tax_amount decimal(18,4), tax_rate decimal(9,6), tax_category string")
     (row,) = v.rule_summary(lines, taxes, "k").collect()
     assert [(e.field, e.n, e.first) for e in row.row_errors] == [("invoice_lines.*.vat_category", 100_000, "0"), ("invoice_lines.*.description", 100_000, "0")]
+
+
+def test_numbers_of_lines_and_tax_rows_that_cannot_be_read_keep_their_text(spark, tmp_path):
+    line = VALID["invoice_lines"][0]
+    taxes = [{"taxable_amount": "100.00", "tax_amount": "n/a", "tax_rate": None, "tax_category": "S"}]
+    record = changed(invoice_lines=[line, line | {"quantity": "two"}, line | {"unit_price": None, "vat_rate": "high"}], tax_breakdown=taxes)
+    path = tmp_path / "in.json"
+    path.write_text(json.dumps(record))
+    found = folders.scan_json_invoices(spark, str(path))
+    row = found.first()
+    assert [x.quantity_raw for x in row.invoice_lines] == ["1.0", "two", "1.0"] and row.invoice_lines[2].vat_rate_raw == "high"
+    assert row.tax_breakdown[0].tax_amount_raw == "n/a" and row.tax_breakdown[0].tax_amount is None
+    judged = v.validate_nested(found, AS_OF, listed=True).first()
+    errors = {(e.field, e.message, e.n, e.first) for e in judged.all_errors}
+    assert errors >= {
+        ("invoice_lines.*.quantity", "is not a number", 1, "1"), ("invoice_lines.*.vat_rate", "is not a number", 1, "2"),
+        ("invoice_lines.*.unit_price", "field is required", 1, "2"), ("tax_breakdown.*.tax_amount", "is not a number", 1, "0"),
+        ("tax_breakdown.*.tax_rate", "field is required", 1, "0"),
+    }
+    assert sum(e.n for e in judged.all_errors) == judged.n_errors
