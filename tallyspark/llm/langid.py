@@ -22,7 +22,7 @@ BATCH_CHARS = 1 << 20
 def letters_only(text: str) -> str:
     """Lower case, every run of other characters than letters as one space, padded with one space. "" without a letter."""
     out = NOT_LETTERS.sub(" ", text.lower()).strip()
-    return f" {out} " if out else ""
+    return f" {out} " if any(map(str.isalpha, out)) else ""  # the pattern passes numbers like "½" too
 
 
 def grams(text: str) -> np.ndarray:
