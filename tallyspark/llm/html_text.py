@@ -44,7 +44,7 @@ CLUTTER = re.compile(
     r"subscribe|newsletter|signup|login|search|toolbar|pagination|pager|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
-CLUTTER_TAGS = frozenset("nav footer aside form menu dialog button head".split())
+CLUTTER_TAGS = frozenset("nav footer aside menu dialog button head".split())
 MAIN_TAGS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -61,26 +61,36 @@ class Block:
         self.text, self.linked, self.clutter, self.main = text, linked, clutter, main
 
 
-def blocks(page: str) -> list[Block]:
+def named_clutter(tag: str, names: str) -> bool:
+    """Whether class, id or role mark an element as clutter. An article is marked by a whole name only ("comment"), as parts of
+    longer names ("comments-open") tell what it offers, not what it is."""
+    if tag in MAIN_TAGS:
+        return any((m := CLUTTER.match(name)) and m.end() == len(name) for name in names.split())
+    return tag not in ("body", "html") and bool(CLUTTER.search(names))
+
+
+def blocks(page: str, names_inside: bool = True) -> list[Block]:
     """Blocks of text in page order, each with the characters that stand in links, whether a part like a menu, footer,
-    advert, form or comment encloses it, and the number of the article it belongs to (0: none)."""
+    advert, form or comment encloses it, and the number of the article it belongs to (0: none). A form around an article does
+    not count. Without names_inside, class, id and role of parts of an article are not looked at."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, opens clutter, opens an article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, opens clutter, opens an article, forms open around it
     parts: list[str] = []
-    state = {"linked": 0, "links": 0, "clutter": 0, "main": 0, "articles": 0, "broken": False}
+    state = {"linked": 0, "links": 0, "clutter": 0, "forms": 0, "main": 0, "articles": 0, "broken": False}
 
     def close_block():
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 main = state["articles"] if state["main"] else 0
-                out.append(Block(text, state["linked"], state["clutter"] > 0, main))
+                out.append(Block(text, state["linked"], state["clutter"] + state["forms"] > 0, main))
             parts.clear()
         state["linked"], state["broken"] = 0, False
 
     def pop():
-        tag, clutter, main = stack.pop()
+        tag, clutter, main, forms = stack.pop()
         state["clutter"] -= clutter
+        state["forms"] = forms
         state["main"] -= main
         state["links"] -= tag == "a"
 
@@ -126,12 +136,13 @@ def blocks(page: str) -> list[Block]:
         clutter = (
             tag in CLUTTER_TAGS
             or tag == "header" and not inside
-            or bool(names) and tag not in ("body", "html") and bool(CLUTTER.search(names))
+            or bool(names) and (names_inside or not inside) and named_clutter(tag, names)
             or bool(m[4]) and bool(HIDDEN.search(m[4]))
         )
         main = tag in MAIN_TAGS and not clutter
-        stack.append((tag, clutter, main))
+        stack.append((tag, clutter, main, state["forms"]))
         state["clutter"] += clutter
+        state["forms"] = 0 if main else state["forms"] + (tag == "form")
         state["links"] += tag == "a"
         if main:
             state["articles"] += not inside
@@ -197,8 +208,14 @@ def labelled(found: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> lis
 
 
 def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
+    """The blocks of a page that count as text. Where none does, an article whose own parts bear names of clutter is judged
+    by its words, links and tags alone."""
+
+    def chosen(found: list[Block]) -> str:
+        return "\n".join(b.text for b, good in zip(found, labelled(found, stop_words), strict=True) if good)
+
     found = blocks(page)
-    return "\n".join(b.text for b, good in zip(found, labelled(found, stop_words), strict=True) if good)
+    return chosen(found) or (chosen(blocks(page, False)) if any(b.main and b.clutter for b in found) else "")
 
 
 def frequent_words(pages: DataFrame, html_column: str = "html") -> frozenset[str]:

@@ -749,3 +749,26 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
 
 def test_no_oracle_is_left_out():
     assert json.dumps(sorted(catalog.ORACLES)) == '["op13_exact_dedup"]' and corpus_pipeline.ORACLE_SQL is None
+
+
+LONG = "This is the text of the page and it is long enough to be told from a menu or from a notice by the words that it has."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f'<article class="post comments-open"><p>{LONG}</p></article>', f'<article class="post share-enabled"><p>{LONG}</p></article>',
+     f'<form id="f"><article><p>{LONG}</p></article><input></form>', f'<main><section class="discussion"><p>{LONG}</p></section></main>'],
+)
+def test_names_and_forms_do_not_empty_an_article(page):
+    assert html_text.main_text(f"<html><body><nav><a>Home</a></nav>{page}<footer>{LONG}</footer></body></html>") == LONG
+
+
+def test_comments_and_forms_stay_out_of_the_text():
+    inner = f'<section class="comments"><article><p>A {LONG}</p></article></section><form><p>B {LONG}</p></form>'
+    page = f'<article><p>{LONG}</p>{inner}</article><article class="comment"><p>C {LONG}</p></article><form><p>D {LONG}</p></form>'
+    assert html_text.main_text(page) == LONG
+    assert html_text.main_text(f'<nav>{LONG}</nav><div class="cookie-notice"><p>{LONG}</p></div>') == ""
+
+
+def test_numbers_are_no_letters():
+    assert [langid.letters_only(t) for t in ("½ ²", "\u2167", "12 _", "½ a")] == ["", "", "", " ½ a "]
