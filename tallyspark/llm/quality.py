@@ -209,11 +209,12 @@ def fit(
 ) -> Model:
     """Word vectors from all docs, the network from at most `sample` labelled rows (in expectation, chosen by hash of the
     id, the same at each run). Labels of rows whose crc32(id) mod folds is held_fold are never read; null labels are left
-    out, repeated ids count as often as they stand. Without two classes of labels every score is 0.5."""
+    out. Repeated rows count once; where an id bears many texts, `4 * sample` of all rows at most are taken, those of least hash.
+    Without two classes of labels every score is 0.5."""
     vectors, weights = word_vectors(docs)
     usable = labels.where(
         F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod("doc_id", folds) != held_fold)
-    ).select("doc_id", F.col(label).cast("int").alias("y"))
+    ).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     n = usable.count()
     if n > sample:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
@@ -232,7 +233,8 @@ def fit(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(usable.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id"
     )
-    got = bounded_rows(rows.mapInArrow(pooled, "doc_id long, y int, x binary"), 4 * sample, "labelled rows")
+    found = rows.mapInArrow(pooled, "doc_id long, y int, x binary").distinct()
+    got = found.orderBy(F.xxhash64("doc_id", "y", "x")).limit(4 * sample).collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     y = np.array([r["y"] for r in got], dtype=np.float64)
     if len(set(y.tolist())) < 2:

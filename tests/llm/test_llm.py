@@ -200,6 +200,15 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.scored(none, quality.fit(none, labels)).count() == 0
 
 
+def test_quality_of_much_repeated_rows(spark):
+    docs = spark.range(400).selectExpr("id % 4 AS doc_id", "if(id % 4 < 2, 'good words here', 'bad text there') AS text")
+    many = docs.unionByName(spark.range(200).selectExpr("1L AS doc_id", "concat('good words ', id) AS text"))
+    labels = spark.range(300).selectExpr("id % 4 AS doc_id", "CAST(id % 4 < 2 AS INT) AS quality")
+    got = quality.scored(many, quality.fit(many, labels, sample=8, held_fold=-1), keep=["doc_id"]).collect()
+    assert len(got) == 600 and all(0 <= r["score"] <= 1 for r in got)
+    assert rows_of(spark.createDataFrame(got)) == rows_of(quality.scored(many, quality.fit(many, labels, sample=8, held_fold=-1), keep=["doc_id"]))
+
+
 def test_pool_does_not_depend_on_batches(monkeypatch):
     rng = np.random.default_rng(0)
     vectors, weights = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype("f4"), np.ones(quality.BUCKETS, "f4")
