@@ -451,6 +451,63 @@ def test_best_fit_decreasing_is_the_textbook_one():
     assert sharding.best_fit_decreasing([5], 4) is None and sharding.pack([], 8) == []
 
 
+def test_runs_of_equal_sizes_pack_like_single_items():
+    rng = random.Random(7)
+    for _ in range(30):
+        sizes = [rng.randint(1, 9) for _ in range(400)] + [rng.randint(30, 99) for _ in range(5)]
+        capacity, rooms = 120, []
+        expected = {}
+        for i in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+            fit = [(room, b) for b, room in enumerate(rooms) if room >= sizes[i]]
+            b = min(fit)[1] if fit else len(rooms)
+            if not fit:
+                rooms.append(capacity)
+            rooms[b] -= sizes[i]
+            expected[i] = b
+        assert sharding.best_fit_decreasing(sizes, capacity) == [expected[i] for i in range(len(sizes))]
+        bins = sharding.pack(sizes, 8)
+        sums = [sum(s for s, b in zip(sizes, bins, strict=True) if b == k) for k in range(8)]
+        assert max(sums) - min(sums) <= 9 and sum(sums) == sum(sizes)
+    # 10^12 items take a few steps
+    placed = sharding.level_runs([(1000, 10**6), (7, 10**12), (1, 3)], 8)
+    sums = [sum(s * (e - a) for s, a, e, b in placed if b == k) for k in range(8)]
+    assert max(sums) - min(sums) <= 8 * 7 and sum(sums) == 10**9 + 7 * 10**12 + 3
+
+
+def test_open_bins_against_a_list():
+    rng, bins, rooms = random.Random(9), sharding.OpenBins(), []
+    for number in range(2000):
+        if rng.random() < 0.6:
+            rooms.append((rng.randint(0, 50), number))
+            bins.add(*rooms[-1])
+        else:
+            size = rng.randint(0, 60)
+            fit = [r for r in rooms if r[0] >= size]
+            assert bins.take(size) == (min(fit) if fit else None)
+            if fit:
+                rooms.remove(min(fit))
+
+    def depth(tree):
+        return 0 if tree is None else 1 + max(depth(tree.left), depth(tree.right))
+
+    assert depth(bins.tree) < 40
+
+
+def test_sharding_by_capacity_and_equal_runs(spark, odd):
+    docs = spark.createDataFrame([(i, f"{i:05d}") for i in range(1000)] + [(5000 + i, "hot" * 100) for i in range(40)], "doc_id long, text string")
+    rows = sharding.shard(docs, capacity=600).collect()
+    of_shard = {}
+    for r in rows:
+        of_shard.setdefault(r["shard"], []).append(r)
+    assert len(rows) == 1040 and sorted(of_shard) == list(range(11))  # the hot group alone, then 100 texts a shard
+    assert sorted(sum(r["size"] for r in part) for part in of_shard.values()) == [600] * 10 + [40 * 301]
+    assert all(sorted(r["slot"] for r in part) == list(range(len(part))) for part in of_shard.values())
+    again = sharding.shard(docs.repartition(5), capacity=600).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
+    two = [rows_of(sharding.shard(odd.repartition(n))) for n in (1, 6)]
+    assert two[0] == two[1]
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------
 def brute_base(text):
     import re
