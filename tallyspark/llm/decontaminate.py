@@ -7,6 +7,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,22 @@ class _Terms(dict):
         return -1
 
 
+class Counts(NamedTuple):
+    """What BM25 takes from all items of a test set: their number, mean and largest length in words, and for each word the
+    number of items that hold it."""
+
+    items: int
+    mean: float
+    longest: int
+    spread: dict[bytes, int]
+
+
+def counts_of(parsed: list[list[bytes]]) -> Counts:
+    lengths = [len(words) for words in parsed]
+    mean = sum(lengths) / max(1, len(lengths))
+    return Counts(len(lengths), mean, max(lengths, default=0), Counter(w for words in parsed for w in set(words)))
+
+
 class _Lists:
     """Lists of (number, value) pairs by term, held as three arrays."""
 
@@ -77,19 +94,20 @@ class Index:
 
     An impact is the BM25 weight of a term in an item over the item's own score (that of a passage with all its words), so
     scores run from 0 to 1 and one threshold serves items of any length. A passage counts each of its words once.
+    Without counts those of the given items are taken; an index over a part of a test set gets the counts of all of it, so
+    that scores and passages don't depend on the parts.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counts: Counts | None = None):
         parsed = [(i, t, words_of(t)) for i, t in items]
         parsed = [p for p in parsed if p[2]]
-        spread = Counter(w for p in parsed for w in set(p[2]))
+        total, mean, longest, spread = counts or counts_of([p[2] for p in parsed])
         # items of one vocabulary stand together, which keeps the blocks' bounds tight
         parsed.sort(key=lambda p: (max((spread[w], w) for w in set(p[2]))[1], sorted(set(p[2]), key=lambda w: (-spread[w], w))))
         self.ids = [p[0] for p in parsed]
-        self.longest = max((len(p[2]) for p in parsed), default=0)
-        mean = sum(len(p[2]) for p in parsed) / max(1, len(parsed))
+        self.longest = longest
         self.texts = [p[1] for p in parsed]
-        self.terms = _Terms((w, k) for k, w in enumerate(sorted(spread)))
+        self.terms = _Terms((w, k) for k, w in enumerate(sorted({w for p in parsed for w in p[2]})))
         self.blocks = -(-len(parsed) // BLOCK)
         size = sum(len(set(p[2])) for p in parsed)
         terms, items, impacts = np.empty(size, dtype=np.int64), np.empty(size, dtype=np.int64), np.empty(size)
@@ -97,7 +115,7 @@ class Index:
         for n, (_, _, words) in enumerate(parsed):
             weights = {}
             for w, tf in Counter(words).items():
-                idf = math.log(1 + (len(parsed) - spread[w] + 0.5) / (spread[w] + 0.5))
+                idf = math.log(1 + (total - spread[w] + 0.5) / (spread[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
             own = sum(weights.values())
             for w, x in weights.items():
@@ -228,23 +246,51 @@ def _share(part: set, got: set, words: list[bytes]) -> float:
     return len(part & got) / len(part)
 
 
-def _build(group: pa.Table) -> pa.Table:
-    rows = sorted(zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True))
-    return pa.table([group.column("part").slice(0, 1), pa.array([pickle.dumps(Index(rows))], pa.binary())], names=["part", "index"])
+def _words(batches):
+    """(part, i, t) -> (part, word, words): each word of an item once; words is the item's length in one of its rows, else 0."""
+    for batch in slices(batches):
+        parts, found, lengths = [], [], []
+        for part, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), strict=True):
+            words = words_of(text)
+            held = set(words)
+            parts += [part] * len(held)
+            found += held
+            lengths += [len(words), *[0] * (len(held) - 1)] if held else []
+        columns = [pa.array(parts, pa.int32()), pa.array(found, pa.binary()), pa.array(lengths, pa.int64())]
+        yield pa.record_batch(columns, names=["part", "word", "words"])
 
 
 def _each_index(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Iterator[Index]:
     """The indexes over all items one by one, of INDEX_ITEMS items and ITEM_CHARS characters at most in expectation; a longer
-    test set gives more of them, each with its own counts. Tasks build them, and the driver holds one at a time. Rows of the
-    same id and text count once; null texts and ids and texts without words are left out."""
+    test set gives more of them. Spark counts words and lengths over all items, and each index gets the counts of its words, so
+    scores are the same for any number of indexes. Tasks build them, and the driver holds one at a time. Rows of the same id
+    and text count once; null texts and ids and texts without words are left out."""
     known = items.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")
     )
     known = known.dropDuplicates(["i", "t"])
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     parts = max(1, -(-n // INDEX_ITEMS), -(-size // ITEM_CHARS))
-    placed = known.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int"))
-    built = placed.groupBy("part").applyInArrow(_build, "part int, index binary")
+    placed = known.select(F.pmod(F.xxhash64("i", "t"), F.lit(parts)).cast("int").alias("part"), "i", "t")
+    held = placed.mapInArrow(_words, "part int, word binary, words long").groupBy("part", "word")
+    held = held.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("words") > 0).alias("items"),
+        F.sum("words").alias("words"),
+        F.max("words").alias("most"),
+    )
+    held = cut(held)
+    total, words, most = held.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("items"), F.sum("words"), F.max("most")))).first()
+    spread = held.groupBy("word").agg(F.sum("n").alias("spread"))
+    spread = held.select("part", "word").join(spread, "word").select("part", "word", "spread")
+
+    def build(group: pa.Table, counted: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("i").to_pylist(), group.column("t").to_pylist(), strict=True))
+        known = dict(zip(counted.column("word").to_pylist(), counted.column("spread").to_pylist(), strict=True))
+        index = Index(rows, Counts(total, words / max(1, total), most, known))
+        return pa.table([group.column("part").slice(0, 1), pa.array([pickle.dumps(index)], pa.binary())], names=["part", "index"])
+
+    built = placed.groupBy("part").cogroup(spread.groupBy("part")).applyInArrow(build, "part int, index binary")
     if parts > 1:
         built = cut(built)
     for part in range(parts):
@@ -285,12 +331,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
     """docs without the rows whose text holds an item; columns as given. Null texts stay."""
-    out = docs
+    out, mark = docs, "_clean"
+    while mark in docs.columns:
+        mark += "_"
     for index in _each_index(items):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(texts, held=held):
             return [[not held.value.hits(t) for t in texts]]
 
-        out = compute(out, text_column, find, {"_clean": "boolean"}, None, lambda found: found[0]).drop("_clean")
+        out = compute(out, text_column, find, {mark: "boolean"}, None, lambda found: found[0]).drop(mark)
     return out

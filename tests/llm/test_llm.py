@@ -252,6 +252,23 @@ def test_word_encoder_on_random_texts(name):
     assert token_files.WordEncoder(path).encode(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
 
+def test_reading_in_order_fetches_each_batch_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 40) for i in range(300)], DOCS.split(", lang")[0]).coalesce(1)
+    file = token_files.write_tokens(docs, str(tmp_path / "files"), WORDS, sequence=16).first()
+    sequences, fetched = token_files.SequenceFile(file["file"]), []
+    reader = sequences.reader
+
+    class Counting:
+        def get_batch(self, i):
+            fetched.append(i)
+            return reader.get_batch(i)
+
+    sequences.reader = Counting()
+    step = file["n_tokens"] // 300
+    ids = np.concatenate([p for k in range(0, file["n_tokens"], step) for p in sequences.tokens(k, min(step, file["n_tokens"] - k))])
+    assert len(ids) == file["n_tokens"] and fetched == list(range(sequences.batches)) and len(fetched) > 1
+
+
 def test_token_files_random_access(spark, tmp_path):
     docs = spark.createDataFrame([(i, "the quick brown fox " * (i % 40)) for i in range(400)], "doc_id long, text string")
     files = token_files.write_tokens(docs, str(tmp_path / "out"), WORDS, sequence=16).orderBy("file_no").collect()
@@ -300,7 +317,8 @@ def test_planted_items_are_found(spark):
     docs = [(r["doc_id"], r["text"]) for r in common.table(spark, SF, "documents").collect()]
     listed = [(r["item_id"], r["text"]) for r in items.collect()]
     rng = random.Random(3)
-    clean = [t for _, t in docs if not decontaminate.indexes(items)[0].hits(t)][:20]
+    index = decontaminate.indexes(items)[0]
+    clean = [t for _, t in docs if not index.hits(t)][:20]
     planted = []
     for k, (item, text) in enumerate(listed):
         words = clean[k % len(clean)].split()
@@ -335,6 +353,30 @@ def test_indexes_grow_with_the_items(spark, monkeypatch):
     assert decontaminate.clean(docs, items).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    items = common.table(spark, SF, "benchmark")
+    listed = [(r["item_id"], r["text"]) for r in items.collect()]
+    docs = [(k, "some words before " + " ".join(t.split()[: -(k % 3) or None]) + " and after") for k, (_, t) in enumerate(listed)]
+    table = spark.createDataFrame(docs + [(900, "nothing of them"), (901, None)], "doc_id long, text string")
+    found = {}
+    for most in (20_000, -(-len(listed) // 7)):
+        monkeypatch.setattr(decontaminate, "INDEX_ITEMS", most)
+        made = decontaminate.indexes(items)
+        assert len(made) >= (1 if most == 20_000 else 6) and len({x.longest for x in made}) == 1
+        found[most] = {tuple(r)[:2]: tuple(r)[2:] for r in decontaminate.contaminated(table, items).collect()}
+    one, many = found.values()
+    assert one.keys() == many.keys() and len(one) >= len(listed) // 2
+    assert all(many[k] == pytest.approx(one[k]) for k in one)
+    brute = decontaminate.Index(listed)
+    assert {(d, h[0]) for d, t in docs for h in brute.hits(t)} == set(one)
+
+
+def test_clean_keeps_a_column_of_its_own_name(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta", "a"), (2, "other", "b")], "doc_id long, text string, _clean string")
+    assert [tuple(r) for r in decontaminate.clean(docs, items).collect()] == [(2, "other", "b")]
+
+
 def test_overlap_rule_and_odd_rows(spark, odd, none):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta. iota kappa lambda mu nu xi"), (2, None), (3, "!!"), (4, "two")]
     table = spark.createDataFrame(items, "item_id long, text string")
