@@ -220,17 +220,22 @@ def _open(path: str) -> pa.ipc.RecordBatchFileReader:
 
 
 class SequenceFile:
-    """Random access to the sequences of one file. Arrays are views of the mapped file where the file system can map."""
+    """Random access to the sequences of one file. Arrays are views of the mapped file where the file system can map. The last
+    batch is kept, so that reading in order fetches each batch once from a store that can't map."""
 
     def __init__(self, file: str):
         self.reader = _open(f"{file}.tokens.arrow")
         self.batches = self.reader.num_record_batches
         self.sequence = self.reader.schema.field("ids").type.list_size
+        self.last = (-1, None)
 
     def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of batch i, one row for each sequence."""
-        got = self.reader.get_batch(i)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.sequence) for c in got.columns)
+        if self.last[0] != i:
+            got = self.reader.get_batch(i)
+            arrays = tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.sequence) for c in got.columns)
+            self.last = (i, arrays)
+        return self.last[1]
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = self.batch(i // SEQUENCES_PER_BATCH)
