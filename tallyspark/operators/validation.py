@@ -52,10 +52,10 @@ def typed_amounts(df: DataFrame, names: list[str] = AMOUNTS) -> DataFrame:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Typed amounts, and the parsed dates as columns of their own, so that several rules share one parse."""
+    """Typed amounts (those there are), and the parsed dates as columns of their own, so that several rules share one parse."""
     due = F.col("payment_terms.payment_due_date") if "payment_terms" in df.columns else F.lit(None).cast("string")
     days = {"_issued": parse_date_any(F.col("issue_date")), "_due": parse_date_any(due)}
-    return typed_amounts(df).withColumns(days)
+    return typed_amounts(df, [name for name in AMOUNTS if name in df.columns]).withColumns(days)
 
 
 # --- lines and tax rows --------------------------------------------------------------------------------------------
@@ -227,6 +227,11 @@ def unnest_lines(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def unnest_taxes(df: DataFrame, key: str) -> DataFrame:
+    """Tax rows of nested invoices as rows."""
+    return df.select(key, F.explode("tax_breakdown").alias("tax")).select(key, "tax.*")
+
+
 # --- header rules --------------------------------------------------------------------------------------------------
 def header_schema_rules(df: DataFrame) -> list[Rule]:
     none = F.lit(None).cast("string")
@@ -378,11 +383,13 @@ def tax_prefix() -> Column:
 
 
 def all_errors(headers: DataFrame, lines: DataFrame, taxes: DataFrame, key: str, as_of: str) -> DataFrame:
-    """Every broken header, line and tax row rule as one row."""
+    """Every broken header, line and tax row rule as one row. Where the texts of numbers stand beside them as <name>_raw, one
+    that can't be read is told from one that is missing."""
     headers = prepared(headers)
+    texts = "quantity_raw" in lines.columns, "tax_amount_raw" in taxes.columns
     of_headers = broken_rows(headers, [key], header_rules(headers, as_of))
-    of_lines = broken_rows(lines, [key], line_rules(F.col), line_prefix())
-    return of_headers.unionByName(of_lines).unionByName(broken_rows(taxes, [key], tax_rules(F.col), tax_prefix()))
+    of_lines = broken_rows(lines, [key], line_rules(F.col, texts=texts[0]), line_prefix())
+    return of_headers.unionByName(of_lines).unionByName(broken_rows(taxes, [key], tax_rules(F.col, texts[1]), tax_prefix()))
 
 
 # --- error lists of whole invoices ---------------------------------------------------------------------------------

@@ -79,12 +79,12 @@ def rule_schema_tax_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_invoice_number(spark: SparkSession, sf: str) -> DataFrame:
-    return _header_rows(spark, sf, lambda df: validation.number_and_vat_rules()[:1])
+    return validation.broken_rows(w.order_headers(spark, sf), ["doc_key"], validation.number_and_vat_rules()[:1])
 
 
 @query
 def rule_vat_id(spark: SparkSession, sf: str) -> DataFrame:
-    return _header_rows(spark, sf, lambda df: validation.number_and_vat_rules()[1:])
+    return validation.broken_rows(w.order_parties(spark, sf), ["doc_key"], validation.number_and_vat_rules()[1:])
 
 
 @query
@@ -108,7 +108,8 @@ def rule_tax_calc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rule_dates(spark: SparkSession, sf: str) -> DataFrame:
-    return _header_rows(spark, sf, lambda df: validation.date_rules(w.AS_OF))
+    headers = validation.prepared(w.order_headers(spark, sf))
+    return validation.broken_rows(headers, ["doc_key"], validation.date_rules(w.AS_OF))
 
 
 @query

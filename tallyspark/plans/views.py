@@ -129,12 +129,8 @@ def _party(side: str) -> F.Column:
     return F.struct(*[F.col(f"{side}_{n}").alias(n) for n in names])
 
 
-def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: one header per order, carrying the summary of its lines and tax rows; zeros for an order without lines."""
-    lines = invoice_lines(spark, sf_dir)
-    summary = v.summarise_by_rate(tax_rows(lines, supplier_key=F.min("l_suppkey"), **v.line_sums()), "doc_key",
-                                  supplier_key=F.min("supplier_key"), vat_sum=F.sum("tax_amount"))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey").selectExpr(
+def _orders(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "o_orderkey AS doc_key",
         "o_orderkey",
         "o_custkey",
@@ -142,6 +138,36 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_format(o_orderdate + INTERVAL 30 DAYS, 'yyyy-MM-dd') AS iso_due",
         "date_format(o_orderdate - INTERVAL 1 DAY, 'yyyy-MM-dd') AS iso_before",
     )
+
+
+def _terms() -> F.Column:
+    return F.struct(F.col("due_date").alias("payment_due_date"), F.lit(None).cast("string").alias("payment_terms"))
+
+
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a header has from its order alone, for rules that need no lines: no shuffle, no second table."""
+    orders = _orders(table(spark, sf_dir, "orders"))
+    return orders.selectExpr(
+        "doc_key", *[f"{HEADER_COLUMNS[name]} AS {name}" for name in ("invoice_id", "issue_date", "due_date")]
+    ).select("doc_key", "invoice_id", "issue_date", _terms().alias("payment_terms"))
+
+
+def order_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier and customer of each order; of the lines only the smallest supplier key is taken."""
+    suppliers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_key"))
+    orders = _orders(table(spark, sf_dir, "orders")).join(suppliers.agg(F.min("l_suppkey").alias("supplier_key")), "doc_key", "left")
+    known = orders.withColumn("supplier_key", F.coalesce("supplier_key", F.lit(0).cast(orders.schema["supplier_key"].dataType)))
+    sides = ("supplier", "customer")
+    flat = known.selectExpr("doc_key", *[f"{sql} AS {n}" for n, sql in HEADER_COLUMNS.items() if n.startswith(sides)])
+    return flat.select("doc_key", *(_party(side).alias(side) for side in sides))
+
+
+def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1: one header per order, carrying the summary of its lines and tax rows; zeros for an order without lines."""
+    lines = invoice_lines(spark, sf_dir)
+    summary = v.summarise_by_rate(tax_rows(lines, supplier_key=F.min("l_suppkey"), **v.line_sums()), "doc_key",
+                                  supplier_key=F.min("supplier_key"), vat_sum=F.sum("tax_amount"))
+    orders = _orders(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey"))
     amounts = ("line_sum", "vat_sum")
     counts = ("n_lines", "bad_lines", "line_errors", "bad_taxes", "tax_errors", "supplier_key")
     joined = orders.join(summary, "doc_key", "left").withColumns(
@@ -162,9 +188,7 @@ def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*",
         _party("supplier").alias("supplier"),
         _party("customer").alias("customer"),
-        F.struct(F.col("due_date").alias("payment_due_date"), F.lit(None).cast("string").alias("payment_terms")).alias(
-            "payment_terms"
-        ),
+        _terms().alias("payment_terms"),
     ).drop(*[f"{s}_{n}" for s in ("supplier", "customer") for n in ("name", "vat_id", "address_line", "city", "postal_code", "country_code")], "due_date")
 
 

@@ -202,3 +202,33 @@ def test_numbers_of_lines_and_tax_rows_that_cannot_be_read_keep_their_text(spark
         ("tax_breakdown.*.tax_rate", "field is required", 1, "0"),
     }
     assert sum(e.n for e in judged.all_errors) == judged.n_errors
+
+
+def test_line_tables_tell_unreadable_numbers_from_missing_ones(spark, tmp_path):
+    line = VALID["invoice_lines"][0]
+    lines = [{**line, "quantity": "two"}, {**line, "unit_price": None}, {**line, "vat_rate": "x%"}, line]
+    taxes = [{"taxable_amount": "100", "tax_amount": "some", "tax_rate": "0.19", "tax_category": "S"}]
+    path = tmp_path / "unread.json"
+    path.write_text("\n".join(json.dumps(r) for r in (changed(invoice_lines=lines, tax_breakdown=taxes), changed(invoice_id="INV-2"))))
+    df = v.summarise_nested(folders.scan_json_invoices(spark, str(path))).cache()
+    rows = v.all_errors(df, v.unnest_lines(df, "invoice_id"), v.unnest_taxes(df, "invoice_id"), "invoice_id", AS_OF).collect()
+    found = {(r["field"], r["message"], r["value"]) for r in rows}
+    assert {
+        ("invoice_lines.0.quantity", "is not a number", "two"),
+        ("invoice_lines.1.unit_price", "field is required", None),
+        ("invoice_lines.2.vat_rate", "is not a number", "x%"),
+        ("tax_breakdown.0.190000-S.tax_amount", "is not a number", "some"),
+    } <= found
+    assert not {f for f in found if f[0] == "invoice_lines.0.quantity" and f[1] == "field is required"}
+    counted = {r["invoice_id"]: r["n_errors"] for r in v.validate(df, AS_OF).collect()}
+    assert all(counted[k] == sum(r["invoice_id"] == k for r in rows) for k in counted)
+
+
+def test_header_rules_scan_orders_only(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("rule_invoice_number", "rule_dates"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "Exchange" not in plan
+    whole = {r["doc_key"]: r for r in views.invoice_headers(spark, sf).collect()}
+    for r in views.order_headers(spark, sf).join(views.order_parties(spark, sf), "doc_key").collect():
+        assert all(r[c] == whole[r["doc_key"]][c] for c in ("invoice_id", "issue_date", "payment_terms", "supplier", "customer"))
