@@ -14,10 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ASSEMBLED = "key string, outcome string, expected long, lines array<string>"
-STATE = "expected long, closed boolean, newest long, lines array<string>"
+#: The open and closed invoices of a bucket, one entry each in every array but the last; `held` tells how many of `lines` are theirs.
+STATE = "keys array<string>, expected array<long>, closed array<boolean>, newest array<long>, due array<long>, held array<int>, lines array<string>"
+BUCKETS = 2_048
 
 
-def assembled(headers: DataFrame, lines: DataFrame, key: str, delay: str = "1 hour", wait_seconds: int = 3600) -> DataFrame:
+def assembled(headers: DataFrame, lines: DataFrame, key: str, delay: str = "1 hour", wait_seconds: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """One row for each invoice, and one for each batch of lines that came too late for theirs.
 
     headers: key, ts, n_lines (how many lines the invoice has). lines: key, ts and the line's own columns. Both are streams
@@ -26,45 +28,63 @@ def assembled(headers: DataFrame, lines: DataFrame, key: str, delay: str = "1 ho
     `late` for lines of an invoice that is closed already. Lines are JSON texts, sorted (see parsed_lines). Rows behind the
     watermark are dropped by Spark. State holds the lines of open invoices, and a mark for closed ones until the watermark
     passes them.
+
+    Invoices are dealt out to `buckets` by their key, and Python is called once for a bucket, not once for an invoice. Each
+    invoice keeps its own deadline; a bucket wakes at the first of them.
     """
     named = [c for c in lines.columns if c not in (key, "ts")]
     heads = headers.select(F.col(key).cast("string").alias("key"), "ts", F.col("n_lines").cast("long").alias("expected"), F.lit(None).cast("string").alias("line"))
     items = lines.select(F.col(key).cast("string").alias("key"), "ts", F.lit(None).cast("long").alias("expected"), F.to_json(F.struct(*named)).alias("line"))
     both = heads.unionByName(items).withWatermark("ts", delay)
-    rows = both.select("key", "ts", "expected", "line", F.unix_millis("ts").alias("ms"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = both.select(bucket, "key", "ts", F.col("expected").isNotNull().alias("stated"), F.coalesce("expected", F.lit(0)).alias("expected"), "line", F.unix_millis("ts").alias("ms"))
 
     def fold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, closed, newest, held = state.get if state.exists else (None, False, 0, [])
-        held, mark = list(held or []), state.getCurrentWatermarkMs()
-
-        def row(outcome: str) -> pd.DataFrame:
-            made = pd.DataFrame({"key": [group[0]], "outcome": [outcome], "expected": [expected], "lines": [sorted(held)]})
-            return made.astype({"expected": "Int64"})
-
-        if state.hasTimedOut:
-            if not closed:
-                yield row("partial")
-                state.update((expected, True, newest, []))
-                state.setTimeoutTimestamp(mark + 1000 * wait_seconds + 1)
+        mark, wait = state.getCurrentWatermarkMs(), 1000 * wait_seconds
+        known, out, arrived = {}, [], {}
+        if state.exists:
+            *columns, texts = state.get
+            at = 0
+            for name, expected, closed, newest, due, n in zip(*columns):
+                known[name] = [expected, closed, newest, due, list(texts[at : at + n])]
+                at += n
+        if not state.hasTimedOut:
+            for part in batches:
+                for name, stated, expected, line, ms in zip(*(part[c].tolist() for c in ("key", "stated", "expected", "line", "ms"))):
+                    new = arrived.setdefault(name, [None, 0, []])
+                    if stated and new[0] is None:
+                        new[0] = expected
+                    new[1] = max(new[1], ms)
+                    if line is not None:
+                        new[2].append(line)
+        for name, (stated, ms, new_lines) in arrived.items():
+            expected, closed, newest, _, held = known.get(name, (None, False, 0, 0, []))
+            expected, newest, held = expected if stated is None else stated, max(newest, ms), held + new_lines
+            if closed:
+                if held:
+                    out.append((name, "late", expected, sorted(held)))
+                held = []
+            elif expected is not None and len(held) >= expected:
+                out.append((name, "whole", expected, sorted(held)))
+                closed, held = True, []
+            known[name] = [expected, closed, newest, max(newest + wait, mark + 1), held]
+        for name in [k for k, v in known.items() if v[3] < mark and k not in arrived]:
+            expected, closed, newest, _, held = known[name]
+            if closed:
+                del known[name]
             else:
-                state.remove()
-            return
-        for part in batches:
-            held += [x for x in part["line"] if x is not None]
-            stated = part["expected"].dropna()
-            expected = int(stated.iloc[0]) if len(stated) else expected
-            newest = max(newest, int(part["ms"].max()))
-        if closed:
-            if held:
-                yield row("late")
-            held = []
-        elif expected is not None and len(held) >= expected:
-            yield row("whole")
-            closed, held = True, []
-        state.update((expected, closed, newest, held))
-        state.setTimeoutTimestamp(max(newest + 1000 * wait_seconds, mark + 1))
-
-    return rows.groupBy("key").applyInPandasWithState(fold, ASSEMBLED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+                out.append((name, "partial", expected, sorted(held)))
+                known[name] = [expected, True, newest, mark + wait + 1, []]
+        if known:
+            expected, closed, newest, due, held = (list(c) for c in zip(*known.values()))
+            state.update((list(known), expected, closed, newest, due, [len(h) for h in held], [x for h in held for x in h]))
+            state.setTimeoutTimestamp(min(due))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "outcome", "expected", "lines"]).astype({"expected": "Int64"})
+
+    return rows.groupBy("bucket").applyInPandasWithState(fold, ASSEMBLED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def parsed_lines(texts: str, schema: str) -> Column:

@@ -343,6 +343,28 @@ def test_invoices_are_assembled_from_a_stream(spark, tmp_path):
     assert found[3] == found[2] | {("8", "whole", 0, "")}
 
 
+def test_assembly_calls_python_for_buckets_of_invoices(spark, tmp_path):
+    """Many invoices share a bucket, null keys too, and each keeps its own deadline there. Calls are counted in state rows."""
+    heads, lines = "k long, ts timestamp, n_lines long", "k long, ts timestamp, d string"
+    steps = [
+        ([(i, at(0), 2) for i in range(200)] + [(None, at(0), 1)], [(i, at(i), f"a{i}") for i in range(200)] + [(None, at(1), "n")]),
+        ([], [(i, at(200), f"b{i}") for i in range(0, 200, 2)]),
+        ([(999, at(20_000), 0)], []),
+        ([(998, at(20_000), 0)], []),
+    ]
+    paths, folder = [str(tmp_path / p) for p in ("heads", "lines")], str(tmp_path / "work")
+    for step in steps:
+        for rows, schema, path in zip(step, (heads, lines), paths, strict=True):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        streams = [spark.readStream.schema(schema).parquet(path) for schema, path in zip((heads, lines), paths)]
+        out = invoices.assembled(*streams, "k", "2 hours", 3600, buckets=3)
+        live.run_to_end(out, "append", folder, live.batch_writer(folder))
+    got = [(r.key, r.outcome, len(r.lines)) for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()]
+    whole = {(str(i), "whole", 2) for i in range(0, 200, 2)} | {("998", "whole", 0), ("999", "whole", 0), (None, "whole", 1)}
+    assert len(got) == len(set(got)) and set(got) == whole | {(str(i), "partial", 1) for i in range(1, 200, 2)}
+    assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() <= 3
+
+
 def test_tax_rows_of_nested_lines(spark):
     rows = [("1.005", "0.2", "S"), ("2", "0.2", "S"), ("3", "0.1", "S"), ("4", None, "Z"), (None, "0.1", "S")]
     lines = [f"named_struct('line_total', CAST({a or 'NULL'} AS DECIMAL(18,4)), 'vat_rate', CAST({r or 'NULL'} AS DECIMAL(9,6)), 'vat_category', '{c}')" for a, r, c in rows]
