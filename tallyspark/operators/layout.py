@@ -1,12 +1,15 @@
 """Positioned tokens to reading order, page text, text lines and table cells.
 
-Order inside a page depends on the tokens' y centres first. Each operator therefore reduces the page to its distinct
-y levels (one row per y, map-side combined), numbers those in a window that is as small as the page is tall, and joins
-the numbers back on (page, y). A page that holds a large share of all tokens is spread over its levels.
+Order inside a page depends on the tokens' y centres first. As nearly every token has a y of its own, tokens are not gathered
+by y: they are shuffled once, by page, and one sort serves the numbers, gaps and texts. A page is read by one task, from a
+sort that goes to disk when it must.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,64 +38,54 @@ def page_summary(tokens: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def y_levels(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per distinct cy of a page: tokens before it, gap to the level above, number of its text segment."""
-    page = Window.partitionBy(*keys).orderBy("cy")
-    above = page.rowsBetween(Window.unboundedPreceding, -1)
-    upto = page.rowsBetween(Window.unboundedPreceding, 0)
-    levels = tokens.groupBy(*keys, "cy").agg(F.count("*").alias("n"))
-    return levels.select(
-        *keys,
-        "cy",
-        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"),
-        (F.col("cy") - F.lag("cy").over(page)).alias("gap"),
-    ).withColumn("segment", F.sum((F.coalesce(F.col("gap"), F.lit(0.0)) > NEW_SEGMENT).cast("int")).over(upto) + 1)
-
-
 def reading_order(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank of each token in its page by (cy, cx, elem_id)."""
-    level = Window.partitionBy(*keys, "cy").orderBy("cx", "elem_id")
-    ranked = tokens.withColumn("_in_level", F.row_number().over(level))
-    return (
-        ranked.join(y_levels(tokens, keys).drop("gap", "segment"), [*keys, "cy"])
-        .withColumn("reading_rank", (F.col("before") + F.col("_in_level")).cast("long"))
-        .drop("before", "_in_level")
+    """Rank of each token in its page by (cy, cx, elem_id). A token without a page or cy is left out; one without cy counts for
+    the ranks of its page, ahead of all others."""
+    page = Window.partitionBy(*keys).orderBy("cy", "cx", "elem_id")
+    paged = tokens.where(reduce(operator.and_, [F.col(k).isNotNull() for k in keys]))
+    return paged.withColumn("reading_rank", F.row_number().over(page).cast("long")).where(F.col("cy").isNotNull())
+
+
+def _read(tokens: DataFrame, keys: list[str], new_line: float) -> DataFrame:
+    """The tokens of each page numbered in order (_at). _opens tells the first token of a y level, _gap how far that lies below
+    the level before (null at the first), _line counts gaps over new_line, and _blank tells a text that follows another in its
+    level. Tokens are shuffled once, by page, and sorted there; all windows read the same order."""
+    page = Window.partitionBy(*keys).orderBy("cy", "cx", "elem_id", "text")
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
+    cy, own = F.col("cy"), F.col("text").isNotNull().cast("int")
+    numbered = tokens.select(*keys, "cy", "cx", "elem_id", "text").withColumns(
+        {"_at": F.row_number().over(page), "_above": F.lag("cy").over(page), "_texts": F.count("text").over(upto) - own}
+    )
+    opened = numbered.withColumn("_opens", (F.col("_at") == 1) | ~cy.eqNullSafe(F.col("_above")))
+    gaps = opened.withColumn("_gap", F.when(F.col("_opens"), cy - F.col("_above")))
+    new = F.coalesce(F.col("_gap") > new_line, F.lit(False))
+    before = F.max(F.when(F.col("_opens"), F.col("_texts"))).over(upto)
+    return gaps.withColumns(
+        {"_line": F.sum(new.cast("int")).over(upto) + 1, "_new": new, "_blank": F.col("text").isNotNull() & (F.col("_texts") > before)}
     )
 
 
-def _ordered_text(order: list[str], text: str) -> Column:
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("t"))))
-    return F.transform(rows, lambda r: r["t"])
-
-
-def _level_texts(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    return tokens.groupBy(*keys, "cy").agg(
-        F.array_join(_ordered_text(["cx", "elem_id"], "text"), " ").alias("level_text"), F.count("*").alias("n")
-    )
+def _joined(pieces: str) -> Column:
+    rows = F.sort_array(F.collect_list(F.struct("_at", F.col(pieces).alias("t"))))
+    return F.array_join(F.transform(rows, lambda r: r["t"]), "")
 
 
 def page_text(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole text of each page: a newline where y moves by more than 10, else a space.
-
-    Assembled level by level, so that the last step sorts one string per y and not one per token.
-    """
-    above = Window.partitionBy(*keys).orderBy("cy")
-    gap = F.col("cy") - F.lag("cy").over(above)
-    separator = F.when(gap.isNull(), "").when(gap > NEW_TEXT_LINE, "\n").otherwise(" ")
-    levels = _level_texts(tokens, keys).withColumn("piece", F.concat(separator, F.col("level_text")))
-    return levels.groupBy(*keys).agg(F.trim(F.array_join(_ordered_text(["cy"], "piece"), "")).alias("full_text"))
+    """Whole text of each page: a newline where y moves by more than 10, else a space."""
+    read = _read(tokens, keys, NEW_TEXT_LINE)
+    first = F.when(F.col("_gap").isNull(), "").when(F.col("_new"), "\n").otherwise(" ")
+    between = F.when(F.col("_opens"), first).when(F.col("_blank"), " ").otherwise("")
+    pieces = read.withColumn("_piece", F.concat(between, F.coalesce("text", F.lit(""))))
+    return pieces.groupBy(*keys).agg(F.trim(_joined("_piece")).alias("full_text"))
 
 
 def line_segments(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Text lines of each page: a new one where y moves by more than 15 from the previous token."""
-    upto = Window.partitionBy(*keys).orderBy("cy").rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.partitionBy(*keys).orderBy("cy")
-    starts = F.coalesce(F.col("cy") - F.lag("cy").over(above), F.lit(0.0)) > NEW_SEGMENT
-    levels = _level_texts(tokens, keys).withColumn("_new", starts.cast("int"))
-    numbered = levels.withColumn("line_no", F.sum("_new").over(upto) + 1)
-    return numbered.groupBy(*keys, "line_no").agg(
-        F.sum("n").alias("n_tokens"), F.array_join(_ordered_text(["cy"], "level_text"), " ").alias("line_text")
-    )
+    read = _read(tokens, keys, NEW_SEGMENT).withColumnRenamed("_line", "line_no")
+    begins = (F.col("_at") == 1) | F.col("_new")
+    between = F.when(begins, "").when(F.col("_opens") | F.col("_blank"), " ").otherwise("")
+    pieces = read.withColumn("_piece", F.concat(between, F.coalesce("text", F.lit(""))))
+    return pieces.groupBy(*keys, "line_no").agg(F.count("*").alias("n_tokens"), _joined("_piece").alias("line_text"))
 
 
 def row_starts(cells: DataFrame, table_keys: list[str]) -> DataFrame:

@@ -60,6 +60,24 @@ def test_layout_against_brute_force(spark):
     assert got == {k: " ".join(x) for k, x in segments.items()}
 
 
+def test_page_texts_with_nulls_in_one_shuffle(spark):
+    """Texts, places and pages may be null, levels may be NaN or hold no text; a level without text keeps its separator."""
+    nan = float("nan")
+    rows = [
+        ("a", 0, "x", 1.0, 5.0, 0.9), ("a", 1, None, 0.0, 5.0, 0.9), ("a", 2, "y", 2.0, 5.0, 0.9), ("a", 3, None, 0.0, 9.0, 0.9),
+        ("a", 4, "z", 0.0, 30.0, 0.9), ("a", 5, "n", 0.0, nan, 0.9), ("a", 6, "m", 1.0, nan, 0.9), (None, 7, "k", 0.0, None, 0.9),
+    ]
+    df = token_table(spark, rows)
+    made = {name: getattr(layout, name)(df, ["doc"]) for name in ("page_text", "line_segments", "reading_order")}
+    for found in made.values():
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1
+    assert {r.doc: r.full_text for r in made["page_text"].collect()} == {"a": "x y \nz\nn m", None: "k"}
+    lines = {(r.doc, r.line_no): (r.n_tokens, r.line_text) for r in made["line_segments"].collect()}
+    assert lines == {("a", 1): (4, "x y "), ("a", 2): (1, "z"), ("a", 3): (2, "n m"), (None, 1): (1, "k")}
+    assert {r.elem_id: r.reading_rank for r in made["reading_order"].collect()} == {1: 1, 0: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 7}
+
+
 def test_token_filters(spark):
     rows = [("a", i, t, 0.0, 0.0, c) for i, (t, c) in enumerate([(" INVOICE ", 0.95), ("€123.45", 0.6), ("x y z w", 0.95), ("low", 0.2), ("edge", 0.3)])]
     df = token_table(spark, rows)
