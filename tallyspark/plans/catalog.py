@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,22 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = _with_small_methods(fn)
     return fn
 
 
+def _with_small_methods(fn: Query) -> Query:
+    """Java compiles no method of over 8,000 bytes; Spark's own limit is the largest that Java can load. Rules, dates and
+    patterns in one generated method are over it and would be interpreted row by row; under this limit Spark splits them."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+        return fn(spark, sf)
+
+    return run
+
+
 def joined(array: str | Column, sep: str = "|") -> Column:
     return F.array_join(array, sep)
 
