@@ -632,12 +632,12 @@ def export_peppol_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sink_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Writes header records and line records as JSON to two folders and reads them back."""
+    """Writes header records and line records as compressed JSON to two folders and reads them back."""
     headers = folders.peppol_header(w.invoice_headers(spark, sf)).select("doc_key", "record.*")
     lines = _line_records(spark, sf)
     path = folders.work_folder(spark, "sink-json")
-    folders.sink_json(headers, f"{path}/headers", "currency")
-    folders.sink_json(lines, f"{path}/lines")
+    folders.sink_json(headers, f"{path}/headers", "currency", compression="gzip")
+    folders.sink_json(lines, f"{path}/lines", compression="gzip")
     counts = spark.read.schema(lines.schema).json(f"{path}/lines").groupBy("doc_key").agg(F.count("*").cast("int").alias("n"))
     back = spark.read.schema(headers.schema).json(f"{path}/headers").join(counts, "doc_key", "left")
     return back.select("doc_key", "currency", F.coalesce("n", F.lit(0)).alias("n_lines"), F.col("totals.gross").alias("gross"))

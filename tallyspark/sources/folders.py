@@ -71,8 +71,12 @@ def scan_xml(spark: SparkSession, path: str, schema: str | StructType, row_tag:
 
 
 # --- sinks ---------------------------------------------------------------------------------------------------------
-def sink_json(df: DataFrame, path: str, *partitions: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partitions).json(path)
+RECORDS_PER_FILE = 500_000  # files that only one task can read (XML, compressed JSON) stay small however large the table
+
+
+def sink_json(df: DataFrame, path: str, *partitions: str, compression: str = "none", records_per_file: int = RECORDS_PER_FILE) -> None:
+    plain = df.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", records_per_file)
+    plain.partitionBy(*partitions).json(path)
 
 
 def sink_csv(df: DataFrame, path: str) -> None:
@@ -81,9 +85,9 @@ def sink_csv(df: DataFrame, path: str) -> None:
     plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def sink_xml(df: DataFrame, path: str, row_tag: str = "Invoice", root_tag: str = "Invoices") -> None:
+def sink_xml(df: DataFrame, path: str, row_tag: str = "Invoice", root_tag: str = "Invoices", records_per_file: int = RECORDS_PER_FILE) -> None:
     """One XML document per part file. Nulls are left out and empty texts kept, so scan_xml tells them apart."""
-    df.write.mode("overwrite").option("rowTag", row_tag).option("rootTag", root_tag).format("xml").save(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).option("rowTag", row_tag).option("rootTag", root_tag).format("xml").save(path)
 
 
 def split_to_sinks(judged: DataFrame, folder: str) -> dict[str, int]:

@@ -1,4 +1,5 @@
 import copy
+import glob
 import json
 from decimal import Decimal
 
@@ -239,3 +240,20 @@ def test_queries_keep_generated_methods_small_enough_to_compile(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     catalog.QUERIES["validate_invoices"](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_sinks_bound_the_records_of_a_file(spark, tmp_path):
+    """One task reads an XML or compressed file, so a large partition is cut into several files, and no record is lost."""
+    rows = spark.range(25).selectExpr("id", "concat('x ', id) AS t").coalesce(1)
+    folders.sink_xml(rows, str(tmp_path / "xml"), "R", "Rs", records_per_file=10)
+    folders.sink_json(rows, str(tmp_path / "json"), compression="gzip", records_per_file=10)
+    back = [folders.scan_xml(spark, str(tmp_path / "xml"), rows.schema, "R"), spark.read.schema(rows.schema).json(str(tmp_path / "json"))]
+    assert [len(list((tmp_path / k).glob(f"part-*{end}"))) for k, end in (("xml", ".xml"), ("json", ".json.gz"))] == [3, 3]
+    assert all(sorted(b.collect()) == sorted(rows.collect()) for b in back)
+
+
+def test_json_sink_query_compresses(spark):
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/sink-json-*"))
+    assert catalog.QUERIES["sink_json"](spark, "/root/testdata/sf0.001").count() > 0
+    (made,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/sink-json-*")) - before
+    assert glob.glob(f"{made}/lines/*.json.gz") and not glob.glob(f"{made}/lines/*.json")
