@@ -3,6 +3,8 @@ vectorised UDF (Unicode NFKC) receives only rows that hold non-ASCII characters.
 
 from __future__ import annotations
 
+import re
+import string
 import sys
 
 import pandas as pd
@@ -14,10 +16,24 @@ from pyspark.sql import types as T
 from tallyspark.functions import fixed_values as fv
 from tallyspark.functions.values import number_characters, plain_number
 
+def one_of(near: str, far: str = "") -> str:
+    """A character class that Java tests fast. Latin-1 characters named one by one share a table of bits, where ranges and
+    properties are tried in turn; what `far` lists above them is behind a single test of its range."""
+    return f"[{''.join(f'{chr(92)}x{ord(c):02x}' for c in near)}{far}]"
+
+
+def wider(near: str) -> str:
+    """The Latin-1 characters of `near` and every character above Latin-1: one table of bits, for cutting out stretches of a
+    text in which an exact pattern is then searched."""
+    return f"[^{one_of(''.join(c for c in map(chr, range(0x100)) if c not in near))[1:]}"
+
+
 # Unicode-aware white space and word characters, spelled out so that no regex flag is needed.
-SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-WORD = r"[\p{L}\p{N}_]"
-NOT_IN_WORD_AFTER = r"(?![\p{L}\p{N}_])"
+NEAR_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+FAR_SPACES = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = one_of(NEAR_SPACES, rf"[\x{{1680}}-\x{{3000}}&&[{FAR_SPACES}]]")
+WORD = one_of(string.digits + string.ascii_letters + "_", r"[\x{80}-\x{10ffff}&&[\p{L}\p{N}]]")
+NOT_IN_WORD_AFTER = f"(?!{WORD})"
 
 
 # Executors receive the UDF body itself and need no copy of this package on their path.
@@ -93,7 +109,11 @@ def _when_possible(text: Column, necessary: str, found: Column, kind: str) -> Co
     return F.when(text.rlike(necessary), found).otherwise(F.array().cast(kind))
 
 
-ANY_MONTH = f"(?:{'|'.join(MONTHS)})"
+# The same as MONTHS joined by bars; most letters are turned away at the first character.
+ANY_MONTH = "(?=[adfjmnos])(?:j(?:anuary|une|uly)|ma(?:rch|y)|a(?:pril|ugust)|february|september|october|november|december)"
+
+# What follows a month in both named forms, after the last letter of one.
+AFTER_MONTH = f"[ehlrtyEHLRTY]{wider(NEAR_SPACES)}++[0-9]"
 
 
 def _named_dates(text: Column, pattern: str, day: int, month: int) -> Column:
@@ -106,13 +126,14 @@ def _named_dates(text: Column, pattern: str, day: int, month: int) -> Column:
         return iso.try_cast("date")
 
     named = pattern.replace(f"({WORD}+)", ANY_MONTH)
-    hits = _when_possible(text, f"(?i){named}", _all(text, pattern), "array<string>")
+    found = _when_possible(text, f"(?i){named}", _all(text, pattern), "array<string>")
+    hits = _when_possible(text, AFTER_MONTH, found, "array<string>")
     return F.transform(F.filter(hits, lambda hit: F.lower(hit).rlike(ANY_MONTH)), parsed)
 
 
 def digit_groups(text: Column) -> Column:
     """Runs of ten or more digits and date separators, joined by blanks; every numeric date lies inside one."""
-    return F.array_join(_all(text, "[0-9./-]{10,}+"), " ")
+    return F.array_join(_all(text, one_of(string.digits + "./-") + "{10,}+"), " ")
 
 
 def dates(text: Column, groups: Column | None = None) -> Column:
@@ -126,17 +147,19 @@ def dates(text: Column, groups: Column | None = None) -> Column:
 
 # Runs of digits and separators are matched possessively and only from their start, so no run is scanned twice.
 SYMBOLS = "[" + "".join(fv.CURRENCY_SYMBOLS) + "]"
-RUN = r"[0-9.,\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-RUN_START = r"(?<![0-9.,\s\x0b\x1c-\x1f\x{85}\p{Z}])"
+RUN = one_of(string.digits + ".," + NEAR_SPACES, rf"[\x{{1680}}-\x{{3000}}&&[{FAR_SPACES}]]")
+RUN_START = f"(?<!{RUN})"
 SYMBOL_FIRST = f"{SYMBOLS}{RUN}+"
 SYMBOL_LAST = f"{RUN_START}{RUN}++{SYMBOLS}"
 CODE_LAST = f"{RUN_START}{RUN}++(?:{'|'.join(fv.AMOUNT_CODES)})"
 BARE_AMOUNT = r"[0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2}"
 
 
-# The longest stretches of digits, separators and symbols that hold a digit, with the code after them.
-CHAIN = RUN[:-1] + SYMBOLS[1:]
-NUMBER_CHAIN = f"(?<!{CHAIN}){CHAIN[:-1]}&&[^0-9]]*+[0-9]{CHAIN}*+(?:{'|'.join(fv.AMOUNT_CODES)})?"
+# The longest stretches of digits, separators and symbols (or any others above Latin-1) that hold a digit, with the code after.
+NEAR_SYMBOLS = "".join(c for c in fv.CURRENCY_SYMBOLS if c <= "\xff")
+NO_DIGIT = wider(".," + NEAR_SPACES + NEAR_SYMBOLS)
+CHAIN = wider(string.digits + ".," + NEAR_SPACES + NEAR_SYMBOLS)
+NUMBER_CHAIN = f"(?={CHAIN})(?<!{CHAIN}){NO_DIGIT}*+[0-9]{CHAIN}*+(?:{'|'.join(fv.AMOUNT_CODES)})?"
 
 
 def number_chains(text: Column) -> Column:
@@ -193,10 +216,14 @@ def distinct_amounts(candidates: Column) -> Column:
     )
 
 
+LONG_RUN = one_of(string.digits + string.ascii_letters) + "{10,}+"
+
+
 def long_runs(text: Column) -> Column:
     """Runs of ten or more ASCII letters and digits that hold seven digits in a row, joined by blanks. Every VAT id
     lies inside one such run, so the thirteen shapes need not scan the whole text."""
-    return F.array_join(F.filter(_all(text, "[0-9A-Za-z]{10,}+"), lambda run: run.rlike("[0-9]{7}")), " ")
+    runs = F.filter(_all(text, LONG_RUN), lambda run: run.rlike("[0-9]{7}"))
+    return F.when(text.rlike("[0-9]{7}"), F.array_join(runs, " ")).when(text.isNotNull(), "")
 
 
 def vat_ids(runs: Column) -> Column:
@@ -207,14 +234,18 @@ def vat_ids(runs: Column) -> Column:
         hits = _all(runs, "(?i)" + shape)
         return F.transform(hits, lambda h: F.struct(F.upper(h).alias("vat_id"), F.lit(country).alias("country")))
 
-    return F.concat(*[of(country, shape) for country, shape in fv.VAT_ID_SHAPES.items()])
+    found = F.concat(*[of(country, shape) for country, shape in fv.VAT_ID_SHAPES.items()])
+    return F.when(runs == "", F.array().cast("array<struct<vat_id:string,country:string>>")).otherwise(found)
 
 
+ANY_FORM = f"(?=[{''.join(sorted({form[0] for form in fv.LEGAL_FORMS}))}])(?:{'|'.join(fv.LEGAL_FORMS)}){NOT_IN_WORD_AFTER}"
 COMPANY_END = f"{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)}){NOT_IN_WORD_AFTER}"
-NAME_CHARS = r"a-zA-ZÀ-ÿ&\-.\s\x0b\x1c-\x1f\x{85}\p{Z}"
-COMPANY = rf"[A-ZÀ-ÿ][{NAME_CHARS}]+{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_AFTER
-# A run of name characters, which may hold A/S, with the character after it; and its part up to the last legal form.
-NAME_RUN = rf"[{NAME_CHARS}]++(?:(?<=A)/S[{NAME_CHARS}]*+)*+(?s:.)?"
+BEYOND_ASCII = "".join(map(chr, range(0xC0, 0x100)))  # À to ÿ
+NAME_CHAR = one_of(string.ascii_letters + BEYOND_ASCII + "&-." + NEAR_SPACES, rf"[\x{{1680}}-\x{{3000}}&&[{FAR_SPACES}]]")
+COMPANY = rf"[A-ZÀ-ÿ]{NAME_CHAR}+{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_AFTER
+# A run of name characters (or any others above Latin-1), which may hold A/S, with the character after it; and its part up to the last legal form.
+NAME_CHARS = wider(string.ascii_letters + BEYOND_ASCII + "&-." + NEAR_SPACES)
+NAME_RUN = rf"{NAME_CHARS}++(?:(?<=A)/S{NAME_CHARS}*+)*+(?s:.)?"
 NAMED_PART = rf"(?s)^.*{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_AFTER
 
 
@@ -223,7 +254,7 @@ def companies(text: Column) -> Column:
     length: the text is cut into runs of name characters, and only runs with a legal form are searched, up to the last."""
     runs = F.filter(_all(text, NAME_RUN), lambda run: run.rlike(COMPANY_END))
     found = F.flatten(F.transform(runs, lambda run: _all(F.regexp_extract(run, NAMED_PART, 0), COMPANY)))
-    hits = _when_possible(text, COMPANY_END, found, "array<string>")
+    hits = _when_possible(text, ANY_FORM, found, "array<string>")
     names = F.transform(hits, collapse_space)
     return F.array_distinct(F.filter(names, lambda n: F.length(n) > 3))
 
@@ -233,29 +264,42 @@ BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
 def _in_words(pattern: str) -> str:
-    """Replaces the word boundaries of a pattern. Where the first character is a digit, the boundary before it means
-    that no word character precedes; the digit is looked at first because that is the cheaper test."""
-    if pattern.startswith(r"\b\d"):
-        pattern = rf"(?=[0-9])(?<!{WORD})" + pattern[2:]
+    """Replaces the word boundaries of a pattern. Where the first character is a digit or a capital, the boundary before it
+    means that no word character precedes; the character is looked at first because that is the cheaper test. Where the last
+    one is such, the boundary means that no word character follows."""
+    for first in (r"\d", "[A-Z]"):
+        if pattern.startswith(rf"\b{first}"):
+            pattern = rf"(?={first})(?<!{WORD})" + pattern[2:]
+    if re.search(r"(?:\\d|\[A-Z\])(?:\{[0-9,]+\}|\+)?\\b$", pattern):
+        pattern = pattern[:-2] + NOT_IN_WORD_AFTER
     return pattern.replace(r"\b", BOUNDARY)
 
 
 POSTAL = "|".join(f"(?:{_in_words(p)})" for p in fv.POSTAL_PATTERNS)
 
 
+# A line that holds a digit, as every postal code does. It is looked for from the start of a line only.
+DIGIT_LINE = f"(?md)^[^\\n{string.digits}]*+[0-9][^\\n]*+"
+
+
 def address_lines(text: Column) -> Column:
     """Lines longer than ten characters that hold a postal code, cleaned, distinct and sorted."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
+    lines = F.transform(_all(text, DIGIT_LINE), lambda line: F.trim(line))
     holding = F.filter(lines, lambda line: (F.length(line) > 10) & line.rlike(POSTAL))
     return F.array_sort(F.array_distinct(F.transform(holding, collapse_space)))
 
 
 def emails(text: Column) -> Column:
-    found = F.when(text.contains("@"), _all(text, EMAIL)).otherwise(F.array().cast("array<string>"))
+    """Mail addresses, distinct and sorted. None reaches over white space, and white space is no word character, so they are
+    searched in the blank-separated parts of the text that hold an @."""
+    parts = F.array_join(_all(text, MAIL_PART), " ")
+    found = F.when(text.contains("@"), _all(parts, EMAIL)).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(found))
 
 
 EMAIL = _in_words(fv.EMAIL_PATTERN)
+BLANKS = r"\t\n\x0b\f\r "
+MAIL_PART = f"(?<![^{BLANKS}])[^{BLANKS}@]*+@[^{BLANKS}]*+"
 
 
 def phones(text: Column) -> Column:
