@@ -109,10 +109,33 @@ def millionths(place: str) -> Column:
 
 def cell_grid(cells: DataFrame, table_keys: list[str]) -> DataFrame:
     """Row and column number of each table cell (x1, y1, cell_id). Levels are told apart to a millionth; a cell without y1
-    has no row and is left out."""
-    placed = cells.withColumns({"_key": group_key(table_keys), "_at": millionths("y1")})
+    has no row and is left out.
+
+    A gap over the tolerance always opens a row, and an island between two such gaps that is no higher than the tolerance is
+    one row. So one sort of each table numbers its rows, and only tables with a higher island need `row_starts`. A table is
+    read by one task, from a sort that goes to disk when it must; the numbered cells are written once.
+    """
+    tolerance = round(ROW_TOLERANCE * 1e6)
+    down = Window.partitionBy(*table_keys).orderBy("_at")
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.where("y1 is not null").withColumn("_at", millionths("y1")).withColumn("_above", F.lag("_at").over(down))
+    opened = placed.withColumn("_opens", F.col("_above").isNull() | (F.col("_at") - F.col("_above") > tolerance))
+    islands = opened.withColumns(
+        {"row_no": F.sum(F.col("_opens").cast("int")).over(upto).cast("int"), "_top": F.max(F.when(F.col("_opens"), F.col("_at"))).over(upto)}
+    )
+    numbered = written(_columns_numbered(islands.drop("_above", "_opens"), table_keys), "grid")
+    higher = numbered.where(F.col("_at") - F.col("_top") > tolerance).select(group_key(table_keys).alias("_key")).distinct()
+    own = [*cells.columns, "row_no", "col_no"]
+    if higher.isEmpty():
+        return numbered.select(own)
+    keyed = numbered.withColumn("_key", group_key(table_keys))
+    again = keyed.join(higher, "_key", "left_semi").drop("row_no", "col_no")
+    rows = again.join(row_starts(again, table_keys), ["_key", "_at"])
+    return keyed.join(higher, "_key", "left_anti").select(own).unionByName(_columns_numbered(rows, table_keys).select(own))
+
+
+def _columns_numbered(rows: DataFrame, table_keys: list[str]) -> DataFrame:
     in_row = Window.partitionBy(*table_keys, "row_no").orderBy("x1", "y1", "cell_id")
-    rows = placed.join(row_starts(cells, table_keys), ["_key", "_at"]).select(*cells.columns, "row_no")
     return rows.withColumn("col_no", F.row_number().over(in_row))
 
 
@@ -139,7 +162,7 @@ def token_cell_join(
     spread = sized.withColumn("_tx", F.explode_outer(F.sequence(tile_of("x1"), tile_of("x2"))))
     spread = spread.withColumn("_ty", F.explode_outer(F.sequence(tile_of("y1"), tile_of("y2"))))
     occupied = sized.where("_level is not null").select(*page_keys, "_level").distinct()
-    placed = tokens.select(*page_keys, "elem_id", "text", "cx", "cy").join(occupied, page_keys)
+    placed = tokens.select(*page_keys, "elem_id", "text", "cx", "cy").join(occupied.hint("shuffle_hash"), page_keys)
     placed = placed.withColumns({"_tx": tile_of("cx"), "_ty": tile_of("cy")})
     c, t = spread.alias("c"), placed.alias("t")
     on = F.col("t.cx").between(F.col("c.x1"), F.col("c.x2")) & F.col("t.cy").between(F.col("c.y1"), F.col("c.y2"))

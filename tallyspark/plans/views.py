@@ -255,7 +255,7 @@ PAGE_TOKENS = 240
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: the words of every document laid on pages of 30 rows by 8 columns, with jitter in y."""
-    words = table(spark, sf_dir, "documents").select("doc_id", "text").select(
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("i", "text")
     )
     placed = words.selectExpr(
@@ -276,7 +276,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V6: table cells over the token grid: three columns by fifteen rows per page, the last page's table short."""
-    pages = table(spark, sf_dir, "documents").selectExpr(
+    pages = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
         "doc_id",
         rf"explode(sequence(1, 1 + CAST((size(regexp_extract_all(text, '\\S+', 0)) - 1) DIV {PAGE_TOKENS} AS INT))) AS page_no",
     )
