@@ -19,6 +19,7 @@ from tallyspark.streaming import invoices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+DEALT_BY_PAGE = ["token_cell_join"]
 
 
 def query(fn: Query) -> Query:
@@ -28,11 +29,14 @@ def query(fn: Query) -> Query:
 
 def _with_small_methods(fn: Query) -> Query:
     """Java compiles no method of over 8,000 bytes; Spark's own limit is the largest that Java can load. Rules, dates and
-    patterns in one generated method are over it and would be interpreted row by row; under this limit Spark splits them."""
+    patterns in one generated method are over it and would be interpreted row by row; under this limit Spark splits them.
+
+    Queries of DEALT_BY_PAGE join rows that already lie together by a part of the join's keys, so these need no shuffle of their own."""
 
     @functools.wraps(fn)
     def run(spark: SparkSession, sf: str) -> DataFrame:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", str(fn.__name__ not in DEALT_BY_PAGE).lower())
         return fn(spark, sf)
 
     return run
