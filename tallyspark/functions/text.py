@@ -239,7 +239,6 @@ def vat_ids(runs: Column) -> Column:
 
 
 ANY_FORM = f"(?=[{''.join(sorted({form[0] for form in fv.LEGAL_FORMS}))}])(?:{'|'.join(fv.LEGAL_FORMS)}){NOT_IN_WORD_AFTER}"
-COMPANY_END = f"{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)}){NOT_IN_WORD_AFTER}"
 BEYOND_ASCII = "".join(map(chr, range(0xC0, 0x100)))  # À to ÿ
 NAME_CHAR = one_of(string.ascii_letters + BEYOND_ASCII + "&-." + NEAR_SPACES, rf"[\x{{1680}}-\x{{3000}}&&[{FAR_SPACES}]]")
 COMPANY = rf"[A-ZÀ-ÿ]{NAME_CHAR}+{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_AFTER
@@ -252,7 +251,7 @@ NAMED_PART = rf"(?s)^.*{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_A
 def companies(text: Column) -> Column:
     """Names that end in a legal form, cleaned, longer than three characters, distinct, in text order. A name may be of any
     length: the text is cut into runs of name characters, and only runs with a legal form are searched, up to the last."""
-    runs = F.filter(_all(text, NAME_RUN), lambda run: run.rlike(COMPANY_END))
+    runs = F.filter(_all(text, NAME_RUN), lambda run: run.rlike(ANY_FORM))
     found = F.flatten(F.transform(runs, lambda run: _all(F.regexp_extract(run, NAMED_PART, 0), COMPANY)))
     hits = _when_possible(text, ANY_FORM, found, "array<string>")
     names = F.transform(hits, collapse_space)
