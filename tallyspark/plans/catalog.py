@@ -595,13 +595,13 @@ def export_xml(spark: SparkSession, sf: str) -> DataFrame:
 
 def _through_xml(rows: DataFrame, row_tag: str, root_tag: str) -> DataFrame:
     folder = folders.work_folder(rows.sparkSession, "xml")
-    folders.sink_xml(rows, folder, row_tag, root_tag)
+    folders.sink_xml(rows, folder, row_tag, root_tag, compression="gzip")
     return folders.scan_xml(rows.sparkSession, folder, rows.schema, row_tag)
 
 
 @query
 def sink_xml_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoice headers, written as XML files and read back."""
+    """Invoice headers, written as compressed XML files and read back."""
     names = ["doc_key", "invoice_id", "issue_date", "currency_code", "total_incl_vat"]
     inner = {"supplier_name": "supplier.name", "customer_name": "customer.name", "customer_country_code": "customer.country_code", "due_date": "payment_terms.payment_due_date"}
     rows = w.invoice_headers(spark, sf).select(*names, *[F.col(path).alias(name) for name, path in inner.items()])
@@ -610,7 +610,7 @@ def sink_xml_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sink_xml_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoice lines, written as XML files and read back."""
+    """Invoice lines, written as compressed XML files and read back."""
     names = ["line_ref", "line_id", "description", "quantity", "unit_price", "line_total", "vat_category"]
     return _through_xml(w.invoice_lines(spark, sf).select("doc_key", *names), "InvoiceLine", "InvoiceLines")
 

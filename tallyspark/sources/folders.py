@@ -85,9 +85,12 @@ def sink_csv(df: DataFrame, path: str) -> None:
     plain.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def sink_xml(df: DataFrame, path: str, row_tag: str = "Invoice", root_tag: str = "Invoices", records_per_file: int = RECORDS_PER_FILE) -> None:
+def sink_xml(
+    df: DataFrame, path: str, row_tag: str = "Invoice", root_tag: str = "Invoices", records_per_file: int = RECORDS_PER_FILE, compression: str = "none"
+) -> None:
     """One XML document per part file. Nulls are left out and empty texts kept, so scan_xml tells them apart."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).option("rowTag", row_tag).option("rootTag", root_tag).format("xml").save(path)
+    plain = df.write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", records_per_file)
+    plain.option("rowTag", row_tag).option("rootTag", root_tag).format("xml").save(path)
 
 
 def split_to_sinks(judged: DataFrame, folder: str) -> dict[str, int]:

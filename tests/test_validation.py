@@ -257,3 +257,22 @@ def test_json_sink_query_compresses(spark):
     assert catalog.QUERIES["sink_json"](spark, "/root/testdata/sf0.001").count() > 0
     (made,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/sink-json-*")) - before
     assert glob.glob(f"{made}/lines/*.json.gz") and not glob.glob(f"{made}/lines/*.json")
+
+
+def test_xml_sink_queries_compress(spark):
+    """Every tag stands twice in plain XML, which takes many times the disk of the rows."""
+    for name in ("sink_xml_lines", "sink_xml_headers"):
+        before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/xml-*"))
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        (made,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/xml-*")) - before
+        assert glob.glob(f"{made}/*.xml.gz") and not glob.glob(f"{made}/*.xml")
+
+
+def test_compressed_xml_gives_the_rows_of_plain_xml(spark, tmp_path):
+    """Files of one record and of several, missing and empty texts, blanks and marks of XML, letters beyond ASCII."""
+    rows = spark.createDataFrame([(i, t) for i in range(3) for t in (None, "", " ", "a <b> & 'c'", "ü€ 1")], "id int, t string").coalesce(1)
+    for kind, n in (("none", 100), ("gzip", 100), ("gzip", 1)):
+        folder = str(tmp_path / f"{kind}-{n}")
+        folders.sink_xml(rows, folder, "R", "Rs", records_per_file=n, compression=kind)
+        back = folders.scan_xml(spark, folder, rows.schema, "R").collect()
+        assert sorted(map(repr, back)) == sorted(map(repr, rows.collect())), (kind, n)
