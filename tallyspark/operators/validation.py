@@ -556,10 +556,16 @@ def validate(headers: DataFrame, as_of: str) -> DataFrame:
     return summed.withColumn("is_valid", F.col("n_errors") == 0).drop("_issued", "_due", "n_header_errors")
 
 
-def validate_nested(df: DataFrame, as_of: str, listed: bool = False) -> DataFrame:
+def validate_nested(df: DataFrame, as_of: str, listed: bool = False, headers: DataFrame | None = None, key: str = "") -> DataFrame:
     """Validation of invoices that carry lines and tax rows as arrays: narrow, no shuffle. With listed, `all_errors` has the
-    broken rules of header, lines and tax rows as validate_whole gives them."""
-    judged = validate(summarise_nested(df), as_of)
+    broken rules of header, lines and tax rows as validate_whole gives them. With headers, the other columns of an invoice stand
+    in that table under its key: the arrays are summed up before the join, so they are not shuffled, and not returned."""
+    summed = summarise_nested(df)
+    if headers is not None:
+        if listed:
+            raise ValueError("the rows of arrays that are not joined can't be listed")
+        summed = summed.drop("invoice_lines", "tax_breakdown").join(headers, key)
+    judged = validate(summed, as_of)
     if not listed:
         return judged
     arrays = {c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c in ("invoice_lines", "tax_breakdown")}

@@ -882,19 +882,26 @@ def stream_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_validate_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders and lineitems as two streams, put together to whole invoices of 0 to 7 lines, judged and split as they come."""
-    given = w.invoice_headers(spark, sf)
-    counts = given.select(F.col("doc_key").alias("o_orderkey"), "n_lines")
-    orders = live.stream_table(spark, sf, "orders").join(counts, "o_orderkey")
-    heads = orders.select(F.col("o_orderkey").alias("doc_key"), F.col("o_orderdate").cast("timestamp").alias("ts"), "n_lines")
+    """Orders and lineitems as two streams, put together to whole invoices of 0 to 7 lines, judged and split as they come. What
+    the headers take from the lines is summed up once and written, as each batch joins it. The streams carry the lineitems'
+    own columns, which are shorter than the lines made of them."""
+    lineitem = w.table(spark, sf, "lineitem")
+    needed = w.line_inputs(lineitem)
+    by_order = w.lines_of(w.spread(lineitem.select("l_orderkey", *needed), "l_orderkey"))
+    summary = folders.written(w.line_summary(by_order), "stream-orders-summary", drop_shuffles=True)
+    counts = summary.select(F.col("doc_key").alias("o_orderkey"), "n_lines")
+    orders = live.stream_table(spark, sf, "orders").where("o_orderkey IS NOT NULL").join(counts, "o_orderkey", "left")
+    heads = orders.select(F.col("o_orderkey").alias("doc_key"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
     items = live.stream_table(spark, sf, "lineitem")
-    lines = w.lines_of(items.withColumn("ts", F.col("l_shipdate").cast("timestamp")), "ts").select("doc_key", "ts", "line_ref", *w.LINE_FIELDS)
+    lines = items.select(F.col("l_orderkey").alias("doc_key"), F.col("l_shipdate").cast("timestamp").alias("ts"), *needed)
     whole = invoices.assembled(heads, lines, "doc_key", "200 days").where("outcome = 'whole'")
-    parsed = whole.select(F.col("key").cast("long").alias("doc_key"), invoices.parsed_lines("lines", w.LINE_STRUCT).alias("invoice_lines"))
-    nested = parsed.withColumn("tax_breakdown", invoices.tax_breakdown("invoice_lines"))
-    summary = ("n_lines", "line_sum", "bad_lines", "line_errors", "bad_taxes", "tax_errors")
+    schema = items.select(*needed).schema.simpleString()
+    parsed = whole.select(F.col("key").cast("long").alias("doc_key"), invoices.parsed_lines("lines", schema).alias("items"))
+    made = parsed.select("doc_key", w.lines_in("items", "doc_key").alias("invoice_lines"))
+    nested = made.withColumn("tax_breakdown", invoices.tax_breakdown("invoice_lines"))
+    given = w.invoice_headers(spark, sf, summary).drop("n_lines", "line_sum", "bad_lines", "line_errors", "bad_taxes", "tax_errors")
     folder = folders.work_folder(spark, "stream-orders")
-    live.validate_to_sinks(spark, nested.join(given.drop(*summary), "doc_key"), w.AS_OF, ["doc_key"], folder)
+    live.validate_to_sinks(spark, nested, w.AS_OF, ["doc_key"], folder, headers=given, key="doc_key")
     return spark.read.schema("doc_key LONG, n_errors LONG, batch LONG, target STRING").parquet(f"{folder}/out").drop("batch")
 
 

@@ -6,6 +6,8 @@ one array, so a hot key stays spread over its rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,21 @@ def lines_of(lineitem: DataFrame, *more: str) -> DataFrame:
     return raw.withColumn("line_total", F.col("line_total").cast("decimal(18,4)"))
 
 
+def line_inputs(lineitem: DataFrame) -> list[str]:
+    """The columns of a lineitem that lines_of and lines_in read, but the order's key."""
+    read = set(re.findall(r"\bl_\w+", " ".join(LINE_COLUMNS.values())))
+    return [c for c in lineitem.columns if c in read and c != LINE_COLUMNS["doc_key"]]
+
+
+def lines_in(array: str, doc_key: str) -> F.Column:
+    """The lines of an order as an array of LINE_STRUCT, from the array of its lineitems."""
+    def of_element(sql: str) -> str:
+        return re.sub(r"\bl_\w+", lambda m: doc_key if m[0] == LINE_COLUMNS["doc_key"] else f"x.{m[0]}", sql)
+
+    fields = ", ".join(f"'{name}', {of_element(LINE_COLUMNS[name])}" for name in ("line_ref", *LINE_FIELDS))
+    return F.expr(f"transform({array}, x -> named_struct({fields}))").cast(f"array<{LINE_STRUCT}>")
+
+
 def tax_rows(lines: DataFrame, **more: F.Column) -> DataFrame:
     """VAT breakdown of an invoice: one row per rate and category, with further line aggregates to carry along."""
     tax = F.round(F.col("line_total") * F.col("vat_rate"), 2)
@@ -162,11 +179,16 @@ def order_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("doc_key", *(_party(side).alias(side) for side in sides))
 
 
-def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V1: one header per order, carrying the summary of its lines and tax rows; zeros for an order without lines."""
-    lines = invoice_lines(spark, sf_dir)
-    summary = v.summarise_by_rate(tax_rows(lines, supplier_key=F.min("l_suppkey"), **v.line_sums()), "doc_key",
-                                  supplier_key=F.min("supplier_key"), vat_sum=F.sum("tax_amount"))
+def line_summary(lines: DataFrame) -> DataFrame:
+    """What a header takes from its lines and tax rows, one row per order that has lines."""
+    return v.summarise_by_rate(tax_rows(lines, supplier_key=F.min("l_suppkey"), **v.line_sums()), "doc_key",
+                               supplier_key=F.min("supplier_key"), vat_sum=F.sum("tax_amount"))
+
+
+def invoice_headers(spark: SparkSession, sf_dir: str, summary: DataFrame | None = None) -> DataFrame:
+    """V1: one header per order, carrying the summary of its lines and tax rows; zeros for an order without lines. `summary` is
+    the line_summary where that has been written already."""
+    summary = line_summary(invoice_lines(spark, sf_dir)) if summary is None else summary
     orders = _orders(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey"))
     amounts = ("line_sum", "vat_sum")
     counts = ("n_lines", "bad_lines", "line_errors", "bad_taxes", "tax_errors", "supplier_key")

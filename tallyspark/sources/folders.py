@@ -19,11 +19,20 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The table, written to the shared folder and read again: a lost executor repeats nothing that came before."""
-    path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, purpose: str, drop_shuffles: bool = False) -> DataFrame:
+    """The table, written to the shared folder and read again: a lost executor repeats nothing that came before. With
+    drop_shuffles Spark removes the shuffle files as soon as the table is written, not when the driver collects its garbage."""
+    spark = df.sparkSession
+    path, before = work_folder(spark, purpose), spark.conf.get(SHUFFLES_GO)
+    spark.conf.set(SHUFFLES_GO, "true" if drop_shuffles else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # --- sources -------------------------------------------------------------------------------------------------------

@@ -158,8 +158,11 @@ def all_emitted_alerts(spark: SparkSession, breaches: DataFrame, key: str, secon
     return written.where(F.col("event_id") != CLOSING_ID)
 
 
-def validate_to_sinks(spark: SparkSession, invoices: DataFrame, as_of: str, keep: list[str | Column], folder: str) -> None:
-    """Judges arriving nested invoices and writes them below target=valid and target=quarantine."""
-    judged = validate_nested(invoices, as_of)
+def validate_to_sinks(
+    spark: SparkSession, invoices: DataFrame, as_of: str, keep: list[str | Column], folder: str, headers: DataFrame | None = None, key: str = ""
+) -> None:
+    """Judges arriving nested invoices and writes them below target=valid and target=quarantine. With headers, a table, invoices
+    have their key and arrays only."""
+    judged = validate_nested(invoices, as_of, headers=headers, key=key)
     target = F.when(F.col("is_valid"), "valid").otherwise("quarantine").alias("target")
     run_to_end(judged.select(*keep, "n_errors", target), "append", folder, batch_writer(folder, "target"))

@@ -30,14 +30,19 @@ def assembled(headers: DataFrame, lines: DataFrame, key: str, delay: str = "1 ho
     passes them.
 
     Invoices are dealt out to `buckets` by their key, and Python is called once for a bucket, not once for an invoice. Each
-    invoice keeps its own deadline; a bucket wakes at the first of them.
+    invoice keeps its own deadline; a bucket wakes at the first of them. Lines are shuffled with the types they have, by the
+    partitioning that the state asks for; the texts, which are longer, are made after that.
     """
     named = [c for c in lines.columns if c not in (key, "ts")]
-    heads = headers.select(F.col(key).cast("string").alias("key"), "ts", F.col("n_lines").cast("long").alias("expected"), F.lit(None).cast("string").alias("line"))
-    items = lines.select(F.col(key).cast("string").alias("key"), "ts", F.lit(None).cast("long").alias("expected"), F.to_json(F.struct(*named)).alias("line"))
+    items = lines.select(F.col(key).cast("string").alias("key"), "ts", F.lit(None).cast("long").alias("expected"), F.struct(*named).alias("line"))
+    no_line = F.lit(None).cast(items.schema["line"].dataType).alias("line")
+    heads = headers.select(F.col(key).cast("string").alias("key"), "ts", F.col("n_lines").cast("long").alias("expected"), no_line)
     both = heads.unionByName(items).withWatermark("ts", delay)
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
-    rows = both.select(bucket, "key", "ts", F.col("expected").isNotNull().alias("stated"), F.coalesce("expected", F.lit(0)).alias("expected"), "line", F.unix_millis("ts").alias("ms"))
+    partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.select(bucket, "*").repartition(partitions, "bucket")
+    stated, expected = F.col("expected").isNotNull().alias("stated"), F.coalesce("expected", F.lit(0)).alias("expected")
+    rows = dealt.select("bucket", "key", "ts", stated, expected, F.to_json("line").alias("line"), F.unix_millis("ts").alias("ms"))
 
     def fold(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark, wait = state.getCurrentWatermarkMs(), 1000 * wait_seconds

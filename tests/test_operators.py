@@ -1,5 +1,7 @@
 import json
 import random
+import re
+import time
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as tx
 from tallyspark.operators import activity, files, layout, merging, quotas, responses, tables, validation
+from tallyspark.plans import views
 from tallyspark.sources import folders
 from tallyspark.streaming import activity as live
 from tallyspark.streaming import invoices
@@ -383,6 +386,64 @@ def test_assembly_calls_python_for_buckets_of_invoices(spark, tmp_path):
     assert spark.read.format("statestore").load(f"{folder}/checkpoint").count() <= 3
 
 
+def test_assembly_shuffles_lines_once_and_without_texts(spark, tmp_path):
+    """The texts of lines are longer than the lines; they are made where Python reads them, behind the one shuffle."""
+    heads, lines = "k long, ts timestamp, n_lines long", "k long, ts timestamp, d string, q double"
+    for rows, schema, name in (([(1, at(0), 2)], heads, "heads"), ([(1, at(0), "b", 1.0), (1, at(5), None, 21168.23)], lines, "lines")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(schema).parquet(str(tmp_path / name)) for schema, name in ((heads, "heads"), (lines, "lines"))]
+    folder = str(tmp_path / "work")
+    out = invoices.assembled(*streams, "k", "2 hours", 3600)
+    query = out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(live.batch_writer(folder)).start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert plan.count("Exchange hashpartitioning(bucket") == 1
+    texts = [m.start() for m in re.finditer("to_?json", plan, re.IGNORECASE)]
+    assert texts and max(texts) < plan.index("Exchange hashpartitioning(bucket")
+    (row,) = spark.read.schema(out.schema).parquet(f"{folder}/out").collect()
+    assert (row.outcome, row.lines) == ("whole", ['{"d":"b","q":1.0}', '{"q":21168.23}'])
+
+
+def test_lineitems_in_arrays_give_the_lines_of_the_table(spark):
+    lineitem = views.table(spark, "/root/testdata/sf0.001", "lineitem")
+    rows = lineitem.unionByName(lineitem.limit(5).selectExpr("l_orderkey", *[f"CAST(NULL AS {t}) AS {c}" for c, t in lineitem.dtypes[1:]]))
+    text = F.to_json(F.struct(*views.line_inputs(lineitem))).alias("t")
+    packed = rows.select(F.col("l_orderkey").alias("doc_key"), F.array(text).alias("texts"))
+    parsed = packed.select("doc_key", invoices.parsed_lines("texts", lineitem.select(*views.line_inputs(lineitem)).schema.simpleString()).alias("items"))
+    got = parsed.select("doc_key", F.explode(views.lines_in("items", "doc_key")).alias("x"))
+    wanted = views.lines_of(rows).select("doc_key", F.struct("line_ref", *views.LINE_FIELDS).cast(views.LINE_STRUCT).alias("x"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_nested_invoices_join_their_headers_without_arrays(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = views.nested_invoices(spark, sf)
+    arrays = ["invoice_lines", "tax_breakdown"]
+    judged = validation.validate_nested(whole.select("doc_key", *arrays), views.AS_OF, headers=whole.drop(*arrays), key="doc_key")
+    wanted = validation.validate_nested(whole, views.AS_OF)
+    columns = [c for c in wanted.columns if c not in arrays]
+    assert sorted(map(repr, judged.select(*columns).collect())) == sorted(map(repr, wanted.select(*columns).collect()))
+    assert not set(arrays) & set(judged.columns)
+    with pytest.raises(ValueError):
+        validation.validate_nested(whole, views.AS_OF, listed=True, headers=whole, key="doc_key")
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    before = spark.conf.get(folders.SHUFFLES_GO)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in name}
+
+    known = shuffled()
+    table = folders.written(spark.range(100).repartition(3, "id"), "dropped", drop_shuffles=True)
+    assert sorted(r.id for r in table.collect()) == list(range(100)) and spark.conf.get(folders.SHUFFLES_GO) == before
+    until = time.time() + 20
+    while shuffled() - known and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - known
+
+
 def test_tax_rows_of_nested_lines(spark):
     rows = [("1.005", "0.2", "S"), ("2", "0.2", "S"), ("3", "0.1", "S"), ("4", None, "Z"), (None, "0.1", "S")]
     lines = [f"named_struct('line_total', CAST({a or 'NULL'} AS DECIMAL(18,4)), 'vat_rate', CAST({r or 'NULL'} AS DECIMAL(9,6)), 'vat_category', '{c}')" for a, r, c in rows]
