@@ -40,10 +40,19 @@ NOT_IN_WORD_AFTER = f"(?!{WORD})"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Array functions with a lambda interpret the lambda and their arguments. There rlike decodes its pattern for every value, and
+# concat works out its type again; so a pattern is searched by regexp_instr, and parts are put together outside.
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _holds(text: Column, pattern: str) -> Column:
+    """rlike, for use inside of array functions."""
+    return F.regexp_instr(text, F.lit(pattern)) > 0
+
+
 # --- cleaning ------------------------------------------------------------------------------------------------------
 @F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -88,11 +97,12 @@ def invoice_number(text: Column, strict: bool = False) -> Column:
     return F.coalesce(*[F.get(t, F.lit(0)) for t in tries])
 
 
+# Pattern, and where year, month and day stand.
 NUMERIC_DATES = [
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "yyyy-MM-dd"),
-    (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", "dd.MM.yyyy"),
-    (r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "dd/MM/yyyy"),
-    (r"[0-9]{2}-[0-9]{2}-[0-9]{4}", "dd-MM-yyyy"),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", (1, 6, 9)),
+    (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", (7, 4, 1)),
+    (r"[0-9]{2}/[0-9]{2}/[0-9]{4}", (7, 4, 1)),
+    (r"[0-9]{2}-[0-9]{2}-[0-9]{4}", (7, 4, 1)),
 ]
 DAY_MONTH_YEAR = rf"([0-9]{{1,2}}){SPACE}+({WORD}+){SPACE}+([0-9]{{4}})"
 MONTH_DAY_YEAR = rf"({WORD}+){SPACE}+([0-9]{{1,2}}),?{SPACE}+([0-9]{{4}})"
@@ -100,13 +110,17 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
           "november", "december"]
 
 
-def _numeric_dates(text: Column, pattern: str, form: str) -> Column:
-    return F.transform(_all(text, pattern), lambda hit: F.try_to_timestamp(hit, F.lit(form)).cast("date"))
+def _numeric_dates(text: Column, pattern: str, places: tuple[int, int, int]) -> Column:
+    def parsed(hit: Column) -> Column:
+        year, month, day = (F.substring(hit, place, 4 if i == 0 else 2) for i, place in enumerate(places))
+        return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
+
+    return F.transform(_all(text, pattern), parsed)
 
 
 def _when_possible(text: Column, necessary: str, found: Column, kind: str) -> Column:
     """Runs a costly pattern only on texts that pass a cheap test every match must pass."""
-    return F.when(text.rlike(necessary), found).otherwise(F.array().cast(kind))
+    return F.when(_holds(text, necessary), found).otherwise(F.array().cast(kind))
 
 
 # The same as MONTHS joined by bars; most letters are turned away at the first character.
@@ -128,7 +142,7 @@ def _named_dates(text: Column, pattern: str, day: int, month: int) -> Column:
     named = pattern.replace(f"({WORD}+)", ANY_MONTH)
     found = _when_possible(text, f"(?i){named}", _all(text, pattern), "array<string>")
     hits = _when_possible(text, AFTER_MONTH, found, "array<string>")
-    return F.transform(F.filter(hits, lambda hit: F.lower(hit).rlike(ANY_MONTH)), parsed)
+    return F.transform(F.filter(hits, lambda hit: _holds(F.lower(hit), ANY_MONTH)), parsed)
 
 
 def digit_groups(text: Column) -> Column:
@@ -139,10 +153,11 @@ def digit_groups(text: Column) -> Column:
 def dates(text: Column, groups: Column | None = None) -> Column:
     """All valid dates in the six printed forms, distinct and ascending, as 'yyyy-MM-dd' strings. `groups`, a column of the
     text's digit_groups, spares the numeric forms the whole text."""
-    found = [_numeric_dates(text if groups is None else groups, pattern, form) for pattern, form in NUMERIC_DATES]
+    found = [_numeric_dates(text if groups is None else groups, pattern, places) for pattern, places in NUMERIC_DATES]
     found += [_named_dates(text, DAY_MONTH_YEAR, 1, 2), _named_dates(text, MONTH_DAY_YEAR, 2, 1)]
-    valid = F.filter(F.concat(*found), lambda d: d.isNotNull() & (d >= F.lit("0001-01-01").cast("date")))
-    return F.transform(F.array_sort(F.array_distinct(valid)), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    valid = [F.filter(some, lambda d: d.isNotNull() & (d >= F.lit("0001-01-01").cast("date"))) for some in found]
+    # Years have four digits, so the texts lie in the order of the dates.
+    return F.sort_array(F.array_distinct(F.concat(*[F.transform(some, lambda d: d.cast("string")) for some in valid])))
 
 
 # Runs of digits and separators are matched possessively and only from their start, so no run is scanned twice.
@@ -251,7 +266,7 @@ NAMED_PART = rf"(?s)^.*{SPACE}(?:{'|'.join(fv.LEGAL_FORMS)})\.?" + NOT_IN_WORD_A
 def companies(text: Column) -> Column:
     """Names that end in a legal form, cleaned, longer than three characters, distinct, in text order. A name may be of any
     length: the text is cut into runs of name characters, and only runs with a legal form are searched, up to the last."""
-    runs = F.filter(_all(text, NAME_RUN), lambda run: run.rlike(ANY_FORM))
+    runs = F.filter(_all(text, NAME_RUN), lambda run: _holds(run, ANY_FORM))
     found = F.flatten(F.transform(runs, lambda run: _all(F.regexp_extract(run, NAMED_PART, 0), COMPANY)))
     hits = _when_possible(text, ANY_FORM, found, "array<string>")
     names = F.transform(hits, collapse_space)
@@ -284,7 +299,7 @@ DIGIT_LINE = f"(?md)^[^\\n{string.digits}]*+[0-9][^\\n]*+"
 def address_lines(text: Column) -> Column:
     """Lines longer than ten characters that hold a postal code, cleaned, distinct and sorted."""
     lines = F.transform(_all(text, DIGIT_LINE), lambda line: F.trim(line))
-    holding = F.filter(lines, lambda line: (F.length(line) > 10) & line.rlike(POSTAL))
+    holding = F.filter(lines, lambda line: (F.length(line) > 10) & _holds(line, POSTAL))
     return F.array_sort(F.array_distinct(F.transform(holding, collapse_space)))
 
 
@@ -293,7 +308,7 @@ def emails(text: Column) -> Column:
     searched in the blank-separated parts of the text that hold an @."""
     parts = F.array_join(_all(text, MAIL_PART), " ")
     found = F.when(text.contains("@"), _all(parts, EMAIL)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 EMAIL = _in_words(fv.EMAIL_PATTERN)
@@ -303,9 +318,9 @@ MAIL_PART = f"(?<![^{BLANKS}])[^{BLANKS}@]*+@[^{BLANKS}]*+"
 
 def phones(text: Column) -> Column:
     """Printed phone numbers of at least seven characters out of [0-9+], distinct and sorted."""
-    hits = F.concat(*[_all(text, _in_words(p)) for p in fv.PHONE_PATTERNS])
-    long_enough = F.filter(hits, lambda h: F.length(F.regexp_replace(h, "[^0-9+]", "")) >= 7)
-    return F.array_sort(F.array_distinct(F.transform(long_enough, lambda h: F.trim(h))))
+    hits = [_all(text, _in_words(p)) for p in fv.PHONE_PATTERNS]
+    long_enough = [F.filter(some, lambda h: F.length(F.regexp_replace(h, "[^0-9+]", "")) >= 7) for some in hits]
+    return F.sort_array(F.array_distinct(F.concat(*[F.transform(some, lambda h: F.trim(h)) for some in long_enough])))
 
 
 # --- language ------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import random
 import re
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,31 @@ def test_whole_texts_are_scanned_by_tables_of_bits_only():
 def test_missing_texts(spark):
     row = spark.createDataFrame([(None,), ("",)], "t string").select(tx.long_runs(F.col("t")).alias("r"), tx.vat_ids(tx.long_runs(F.col("t"))).alias("v")).collect()
     assert (row[0].r, row[0].v, row[1].r, row[1].v) == (None, None, "", [])
+
+
+def test_array_functions_search_without_rlike(spark):
+    """rlike inside an array function is interpreted, and decodes its long pattern again for every value."""
+    text = F.col("t")
+    df = spark.createDataFrame([("Foo GmbH, 3 june 2020, +49 301234567, a.b@x.de",)], "t string")
+    for found in (tx.companies(text), tx.dates(text), tx.phones(text), tx.emails(text), tx.address_lines(text)):
+        assert "RLIKE" not in df.select(found)._jdf.queryExecution().analyzed().toString()
+
+
+def test_numeric_dates_against_the_calendar(spark):
+    """Days that no calendar has, the year 0 and the first and last years, in all four printed forms."""
+    dice, forms = random.Random(3), ("{0:04}-{1:02}-{2:02}", "{2:02}.{1:02}.{0:04}", "{2:02}/{1:02}/{0:04}", "{2:02}-{1:02}-{0:04}")
+    rows, wanted = [], {}
+    for i in range(400):
+        days = [(dice.choice([0, 1, 1582, 1900, 2000, 2023, 2024, 9999]), dice.randint(0, 13), dice.randint(0, 32)) for _ in range(3)]
+        found = set()
+        for y, m, d in days:
+            try:
+                found.add(f"{date(y, m, d).year:04}-{m:02}-{d:02}")
+            except ValueError:
+                continue
+        rows.append((i, " ; ".join(dice.choice(forms).format(*day) for day in days)))
+        wanted[i] = sorted(found)
+    df = spark.createDataFrame([*rows, (-1, None), (-2, "")], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", tx.dates(F.col("t"), tx.digit_groups(F.col("t"))).alias("d")).collect()}
+    assert got.pop(-1) is None and got.pop(-2) == []
+    assert got == wanted
